@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             found = found.join(labels, "node", "left")
         else:
             found = found.withColumn("component", F.lit(None).cast("long"))
-        found = found.withColumn("component_id", F.coalesce("component", "node", "doc_id")).select(
+        found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))).select(
             "doc_id", F.col("n").alias("n_shingles"), "component_id",
             F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
         )
