@@ -46,6 +46,15 @@ def _powers(kind: str, base: U, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """Powers of the polynomial's odd base modulo 2**64."""
+    return _powers("up", _MUL, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _powers("down", _INV, n)
+
+
 class Slice(NamedTuple):
     """A run of texts: row range in the batch, their bytes, and each text's byte offsets in them."""
 
@@ -97,8 +106,8 @@ def words(part: Slice, inside: np.ndarray) -> Words:
     finishes[ends_at] = in_word[ends_at]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
     total = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[data] * _powers("up", _MUL, n), out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _powers("down", _INV, n)[starts] + (ends - starts).astype(U))
+    np.cumsum(_BYTE[data] * powers(n), out=total[1:])
+    hashes = mix((total[ends] - total[starts]) * inverse_powers(n)[starts] + (ends - starts).astype(U))
     return Words(hashes, starts, ends, np.searchsorted(starts, part.offsets))
 
 

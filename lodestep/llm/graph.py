@@ -53,60 +53,81 @@ def _hub_pairs(members: DataFrame, order: Column) -> DataFrame:
     )
 
 
-def linked_components(
-    bands: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    fits: Column,
-    scratch: Scratch,
-    hub_rounds: int = 4,
-) -> tuple[DataFrame, DataFrame]:
-    """Components of the graph whose links are the verified pairs among nodes that share a key in ``bands``.
-
-    ``bands`` holds distinct (key, node, size). ``verify`` takes pairs (a, b) and returns those that are links.
-    ``fits`` is a cheap necessary condition on ``size`` and ``hub_size``. First, in rounds, each key's members
-    meet one hub. Then, for keys that still hold several components, every member outside the key's largest
-    component meets every member of another component, so no pair whose outcome could matter goes unchecked.
-    Returns (components, links); only nodes with links have a component row.
+class Links:
+    """Finds the components of the graph whose links are the similar pairs among nodes that share a key.
+
+    ``sets_of`` takes nodes (node) and returns their whole sets (node, items); ``similar`` takes two set columns
+    and says whether they are linked; ``fits`` is a cheap necessary condition on ``size`` and ``hub_size``.
     """
-    members = bands.join(
-        bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"
-    )
-    members = scratch.write(members.withColumn("component", F.col("node")))
-    links, labels, none = None, None, True
-    live = members
-    for turn in range(hub_rounds + 1):
-        if labels is not None:
-            live = members.drop("component").join(labels, "node", "left").withColumn(
-                "component", F.coalesce("component", "node")
-            ).select(*members.columns)
-            mixed = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
-                "lo != hi"
-            ).select("key")
-            live = scratch.write(live.join(mixed, "key", "left_semi"))
-        if live.isEmpty():
-            break
-        if turn < hub_rounds:
-            order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-            pairs = _hub_pairs(live, order)
-        else:
-            pairs = _rest_pairs(live)
-        pairs = pairs.where(fits).select("a", "b").distinct()
-        found = scratch.write(verify(scratch.write(pairs)).select("a", "b"))
-        if turn < hub_rounds and found.isEmpty() and turn:
-            continue
-        links = found if links is None else links.union(found)
-        labels = scratch.write(components(links, scratch))
-    return labels, links
-
-
-def _rest_pairs(live: DataFrame) -> DataFrame:
-    """Pairs across components within a key, but for those inside the key's largest component."""
-    counts = live.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    tagged = live.join(main, "key")
-    outside = tagged.where("component != main").select(
-        "key", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component")
-    )
-    return tagged.join(outside, "key").where(
-        "component != hub_component and (component = main or node < hub)"
-    ).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "size", "hub_size")
+
+    def __init__(
+        self,
+        sets_of: Callable[[DataFrame], DataFrame],
+        similar: Callable[[Column, Column], Column],
+        fits: Column,
+        scratch: Scratch,
+        hub_rounds: int = 4,
+    ):
+        self.sets_of, self.similar, self.fits, self.scratch, self.hub_rounds = sets_of, similar, fits, scratch, hub_rounds
+        self.sets: DataFrame | None = None
+
+    def components(self, bands: DataFrame) -> DataFrame | None:
+        """(node, component) of the nodes that have links, from distinct (key, node, size); None without any.
+
+        In each round every key's members meet one hub of the key, and components grow from the links. Keys whose
+        members are in one component are done. What is left after the rounds is compared by group (the nodes
+        that remaining keys join): all nodes outside a group's largest component meet every node of another
+        component of the group, so no pair that could join components goes unchecked, and only links come out.
+        """
+        shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        members = self.scratch.write(bands.join(shared, "key", "left_semi").withColumn("component", F.col("node")))
+        self.sets = self.scratch.write(self.sets_of(members.select("node").distinct()))
+        links, labels, live = None, None, members
+        for turn in range(self.hub_rounds + 1):
+            if labels is not None:
+                live = live.drop("component").join(labels, "node", "left").withColumn(
+                    "component", F.coalesce("component", "node")
+                ).select(*members.columns)
+                mixed = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                live = self.scratch.write(live.join(mixed.where("lo != hi").select("key"), "key", "left_semi"))
+            if live.isEmpty():
+                break
+            if turn < self.hub_rounds:
+                order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+                found = self._verified(_hub_pairs(live, order))
+            else:
+                found = self._rest(live)
+            found = self.scratch.write(found)
+            if found.isEmpty():
+                continue
+            links = found if links is None else links.union(found)
+            labels = self.scratch.write(components(links, self.scratch))
+        return labels
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        pairs = self.scratch.write(pairs.where(self.fits).select("a", "b").distinct())
+        left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("left_items"))
+        right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("right_items"))
+        both = pairs.join(left, "a").join(right, "b")
+        return both.where(self.similar(F.col("left_items"), F.col("right_items"))).select("a", "b")
+
+    def _rest(self, live: DataFrame) -> DataFrame:
+        least = live.groupBy("key").agg(F.min("node").alias("b"))
+        group = components(live.join(least, "key").select(F.col("node").alias("a"), "b"), self.scratch)
+        nodes = live.select("node", "size", "component").distinct().join(
+            group.select("node", F.col("component").alias("grp")), "node"
+        )
+        counts = nodes.groupBy("grp", "component").agg(F.count("*").alias("n"))
+        main = counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        nodes = self.scratch.write(nodes.join(main, "grp").join(self.sets, "node"))
+        outside = nodes.where("component != main").select(
+            F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"),
+            F.col("items").alias("hub_items"), F.col("grp").alias("hub_grp"),
+        )
+        meet = (
+            (F.col("grp") == F.col("hub_grp"))
+            & F.expr("component != hub_component and (component = main or node < hub)")
+            & self.fits
+            & self.similar(F.col("items"), F.col("hub_items"))
+        )
+        return nodes.hint("merge").join(outside, meet).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))

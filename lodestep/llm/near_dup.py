@@ -13,12 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestep.llm import _text
 from lodestep.llm._shared import Scratch
-from lodestep.llm.graph import linked_components
+from lodestep.llm.graph import Links
 
 U = np.uint64
 CHUNK = 4
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, size: int, chunks: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the full set of each document that has words."""
+    """(node, items): the full set of each document that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +116,11 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                         batch.column(0).cast(pa.int64()).slice(first, rows),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sets.view(np.int64))),
                     ],
-                    names=["node", "shingles"],
+                    names=["node", "items"],
                 )
                 first += rows
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>").where("size(shingles) > 0")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, items array<long>").where("size(items) > 0")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, chunks: int = 10) -> DataFrame:
@@ -142,23 +142,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             real.join(classes.select(F.col("node").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
             .select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), F.col("n").alias("size"))
         )
-        state: dict[str, DataFrame] = {}
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-            if "sets" in state:
-                ends = ends.join(state["sets"].select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
-            sets = shingle_sets(docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi"), shingle_words)
-            sets = scratch.write(sets)
-            state["sets"] = state["sets"].union(sets) if "sets" in state else sets
-            left = state["sets"].select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-            right = state["sets"].select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-            both = F.size(F.array_intersect("sa", "sb")).cast("long")
-            size = F.size("sa").cast("long") + F.size("sb").cast("long")
-            return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (size - both))
+
+        def sets_of(nodes: DataFrame) -> DataFrame:
+            nodes = nodes.select(F.col("node").alias("doc_id")).hint("shuffle_hash")
+            return shingle_sets(docs.join(nodes, "doc_id", "left_semi"), shingle_words)
+
+        def similar(left: Column, right: Column) -> Column:
+            both = F.size(F.array_intersect(left, right)).cast("long")
+            return 100 * both >= percent * (F.size(left).cast("long") + F.size(right).cast("long") - both)
 
         fits = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
-        labels, _ = linked_components(bands, verify, fits, scratch)
+        labels = Links(sets_of, similar, fits, scratch).components(bands)
         found = signed.join(classes, ["h1", "h2", "n"], "left")
         if labels is not None:
             found = found.join(labels, "node", "left")
