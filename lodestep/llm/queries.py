@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestep.llm import decontam, near_dup, packing, quality, token_files, topk, toxicity, url_filter
+from lodestep.llm import decontam, fuzzy_lines, near_dup, packing, quality, repeats, token_files, topk, toxicity, url_filter
 from lodestep.sources.tables import table
 
 
@@ -33,10 +33,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(table(spark, sf_dir, "pages"), URL_RULES, url_filter.labelled_urls(spark))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"), sentences=True, least_words=30)
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.round_trip(docs, _tokenizer("word_bpe_49k.json"), spaces="dropped", end_id=1)
@@ -59,7 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op3_url_filter": op3_url_filter,
+        "op4_repeats": op4_repeats,
         "op5_near_dup": op5_near_dup,
+        "op6_fuzzy_lines": op6_fuzzy_lines,
         "op7_token_files": op7_token_files,
         "op8_topk": op8_topk,
         "op9_decontam": op9_decontam,
