@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestep.llm import _text
@@ -142,11 +142,7 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
         found = scratch.write(lines(docs, shingle, bands, least_chars))
         nodes = found.select(F.explode("keys").alias("key"), F.col("d1").alias("node")).distinct().withColumn("size", F.lit(0))
 
-        def similar(left: Column, right: Column) -> Column:
-            both = F.size(F.array_intersect(left, right)).cast("long")
-            return 100 * both >= percent * (F.size(left).cast("long") + F.size(right).cast("long") - both)
-
-        search = Links(lambda n: line_sets(docs, n, shingle, least_chars), similar, F.lit(True), scratch)
+        search = Links(lambda n: line_sets(docs, n, shingle, least_chars), percent, F.lit(True), scratch)
         labels = search.components(nodes)
         placed = found.drop("keys").distinct()
         if labels is None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestep.llm._shared import Scratch
@@ -24,17 +24,18 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).distinct()
     state, before = scratch.write(state), None
+    parts = 1 << 20
     for _ in range(rounds):
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        state = scratch.write(small.union(small_min.select("u", F.col("m").alias("v"))).distinct())
+        state = scratch.write(small.union(small_min.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, parts = now, now[0] // 50_000 + 1  # edges only get fewer
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -54,30 +55,23 @@ def _hub_pairs(members: DataFrame, order: Column) -> DataFrame:
 
 
 class Links:
-    """Finds the components of the graph whose links are the similar pairs among nodes that share a key.
+    """Finds the components of the graph whose links are the similar pairs of nodes, from candidates that share a key.
 
-    ``sets_of`` takes nodes (node) and returns their whole sets (node, items); ``similar`` takes two set columns
-    and says whether they are linked; ``fits`` is a cheap necessary condition on ``size`` and ``hub_size``.
+    Two nodes are linked when the Jaccard similarity of their whole sets is at least ``percent`` / 100. ``sets_of``
+    takes nodes (node) and returns (node, items): arrays without repeats. ``fits`` is a cheap necessary condition on
+    the columns ``size`` and ``hub_size`` of the bands.
     """
 
-    def __init__(
-        self,
-        sets_of: Callable[[DataFrame], DataFrame],
-        similar: Callable[[Column, Column], Column],
-        fits: Column,
-        scratch: Scratch,
-        hub_rounds: int = 4,
-    ):
-        self.sets_of, self.similar, self.fits, self.scratch, self.hub_rounds = sets_of, similar, fits, scratch, hub_rounds
+    def __init__(self, sets_of: Callable[[DataFrame], DataFrame], percent: int, fits: Column, scratch: Scratch, hub_rounds: int = 2):
+        self.sets_of, self.percent, self.fits, self.scratch, self.hub_rounds = sets_of, percent, fits, scratch, hub_rounds
         self.sets: DataFrame | None = None
 
     def components(self, bands: DataFrame) -> DataFrame | None:
         """(node, component) of the nodes that have links, from distinct (key, node, size); None without any.
 
-        In each round every key's members meet one hub of the key, and components grow from the links. Keys whose
-        members are in one component are done. What is left after the rounds is compared by group (the nodes
-        that remaining keys join): all nodes outside a group's largest component meet every node of another
-        component of the group, so no pair that could join components goes unchecked, and only links come out.
+        In each of the first rounds every key's members meet one hub of the key, and components grow from the links.
+        Keys whose members are in one component are done. The members of the other keys then meet by an exact
+        prefix filter (see ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
         shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         members = self.scratch.write(bands.join(shared, "key", "left_semi").withColumn("component", F.col("node")))
@@ -94,40 +88,44 @@ class Links:
                 break
             if turn < self.hub_rounds:
                 order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-                found = self._verified(_hub_pairs(live, order))
+                found = self._verified(_hub_pairs(live, order).where(self.fits).select("a", "b"))
             else:
-                found = self._rest(live)
+                found = self._verified(self._rest(live.select("node", "component").distinct()))
             found = self.scratch.write(found)
             if found.isEmpty():
                 continue
             links = found if links is None else links.union(found)
-            labels = self.scratch.write(components(links, self.scratch))
+            labels = components(links, self.scratch)
         return labels
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        pairs = self.scratch.write(pairs.where(self.fits).select("a", "b").distinct())
-        left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("left_items"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("right_items"))
-        both = pairs.join(left, "a").join(right, "b")
-        return both.where(self.similar(F.col("left_items"), F.col("right_items"))).select("a", "b")
-
-    def _rest(self, live: DataFrame) -> DataFrame:
-        least = live.groupBy("key").agg(F.min("node").alias("b"))
-        group = components(live.join(least, "key").select(F.col("node").alias("a"), "b"), self.scratch)
-        nodes = live.select("node", "size", "component").distinct().join(
-            group.select("node", F.col("component").alias("grp")), "node"
-        )
-        counts = nodes.groupBy("grp", "component").agg(F.count("*").alias("n"))
-        main = counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        nodes = self.scratch.write(nodes.join(main, "grp").join(self.sets, "node"))
-        outside = nodes.where("component != main").select(
-            F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"),
-            F.col("items").alias("hub_items"), F.col("grp").alias("hub_grp"),
+        pairs = self.scratch.write(pairs.distinct())
+        left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+        right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+        both = F.size(F.array_intersect("x", "y")).cast("long")
+        linked = 100 * both >= self.percent * (F.size("x").cast("long") + F.size("y").cast("long") - both)
+        return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
+
+    def _rest(self, nodes: DataFrame) -> DataFrame:
+        """Pairs of different components that may be similar, none left out, by the prefix filter.
+
+        Items are ordered from the rarest. Two sets that are similar enough share an item among the first
+        n - ceil(n * percent / 100) + 1 of each. Copies that were edited more than the threshold allows begin with
+        items of their own, so they meet nobody. Members of the largest component meet only the others.
+        """
+        items = nodes.join(self.sets, "node").select(
+            "node", "component", F.size("items").alias("n"), F.xxhash64("items").alias("own"), F.explode("items").alias("item")
         )
-        meet = (
-            (F.col("grp") == F.col("hub_grp"))
-            & F.expr("component != hub_component and (component = main or node < hub)")
-            & self.fits
-            & self.similar(F.col("items"), F.col("hub_items"))
+        items = self.scratch.write(items)
+        counts = items.groupBy("item").agg(F.count("*").alias("df"), F.count_distinct("component").alias("parts"))
+        order = Window.partitionBy("node", "own").orderBy("df", "item")
+        prefix = F.expr(f"n - cast(ceil(n * {self.percent} / 100) as int) + 1")
+        heads = items.join(counts, "item").withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix)
+        heads = self.scratch.write(heads.where("parts > 1").select("item", "node", "component"))
+        main = nodes.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        main = main.first().main
+        others = heads.where(F.col("component") != main).select("item", F.col("node").alias("other"), F.col("component").alias("other_component"))
+        meet = heads.join(others, "item").where(
+            F.expr("component != other_component") & ((F.col("component") == main) | (F.col("node") < F.col("other")))
         )
-        return nodes.hint("merge").join(outside, meet).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        return meet.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestep.llm import _text
@@ -147,12 +147,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             nodes = nodes.select(F.col("node").alias("doc_id")).hint("shuffle_hash")
             return shingle_sets(docs.join(nodes, "doc_id", "left_semi"), shingle_words)
 
-        def similar(left: Column, right: Column) -> Column:
-            both = F.size(F.array_intersect(left, right)).cast("long")
-            return 100 * both >= percent * (F.size(left).cast("long") + F.size(right).cast("long") - both)
-
         fits = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
-        labels = Links(sets_of, similar, fits, scratch).components(bands)
+        labels = Links(sets_of, percent, fits, scratch).components(bands)
         found = signed.join(classes, ["h1", "h2", "n"], "left")
         if labels is not None:
             found = found.join(labels, "node", "left")
