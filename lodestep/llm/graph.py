@@ -67,14 +67,14 @@ class Links:
         self.sets: DataFrame | None = None
 
     def components(self, bands: DataFrame) -> DataFrame | None:
-        """(node, component) of the nodes that have links, from distinct (key, node, size); None without any.
+        """(node, component) of the nodes that have links, from (key, node, size); None without any.
 
         In each of the first rounds every key's members meet one hub of the key, and components grow from the links.
         Keys whose members are in one component are done. The members of the other keys then meet by an exact
         prefix filter (see ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
-        shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        members = self.scratch.write(bands.join(shared, "key", "left_semi").withColumn("component", F.col("node")))
+        shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+        members = self.scratch.write(bands.join(shared, "key", "left_semi").distinct().withColumn("component", F.col("node")))
         self.sets = self.scratch.write(self.sets_of(members.select("node").distinct()))
         links, labels, live = None, None, members
         for turn in range(self.hub_rounds + 1):
@@ -110,8 +110,9 @@ class Links:
         """Pairs of different components that may be similar, none left out, by the prefix filter.
 
         Items are ordered from the rarest. Two sets that are similar enough share an item among the first
-        n - ceil(n * percent / 100) + 1 of each. Copies that were edited more than the threshold allows begin with
-        items of their own, so they meet nobody. Members of the largest component meet only the others.
+        n - ceil(n * percent / 100) + 1 of each, and at their first shared item enough items follow in both to reach the
+        overlap they need. Copies that were edited more than the threshold allows begin with too many items of
+        their own for that, so they meet nobody. Members of the largest component meet only the others.
         """
         items = nodes.join(self.sets, "node").select(
             "node", "component", F.size("items").alias("n"), F.xxhash64("items").alias("own"), F.explode("items").alias("item")
@@ -121,11 +122,16 @@ class Links:
         order = Window.partitionBy("node", "own").orderBy("df", "item")
         prefix = F.expr(f"n - cast(ceil(n * {self.percent} / 100) as int) + 1")
         heads = items.join(counts, "item").withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix)
-        heads = self.scratch.write(heads.where("parts > 1").select("item", "node", "component"))
+        heads = self.scratch.write(heads.where("parts > 1").select("item", "node", "component", "n", "place"))
         main = nodes.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", "component")).alias("main"))
         main = main.first().main
-        others = heads.where(F.col("component") != main).select("item", F.col("node").alias("other"), F.col("component").alias("other_component"))
+        others = heads.where(F.col("component") != main).select(
+            "item", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("m"), F.col("place").alias("other_place")
+        )
+        needed = F.expr(f"({self.percent} * (n + m) + {99 + self.percent}) div {100 + self.percent}")
         meet = heads.join(others, "item").where(
-            F.expr("component != other_component") & ((F.col("component") == main) | (F.col("node") < F.col("other")))
+            F.expr("component != other_component")
+            & ((F.col("component") == main) | (F.col("node") < F.col("other")))
+            & (F.least(F.expr("n - place"), F.expr("m - other_place")) + 1 >= needed)
         )
         return meet.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
