@@ -62,32 +62,35 @@ class Links:
     the columns ``size`` and ``hub_size`` of the bands.
     """
 
-    def __init__(self, sets_of: Callable[[DataFrame], DataFrame], percent: int, fits: Column, scratch: Scratch, hub_rounds: int = 2):
-        self.sets_of, self.percent, self.fits, self.scratch, self.hub_rounds = sets_of, percent, fits, scratch, hub_rounds
+    def __init__(self, sets_of: Callable[[DataFrame], DataFrame], percent: int, fits: Column, scratch: Scratch):
+        self.sets_of, self.percent, self.fits, self.scratch = sets_of, percent, fits, scratch
         self.sets: DataFrame | None = None
 
     def components(self, bands: DataFrame) -> DataFrame | None:
         """(node, component) of the nodes that have links, from (key, node, size); None without any.
 
-        In each of the first rounds every key's members meet one hub of the key, and components grow from the links.
-        Keys whose members are in one component are done. The members of the other keys then meet by an exact
-        prefix filter (see ``_rest``), so no link that could join two components is lost to the choice of hubs.
+        First every key's members meet the key's least node, then its largest, and components grow from the links.
+        Keys whose members are in one component are done, and so are keys of two members after the first round and of
+        three after the second: all their pairs have met. The members of the other keys then meet by an exact prefix
+        filter (see ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
         shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
         members = self.scratch.write(bands.join(shared, "key", "left_semi").distinct().withColumn("component", F.col("node")))
         self.sets = self.scratch.write(self.sets_of(members.select("node").distinct()))
         links, labels, live = None, None, members
-        for turn in range(self.hub_rounds + 1):
+        for turn in range(3):
             if labels is not None:
                 live = live.drop("component").join(labels, "node", "left").withColumn(
                     "component", F.coalesce("component", "node")
                 ).select(*members.columns)
-                mixed = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                live = self.scratch.write(live.join(mixed.where("lo != hi").select("key"), "key", "left_semi"))
+            if turn:
+                mixed = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+                mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("n") > turn + 1)).select("key")
+                live = self.scratch.write(live.join(mixed, "key", "left_semi"))
             if live.isEmpty():
                 break
-            if turn < self.hub_rounds:
-                order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+            if turn < 2:
+                order = (F.col("node"), F.bitwise_not("node"))[turn]
                 found = self._verified(_hub_pairs(live, order).where(self.fits).select("a", "b"))
             else:
                 found = self._verified(self._rest(live.select("node", "component").distinct()))
@@ -114,10 +117,8 @@ class Links:
         overlap they need. Copies that were edited more than the threshold allows begin with too many items of
         their own for that, so they meet nobody. Members of the largest component meet only the others.
         """
-        items = nodes.join(self.sets, "node").select(
-            "node", "component", F.size("items").alias("n"), F.xxhash64("items").alias("own"), F.explode("items").alias("item")
-        )
-        items = self.scratch.write(items)
+        sized = nodes.join(self.sets, "node").select("node", "component", F.size("items").alias("n"), F.xxhash64("items").alias("own"), "items")
+        items = self.scratch.write(sized.select("node", "component", "n", "own", F.explode("items").alias("item")))
         counts = items.groupBy("item").agg(F.count("*").alias("df"), F.count_distinct("component").alias("parts"))
         order = Window.partitionBy("node", "own").orderBy("df", "item")
         prefix = F.expr(f"n - cast(ceil(n * {self.percent} / 100) as int) + 1")
