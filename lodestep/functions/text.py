@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from lodestep.functions import patterns as P
 THINK_OPEN, THINK_CLOSE, RESPONSE = "[THINKING]", "[/THINKING]", "[RESPONSE]"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value worked out once: a lambda works an expression that it captures out again for every element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends, of any kind."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")
@@ -187,15 +194,16 @@ def infer_subject(x: Column) -> Column:
 
 def settled_region(x: Column) -> Column:
     """What follows the last change of mind if five words or more, else the last quarter of the words, twenty at least."""
-    t = strip(text_or_empty(x))
-    tails = [F.when(t.rlike(p), F.element_at(F.split(t, p), -1)) for p in P.ABANDON]
-    shortest = F.array_min(F.array_compact(F.array(*[F.when(x.isNotNull(), F.struct(F.length(x), x)) for x in tails])))
-    tail = strip(shortest["col2"])
-    all_words = words(t)
-    n = F.size(all_words)
-    k = F.least(n, F.greatest(F.lit(20), F.floor(n / 4).cast("int")))
-    last = F.array_join(F.slice(all_words, F.greatest(n - k + 1, F.lit(1)), F.greatest(k, F.lit(1))), " ")
-    return F.when(F.coalesce(n_words(tail) >= 5, F.lit(False)), tail).when(n > 0, last).otherwise("")
+    def of(t: Column) -> Column:
+        tails = [F.when(t.rlike(p), F.element_at(F.split(t, p), -1)) for p in P.ABANDON]
+        shortest = F.array_min(F.array_compact(F.array(*[F.when(y.isNotNull(), F.struct(F.length(y).alias("l"), y.alias("s"))) for y in tails])))
+        return let(strip(shortest["s"]), lambda tail: F.when(F.coalesce(n_words(tail) >= 5, F.lit(False)), tail).otherwise(let(words(t), last)))
+
+    def last(w: Column) -> Column:
+        k = F.least(F.size(w), F.greatest(F.lit(20), F.floor(F.size(w) / 4).cast("int")))
+        return F.when(F.size(w) > 0, F.array_join(F.slice(w, F.size(w) - k + 1, k), " ")).otherwise("")
+
+    return let(strip(text_or_empty(x)), of)
 
 
 def thinking_switch(x: Column) -> Column:
@@ -219,10 +227,15 @@ def has_repeated_ngram(x: Column, n: int = 20, most: int = 3) -> Column:
 
     n-grams are sorted, so that repeats lie side by side; no rows are multiplied.
     """
-    w = words(x)
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " "))))
-    at = F.sequence(F.lit(0), F.size(grams) - 1 - most)
-    return F.when(F.size(w) < 2 * n, False).otherwise(F.exists(at, lambda i: F.get(grams, i) == F.get(grams, i + most)))
+    def loops(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))
+        return F.when(F.size(w) < 2 * n, False).otherwise(let(F.array_sort(grams), repeats))
+
+    def repeats(g: Column) -> Column:
+        pairs = F.zip_with(g, F.slice(g, F.lit(most + 1), F.size(g)), lambda a, b: F.coalesce(a == b, F.lit(False)))
+        return F.array_contains(pairs, True)
+
+    return let(words(x), loops)
 
 
 def is_incomplete(x: Column) -> Column:

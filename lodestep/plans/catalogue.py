@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestep.plans import corpus_queries, corruption_queries, metric_queries, text_queries, vector_queries  # noqa: F401
+from lodestep.plans.registry import QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return {name: fn for name, (fn, _) in QUERIES.items()}
 
 
