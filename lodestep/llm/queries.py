@@ -77,5 +77,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = f"""with recursive d as (select doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') w from documents),
+ s as (select distinct doc_id, array_to_string(list_slice(w, p, p + least(4, len(w)) - 1), ' ') || ' ' || least(4, len(w)) g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) p from d where len(w) > 0)),
+ n as (select doc_id, count(*) n from s group by doc_id),
+ c as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+ l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+ e as (select a, b from l union select b, a from l),
+ r as (select doc_id a, doc_id b from documents union select r.a, e.b from r join e on r.b = e.a)
+ select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, m.c component_id, m.c = d.doc_id kept from d left join n using (doc_id) join (select a, min(b) c from r group by a) m on m.a = d.doc_id"""
+
+OP8_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+ r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rn from s)
+ select query_id, cast(rn as integer) as rank, vec_id, score from r where rn <= 20"""
+
+WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+OP9_SQL = f"""with d as (select doc_id, regexp_extract_all({LOWER}, {WORD}) w from documents),
+ i as (select cast(item_id as varchar) id, regexp_extract_all({LOWER}, {WORD}) w from benchmark where item_id is not null),
+ win as (select distinct id, l, array_to_string(list_slice(w, p, p + l - 1), ' ') g from (select id, w, least(10, len(w)) l, unnest(range(1, len(w) - least(10, len(w)) + 2)) p from i where len(w) > 0)),
+ dw as (select doc_id, p, l, array_to_string(list_slice(w, p, p + l - 1), ' ') g from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) p from d, (select distinct l from win) where len(w) >= l)),
+ hit as (select doc_id, p, l, id from dw join win using (l, g)),
+ pos as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p, p + l)) q from hit) group by 1),
+ its as (select doc_id, count(*) n_items, string_agg(id, ',' order by id) s from (select distinct doc_id, id from hit) group by 1)
+ select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n, 0) > 0 contaminated
+ from d left join pos using (doc_id) left join its using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the operators whose rows SQL can express; the others are tested against brute force."""
+    return {"op5_near_dup": OP5_SQL, "op8_topk": OP8_SQL, "op9_decontam": OP9_SQL}
