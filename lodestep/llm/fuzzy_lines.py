@@ -140,7 +140,7 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
     with Scratch(docs.sparkSession) as scratch:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null")
         found = scratch.write(lines(docs, shingle, bands, least_chars))
-        nodes = found.select(F.explode("keys").alias("key"), F.col("d1").alias("node")).withColumn("size", F.lit(0))
+        nodes = found.select(F.explode("keys").alias("key"), F.col("d1").alias("node"))
 
         search = Links(lambda n: line_sets(docs, n, shingle, least_chars), percent, F.lit(True), scratch)
         labels = search.components(nodes)

@@ -67,15 +67,18 @@ class Links:
         self.sets: DataFrame | None = None
 
     def components(self, bands: DataFrame) -> DataFrame | None:
-        """(node, component) of the nodes that have links, from (key, node, size); None without any.
+        """(node, component) of the nodes that have links, from (key, node) and, for ``fits``, size; None without any.
 
         First every key's members meet the key's least node, then its largest, and components grow from the links.
         Keys whose members are in one component are done, and so are keys of two members after the first round and of
         three after the second: all their pairs have met. The members of the other keys then meet by an exact prefix
         filter (see ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
-        shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-        members = self.scratch.write(bands.join(shared, "key", "left_semi").distinct().withColumn("component", F.col("node")))
+        shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        members = bands.join(shared, "key", "left_semi").distinct()
+        if "size" not in members.columns:
+            members = members.withColumn("size", F.lit(0))
+        members = self.scratch.write(members.withColumn("component", F.col("node")))
         self.sets = self.scratch.write(self.sets_of(members.select("node").distinct()))
         links, labels, live = None, None, members
         for turn in range(3):
