@@ -9,11 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PROBLEM = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _struct(fields: str) -> T.StructType:
+    """A struct from "name type, ..."; unlike Spark's own parser it needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
+PROBLEM = _struct(
     "record_id string, problem string, gold_answer string, gold_solution string, dataset string, dataset_split string, difficulty string, subject string, "
     "source_idx int, has_extended_thinking boolean, generation_date string"
 )
-CANDIDATE = T.StructType.fromDDL(
+CANDIDATE = _struct(
     "candidate_id string, model string, temperature double, reasoning_effort string, generation_seed int, input_tokens int, thinking_tokens int, "
     "output_tokens int, total_cost_usd double, generation_timestamp string, thinking_text string, response_text string, full_text string, thinking_source string, "
     "answer_correct boolean, answer_match_method string, approach_in_response string, approach_in_thinking string, approach_matches_gold boolean, approach_judge string, "
