@@ -107,25 +107,66 @@ def lines(docs: DataFrame, shingle: int, bands: int, least_chars: int) -> DataFr
     return docs.mapInArrow(run, schema)
 
 
-def line_sets(docs: DataFrame, nodes: DataFrame, shingle: int, least_chars: int) -> DataFrame:
-    """(node, items): the distinct shingles of one line of each digest in ``nodes``."""
+def line_texts(docs: DataFrame, nodes: DataFrame, least_chars: int) -> DataFrame:
+    """(node, items): the normalised text of one line of each digest in ``nodes``; its shingles are worked out where it is used."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in _runs(batch.column(0).to_pylist(), least_chars):
                 plain = [x[4] for x in some]
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(plain)[:, 0]), pa.array(plain)], names=["node", "plain"])
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(plain)[:, 0]), pa.array(plain)], names=["node", "items"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    plain = docs.select("text").mapInArrow(texts, "node long, items string").join(nodes.hint("shuffle_hash"), "node", "left_semi")
+    return plain.groupBy("node").agg(F.min("items").alias("items"))
+
+
+def _sets(column: pa.Array, shingle: int, most_chars: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The distinct shingles of each line, sorted."""
+    plain, at = column.to_pylist(), 0
+    while at < len(plain):
+        end, size = at, 0
+        while end < len(plain) and (end == at or size + len(plain[end]) <= most_chars):
+            size += len(plain[end])
+            end += 1
+        h, offsets = _shingles(plain[at:end], shingle)
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            s = np.sort(h[a:b])
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+        at = end
+
+
+def line_links(shingle: int, percent: int):
+    """Of pairs (a, b, x, y) of lines, those whose whole shingle sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain = batch.column(1).to_pylist()
-            if plain:
-                h, offsets = _shingles(plain, shingle)
-                items = [np.unique(h[a:b]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
+            keep = []
+            for x, y in zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle), strict=True):
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = int((x[at] == y).sum())
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    plain = docs.select("text").mapInArrow(texts, "node long, plain string").join(nodes.hint("shuffle_hash"), "node", "left_semi")
-    return plain.groupBy("node").agg(F.min("plain").alias("plain")).mapInArrow(sets, "node long, items array<long>")
+    return lambda pairs: pairs.mapInArrow(run, "a long, b long")
+
+
+def line_items(shingle: int):
+    """Each shingle of (node, component, items), with the set's size and a name for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_sets(batch.column(2), shingle))
+            for first in range(0, len(sets), 2000):
+                some = sets[first : first + 2000]
+                n = np.array([len(s) for s in some])
+                rows = pa.array(np.repeat(np.arange(first, first + len(some)), n))
+                node = batch.column(0).take(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [node, batch.column(1).take(rows), pa.array(np.repeat(n, n), pa.int32()), node, pa.array(np.concatenate(some).view(np.int64))],
+                    names=["node", "component", "n", "own", "item"],
+                )
+
+    return lambda sets: sets.mapInArrow(run, "node long, component long, n int, own long, item long")
 
 
 def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int = 12, least_chars: int = 12) -> DataFrame:
@@ -142,7 +183,9 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
         found = scratch.write(lines(docs, shingle, bands, least_chars))
         nodes = found.select(F.explode("keys").alias("key"), F.col("d1").alias("node"))
 
-        search = Links(lambda n: line_sets(docs, n, shingle, least_chars), percent, F.lit(True), scratch)
+        search = Links(
+            lambda n: line_texts(docs, n, least_chars), percent, F.lit(True), scratch, verify=line_links(shingle, percent), items_of=line_items(shingle)
+        )
         labels = search.components(nodes)
         placed = found.drop("keys").distinct()
         if labels is None:
@@ -150,6 +193,7 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
         else:
             placed = placed.join(labels.withColumnRenamed("node", "d1"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
         groups = placed.groupBy("component").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n")
+        groups = scratch.write(groups)
         grouped = scratch.write(placed.join(groups, "component"))
         first = grouped.where("doc_id = first_doc").groupBy("component").agg(F.min(F.struct("line", "text_hash")).alias("first"))
         result = grouped.join(first, "component").withColumn(

@@ -27,7 +27,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     parts = 1 << 20
     for _ in range(rounds):
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # A table of its own: then the join has two exchanges and Spark can split a hub's rows over tasks.
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
@@ -43,27 +44,53 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     )
 
 
-def _hub_pairs(members: DataFrame, order: Column) -> DataFrame:
+def _hub_pairs(members: DataFrame, order: Column, scratch: Scratch) -> DataFrame:
     """Each member of a key with the key's hub, its least member in ``order``; pairs known to share a component are left out."""
     hub = members.groupBy("key").agg(
         F.min_by("node", order).alias("hub"), F.min_by("size", order).alias("hub_size"),
         F.min_by("component", order).alias("hub_component"),
     )
-    return members.join(hub, "key").where("component != hub_component").select(
+    return members.join(scratch.write(hub), "key").where("component != hub_component").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "size", "hub_size"
     )
 
 
+def array_links(percent: int) -> Callable[[DataFrame], DataFrame]:
+    """Of pairs (a, b, x, y) with sets x and y as arrays without repeats, those whose Jaccard similarity is ``percent`` / 100 or more."""
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("x", "y")).cast("long")
+        return pairs.where(100 * both >= percent * (F.size("x").cast("long") + F.size("y").cast("long") - both)).select("a", "b")
+
+    return verify
+
+
+def array_items(sets: DataFrame) -> DataFrame:
+    """(node, component, n, own, item) of (node, component, items): the set's size, a name for it, and each item."""
+    sized = sets.select("node", "component", F.size("items").alias("n"), F.xxhash64("items").alias("own"), "items")
+    return sized.select("node", "component", "n", "own", F.explode("items").alias("item"))
+
+
 class Links:
     """Finds the components of the graph whose links are the similar pairs of nodes, from candidates that share a key.
 
     Two nodes are linked when the Jaccard similarity of their whole sets is at least ``percent`` / 100. ``sets_of``
-    takes nodes (node) and returns (node, items): arrays without repeats. ``fits`` is a cheap necessary condition on
-    the columns ``size`` and ``hub_size`` of the bands.
+    takes nodes (node) and returns (node, items), one row or more each; ``verify`` keeps the linked ones of pairs (a, b, x, y) with
+    the items of both; ``items_of`` takes (node, component, items) apart as ``array_items`` does. ``fits`` is a cheap
+    necessary condition on the columns ``size`` and ``hub_size`` of the bands.
     """
 
-    def __init__(self, sets_of: Callable[[DataFrame], DataFrame], percent: int, fits: Column, scratch: Scratch):
+    def __init__(
+        self,
+        sets_of: Callable[[DataFrame], DataFrame],
+        percent: int,
+        fits: Column,
+        scratch: Scratch,
+        verify: Callable[[DataFrame], DataFrame] | None = None,
+        items_of: Callable[[DataFrame], DataFrame] = array_items,
+    ):
         self.sets_of, self.percent, self.fits, self.scratch = sets_of, percent, fits, scratch
+        self.verify, self.items_of = verify or array_links(percent), items_of
         self.sets: DataFrame | None = None
 
     def components(self, bands: DataFrame) -> DataFrame | None:
@@ -74,11 +101,13 @@ class Links:
         three after the second: all their pairs have met. The members of the other keys then meet by an exact prefix
         filter (see ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
-        shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        shared = self.scratch.write(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         members = bands.join(shared, "key", "left_semi").distinct()
         if "size" not in members.columns:
             members = members.withColumn("size", F.lit(0))
         members = self.scratch.write(members.withColumn("component", F.col("node")))
+        several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        members = self.scratch.write(members.join(several, "key", "left_semi"))
         self.sets = self.scratch.write(self.sets_of(members.select("node").distinct()))
         links, labels, live = None, None, members
         for turn in range(3):
@@ -94,7 +123,7 @@ class Links:
                 break
             if turn < 2:
                 order = (F.col("node"), F.bitwise_not("node"))[turn]
-                found = self._verified(_hub_pairs(live, order).where(self.fits).select("a", "b"))
+                found = self._verified(_hub_pairs(live, order, self.scratch).where(self.fits).select("a", "b"))
             else:
                 found = self._verified(self._rest(live.select("node", "component").distinct()))
             found = self.scratch.write(found)
@@ -108,9 +137,7 @@ class Links:
         pairs = self.scratch.write(pairs.distinct())
         left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        both = F.size(F.array_intersect("x", "y")).cast("long")
-        linked = 100 * both >= self.percent * (F.size("x").cast("long") + F.size("y").cast("long") - both)
-        return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
+        return self.verify(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"))
 
     def _rest(self, nodes: DataFrame) -> DataFrame:
         """Pairs of different components that may be similar, none left out, by the prefix filter.
@@ -120,8 +147,7 @@ class Links:
         overlap they need. Copies that were edited more than the threshold allows begin with too many items of
         their own for that, so they meet nobody. Members of the largest component meet only the others.
         """
-        sized = nodes.join(self.sets, "node").select("node", "component", F.size("items").alias("n"), F.xxhash64("items").alias("own"), "items")
-        items = self.scratch.write(sized.select("node", "component", "n", "own", F.explode("items").alias("item")))
+        items = self.scratch.write(self.items_of(nodes.join(self.sets, "node").select("node", "component", "items")))
         counts = items.groupBy("item").agg(F.count("*").alias("df"), F.count_distinct("component").alias("parts"))
         order = Window.partitionBy("node", "own").orderBy("df", "item")
         prefix = F.expr(f"n - cast(ceil(n * {self.percent} / 100) as int) + 1")

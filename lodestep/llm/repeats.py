@@ -93,6 +93,7 @@ def repeated_passages(docs: DataFrame, sentences: bool = True, least_words: int
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.write(units(docs, sentences))
         groups = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").drop("n")
+        groups = scratch.write(groups)  # a table of its own, so that a unit that is everywhere can be split over tasks
         marked = found.join(groups, ["h1", "h2"]).where("doc_id != first_doc_id or not first_here").distinct()
         marked = scratch.write(marked.select("doc_id", "unit", "first_char", "end_char", "words", "first_doc_id"))
         run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
