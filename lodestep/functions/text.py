@@ -170,26 +170,32 @@ def step_type(step: Column, index: Column, n: Column) -> Column:
     )
 
 
-def keyword_hits(x: Column, groups: dict[str, list[str]]) -> dict[str, Column]:
-    low = F.lower(text_or_empty(x))
-    return {k: F.filter(F.array(*map(F.lit, kws)), lambda w: F.contains(low, w)) for k, kws in groups.items()}
+def keyword_hits(low: Column, groups: dict[str, list[str]]) -> dict[str, Column]:
+    """The keywords of each group that a lower-cased text holds, in list order."""
+    return {k: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in kws])) for k, kws in groups.items()}
 
 
 def classify_approach(x: Column) -> Column:
     """Struct (label, keywords): unknown, a single category, or mixed; at most five keywords in list order."""
-    hits = keyword_hits(x, P.APPROACH_KEYWORDS)
-    some = F.filter(F.array(*[F.when(F.size(h) > 0, F.lit(k)) for k, h in hits.items()]), lambda k: k.isNotNull())
-    label = F.when(F.size(some) == 0, "unknown").when(F.size(some) > 1, "mixed").otherwise(F.try_element_at(some, F.lit(1)))
-    return F.struct(label.alias("label"), F.slice(F.concat(*hits.values()), 1, 5).alias("keywords"))
+    names = F.array(*map(F.lit, P.APPROACH_KEYWORDS))
+
+    def of(hits: Column) -> Column:
+        some = F.filter(names, lambda k, i: F.size(F.get(hits, i)) > 0)
+        label = F.when(F.size(some) == 0, "unknown").when(F.size(some) > 1, "mixed").otherwise(F.try_element_at(some, F.lit(1)))
+        return F.struct(label.alias("label"), F.slice(F.flatten(hits), 1, 5).alias("keywords"))
+
+    return let(F.lower(text_or_empty(x)), lambda low: let(F.array(*keyword_hits(low, P.APPROACH_KEYWORDS).values()), of))
 
 
 def infer_subject(x: Column) -> Column:
-    sizes = {k: F.size(h) for k, h in keyword_hits(x, P.SUBJECT_KEYS).items()}
-    top = F.greatest(*sizes.values())
-    out = F.lit("other")
-    for k in reversed(sizes):
-        out = F.when((sizes[k] == top) & (top > 0), k).otherwise(out)
-    return out
+    """The first subject with the most keys; other without any."""
+    names = F.array(*map(F.lit, P.SUBJECT_KEYS))
+
+    def of(sizes: Column) -> Column:
+        top = F.array_max(sizes)
+        return F.when(top > 0, F.get(names, (F.array_position(sizes, top) - 1).cast("int"))).otherwise("other")
+
+    return let(F.lower(text_or_empty(x)), lambda low: let(F.array(*[F.size(h) for h in keyword_hits(low, P.SUBJECT_KEYS).values()]), of))
 
 
 def settled_region(x: Column) -> Column:
