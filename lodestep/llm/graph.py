@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from lodestep.llm._shared import Scratch
 
 
+#: A key of so many members can have all its pairs met: 496 at most.
+SMALL = 32
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the component is the smallest node reachable.
 
@@ -98,8 +102,9 @@ class Links:
 
         First every key's members meet the key's least node, then its largest, and components grow from the links.
         Keys whose members are in one component are done, and so are keys of two members after the first round and of
-        three after the second: all their pairs have met. The members of the other keys then meet by an exact prefix
-        filter (see ``_rest``), so no link that could join two components is lost to the choice of hubs.
+        three after the second: all their pairs have met. Of the other keys, those of at most ``SMALL`` members have all
+        their pairs of different components met; the members of the larger ones meet by an exact prefix filter (see
+        ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
         shared = self.scratch.write(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         members = bands.join(shared, "key", "left_semi").distinct()
@@ -125,7 +130,7 @@ class Links:
                 order = (F.col("node"), F.bitwise_not("node"))[turn]
                 found = self._verified(_hub_pairs(live, order, self.scratch).where(self.fits).select("a", "b"))
             else:
-                found = self._verified(self._rest(live.select("node", "component").distinct()))
+                found = self._verified(self._small_keys(live).union(self._rest(live)))
             found = self.scratch.write(found)
             if found.isEmpty():
                 continue
@@ -139,20 +144,32 @@ class Links:
         right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         return self.verify(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"))
 
-    def _rest(self, nodes: DataFrame) -> DataFrame:
-        """Pairs of different components that may be similar, none left out, by the prefix filter.
+    def _small_keys(self, live: DataFrame) -> DataFrame:
+        """Pairs of different components within keys of at most ``SMALL`` members."""
+        few = self.scratch.write(live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).select("key"))
+        left = self.scratch.write(live.join(few, "key", "left_semi").select("key", "node", "component"))
+        right = left.select("key", F.col("node").alias("other"), F.col("component").alias("other_component"))
+        meet = left.join(right, "key").where("component != other_component and node < other")
+        return meet.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+    def _rest(self, live: DataFrame) -> DataFrame:
+        """Of the members of keys of more than ``SMALL``: pairs of different components that may be similar, none left out, by the prefix filter.
 
         Items are ordered from the rarest. Two sets that are similar enough share an item among the first
         n - ceil(n * percent / 100) + 1 of each, and at their first shared item enough items follow in both to reach the
         overlap they need. Copies that were edited more than the threshold allows begin with too many items of
         their own for that, so they meet nobody. Members of the largest component meet only the others.
         """
+        many = self.scratch.write(live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key"))
+        nodes = self.scratch.write(live.join(many, "key", "left_semi").select("node", "component").distinct())
+        if nodes.isEmpty():
+            return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         items = self.scratch.write(self.items_of(nodes.join(self.sets, "node").select("node", "component", "items")))
-        counts = items.groupBy("item").agg(F.count("*").alias("df"), F.count_distinct("component").alias("parts"))
+        counts = items.groupBy("item").agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
         order = Window.partitionBy("node", "own").orderBy("df", "item")
         prefix = F.expr(f"n - cast(ceil(n * {self.percent} / 100) as int) + 1")
         heads = items.join(counts, "item").withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix)
-        heads = self.scratch.write(heads.where("parts > 1").select("item", "node", "component", "n", "place"))
+        heads = self.scratch.write(heads.where("mixed").select("item", "node", "component", "n", "place"))
         main = nodes.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", "component")).alias("main"))
         main = main.first().main
         others = heads.where(F.col("component") != main).select(
