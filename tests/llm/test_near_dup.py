@@ -1,7 +1,9 @@
 import random
 import re
 
-from lodestep.llm import near_dup
+import pytest
+
+from lodestep.llm import graph, near_dup
 
 
 def words(text):
@@ -43,10 +45,13 @@ def corpus():
     return rows
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("small", [32, 1])
+def test_matches_brute_force(spark, monkeypatch, small):
+    """By pairs within small keys, and by the prefix filter alone."""
+    monkeypatch.setattr(graph, "SMALL", small)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, node string, component int").repartition(3)
-    for size in (4, 5):
+    for size in (4, 5) if small > 1 else (4,):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, size, 80).collect()}
         assert got == brute(rows, size, 80)
 
