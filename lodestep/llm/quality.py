@@ -1,8 +1,8 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
 Each block of a text is compressed with a dictionary built from good labelled text and with one built from bad
-text. The difference of the two sizes, normalised by the text's length, says which it resembles; with the sizes
-themselves (text that repeats itself shrinks to nothing under either) a logistic calibration turns it into a score.
+text. The difference of the two sizes, normalised by the text's length, says which it resembles; with the
+size without a dictionary (text that repeats itself shrinks to nothing) a logistic calibration turns it into a score.
 Documents are scored where they are read.
 """
 
@@ -60,17 +60,18 @@ class Scorer:
             data.precompute_compress(level=LEVEL)
             return z.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
-        self.good, self.bad = tool(good), tool(bad)
+        self.good, self.bad, self.plain = tool(good), tool(bad), tool(b"")
 
     def features(self, text: bytes) -> tuple[float, ...]:
-        """Of a whole text, by blocks: size difference, size under the good dictionary, both by length, and log length."""
-        good = bad = 0
+        """Of a whole text, by blocks: size difference and size without a dictionary, both by length, and log length."""
+        good = bad = plain = 0
         for i in range(0, len(text), BLOCK):
             block = text[i : i + BLOCK]
             good += len(self.good.compress(block))
             bad += len(self.bad.compress(block))
+            plain += len(self.plain.compress(block))
         n = len(text) + 40
-        return (bad - good) / n, good / n, (good / n) ** 2, np.log(n), (bad - good) / n * np.log(n)
+        return (bad - good) / n, plain / n, (plain / n) ** 2, np.log(n), (bad - good) / n * np.log(n), good / n
 
 
 def calibrate(features: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ def calibrate(features: np.ndarray, y: np.ndarray, share: float) -> tuple[np.nda
 def train(texts: list[str], y: list[int], share: float, size: int = 1 << 17) -> Model:
     """Dictionaries from every other text of a class, the calibration from the rest. A missing class: the share for every text."""
     truth, raw = np.array(y), [t.encode() for t in texts]
-    flat = Model(b"", b"", np.zeros(5), np.ones(5), np.append(np.zeros(5), np.log(max(share, 1e-4) / max(1 - share, 1e-4)) if len(y) else 0.0))
+    flat = Model(b"", b"", np.zeros(6), np.ones(6), np.append(np.zeros(6), np.log(max(share, 1e-4) / max(1 - share, 1e-4)) if len(y) else 0.0))
     by = [np.flatnonzero(truth == k) for k in (0, 1)] if len(y) else [[], []]
     if min(map(len, by)) < 2:
         return flat
