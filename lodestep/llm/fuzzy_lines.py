@@ -187,14 +187,16 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
             lambda n: line_texts(docs, n, least_chars), percent, F.lit(True), scratch, verify=line_links(shingle, percent), items_of=line_items(shingle)
         )
         labels = search.components(nodes)
-        placed = found.drop("keys").distinct()
+        placed = found.drop("keys")
         if labels is None:
             placed = placed.withColumn("component", F.col("d1"))
         else:
             placed = placed.join(labels.withColumnRenamed("node", "d1"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
-        groups = placed.groupBy("component").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n")
-        groups = scratch.write(groups)
-        grouped = scratch.write(placed.join(groups, "component"))
+        placed = scratch.write(placed.drop("d1", "d2"))
+        names = ("doc_id", "text_hash", "line")
+        ends = placed.groupBy("component").agg(*[f(c).alias(f"{at}_{c}") for c in names for at, f in (("least", F.min), ("most", F.max))])
+        groups = ends.where(" or ".join(f"least_{c} != most_{c}" for c in names)).select("component", F.col("least_doc_id").alias("first_doc"))
+        grouped = scratch.write(placed.join(scratch.write(groups), "component").distinct())
         first = grouped.where("doc_id = first_doc").groupBy("component").agg(F.min(F.struct("line", "text_hash")).alias("first"))
         result = grouped.join(first, "component").withColumn(
             "kept", F.expr("doc_id = first_doc and line = first.line and text_hash = first.text_hash")

@@ -106,13 +106,12 @@ class Links:
         their pairs of different components met; the members of the larger ones meet by an exact prefix filter (see
         ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
-        shared = self.scratch.write(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+        ends = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+        shared = self.scratch.write(ends.where("lo != hi").select("key"))
         members = bands.join(shared, "key", "left_semi").distinct()
         if "size" not in members.columns:
             members = members.withColumn("size", F.lit(0))
         members = self.scratch.write(members.withColumn("component", F.col("node")))
-        several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        members = self.scratch.write(members.join(several, "key", "left_semi"))
         self.sets = self.scratch.write(self.sets_of(members.select("node").distinct()))
         links, labels, live = None, None, members
         for turn in range(3):
