@@ -78,6 +78,13 @@ def _runs(texts: list[str | None], least: int, most_chars: int = 1 << 17) -> Ite
         yield out
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches cut small, so that few texts are Python strings at a time however long the texts are."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def _digests(lines: list[str]) -> np.ndarray:
     import xxhash
 
@@ -89,7 +96,7 @@ def lines(docs: DataFrame, shingle: int, bands: int, least_chars: int) -> DataFr
     """(doc_id, text_hash, line, first_char, end_char, d1, d2, keys) of every line long enough to judge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             for some in _runs(batch.column(2).to_pylist(), least_chars):
                 row, number, start, end, plain = zip(*some, strict=True)
                 digest, keys = _digests(plain), _band_keys(*_shingles(plain, shingle), bands)
@@ -111,7 +118,7 @@ def line_texts(docs: DataFrame, nodes: DataFrame, least_chars: int) -> DataFrame
     """(node, items): the normalised text of one line of each digest in ``nodes``; its shingles are worked out where it is used."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             for some in _runs(batch.column(0).to_pylist(), least_chars):
                 plain = [x[4] for x in some]
                 yield pa.RecordBatch.from_arrays([pa.array(_digests(plain)[:, 0]), pa.array(plain)], names=["node", "items"])
@@ -139,7 +146,7 @@ def line_links(shingle: int, percent: int):
     """Of pairs (a, b, x, y) of lines, those whose whole shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 1024):
             keep = []
             for x, y in zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle), strict=True):
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
@@ -154,17 +161,23 @@ def line_items(shingle: int):
     """Each shingle of (node, component, items), with the set's size and a name for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = list(_sets(batch.column(2), shingle))
-            for first in range(0, len(sets), 2000):
-                some = sets[first : first + 2000]
-                n = np.array([len(s) for s in some])
-                rows = pa.array(np.repeat(np.arange(first, first + len(some)), n))
+            n = np.array([len(s) for s in sets])
+            ends = np.cumsum(n)
+            first = 0
+            while first < len(sets):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] - n[first] + (1 << 17), "right")))
+                rows = pa.array(np.repeat(np.arange(first, last), n[first:last]))
                 node = batch.column(0).take(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [node, batch.column(1).take(rows), pa.array(np.repeat(n, n), pa.int32()), node, pa.array(np.concatenate(some).view(np.int64))],
+                    [
+                        node, batch.column(1).take(rows), pa.array(np.repeat(n[first:last], n[first:last]), pa.int32()), node,
+                        pa.array(np.concatenate(sets[first:last]).view(np.int64)),
+                    ],
                     names=["node", "component", "n", "own", "item"],
                 )
+                first = last
 
     return lambda sets: sets.mapInArrow(run, "node long, component long, n int, own long, item long")
 
