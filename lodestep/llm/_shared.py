@@ -18,17 +18,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Up to this many shuffle partitions, Spark's default among them, each map task opens a file for each partition.
+BYPASS = "spark.shuffle.sort.bypassMergeThreshold"
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 class Scratch:
-    """Tables written to the shared folder, removed when the block ends."""
+    """Tables written to the shared folder, removed when the block ends.
+
+    Within the block, a session whose shuffles would open a file for each of very many partitions in each map task starts
+    from one partition above that threshold, where tasks write one sorted file; adaptive execution joins small ones.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path = spark, f"{shared_dir(spark)}/lodestep-{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.tuned = 0, False
 
     def __enter__(self) -> Scratch:
+        bypass = int(self.spark.conf.get(BYPASS, "200"))
+        if self.spark.conf.get(INITIAL, None) is None and bypass // 2 < int(self.spark.conf.get("spark.sql.shuffle.partitions")) <= bypass:
+            self.spark.conf.set(INITIAL, str(bypass + 1))
+            self.tuned = True
         return self
 
     def __exit__(self, *_) -> None:
+        if self.tuned:
+            self.spark.conf.unset(INITIAL)
         remove(self.spark, self.path)
 
     def write(self, df: DataFrame) -> DataFrame:
