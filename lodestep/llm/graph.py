@@ -108,7 +108,7 @@ class Links:
         """
         ends = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
         shared = self.scratch.write(ends.where("lo != hi").select("key"))
-        members = bands.join(shared, "key", "left_semi").distinct()
+        members = bands.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct()  # no sort of every key row
         if "size" not in members.columns:
             members = members.withColumn("size", F.lit(0))
         members = self.scratch.write(members.withColumn("component", F.col("node")))
