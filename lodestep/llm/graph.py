@@ -157,17 +157,26 @@ class Links:
         Items are ordered from the rarest. Two sets that are similar enough share an item among the first
         n - ceil(n * percent / 100) + 1 of each, and at their first shared item enough items follow in both to reach the
         overlap they need. Copies that were edited more than the threshold allows begin with too many items of
-        their own for that, so they meet nobody. Members of the largest component meet only the others.
+        their own for that, so they are left out before the join that orders items. Members of the largest component meet only the others.
         """
         many = self.scratch.write(live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key"))
         nodes = self.scratch.write(live.join(many, "key", "left_semi").select("node", "component").distinct())
         if nodes.isEmpty():
             return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         items = self.scratch.write(self.items_of(nodes.join(self.sets, "node").select("node", "component", "items")))
-        counts = items.groupBy("item").agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
-        order = Window.partitionBy("node", "own").orderBy("df", "item")
+        counts = self.scratch.write(items.groupBy("item").agg(
+            F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("mixed"),
+            F.min("node").alias("node"), F.min("own").alias("own"), F.min("n").alias("n"),
+        ))
         prefix = F.expr(f"n - cast(ceil(n * {self.percent} / 100) as int) + 1")
-        heads = items.join(counts, "item").withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix)
+        # Items of one set alone come first in the order and meet nobody: they only count, and may fill the prefix.
+        alone = self.scratch.write(counts.where("df = 1").groupBy("node", "own", "n").agg(F.count("*").alias("alone")))
+        full = alone.where(F.col("alone") >= prefix).select("node", "own")
+        open_sets = items.join(full, ["node", "own"], "left_anti").join(alone.drop("n"), ["node", "own"], "left")
+        order = Window.partitionBy("node", "own").orderBy("df", "item")
+        heads = open_sets.join(counts.where("df > 1").select("item", "df", "mixed"), "item").withColumn(
+            "place", F.coalesce("alone", F.lit(0)) + F.row_number().over(order)
+        ).where(F.col("place") <= prefix)
         heads = self.scratch.write(heads.where("mixed").select("item", "node", "component", "n", "place"))
         main = nodes.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", "component")).alias("main"))
         main = main.first().main
