@@ -34,7 +34,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_passages(table(spark, sf_dir, "documents"), sentences=True, least_words=30)
+    return repeats.repeats(table(spark, sf_dir, "documents"), sentences=True)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
