@@ -42,7 +42,7 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.line_groups(table(spark, sf_dir, "documents"))
+    return fuzzy_lines.line_groups(table(spark, sf_dir, "documents"), least_chars=1)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
