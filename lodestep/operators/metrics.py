@@ -6,9 +6,13 @@ and group is ever ordered.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestep.functions import vectors as V
+
 
 def score_counts(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
     """Positives and all rows for each distinct score in each group."""
@@ -74,7 +78,54 @@ def retrieval(queries: DataFrame, targets: DataFrame, similarity: Column, own: C
     ranks = pairs.withColumn("own_sim", F.max(F.when(F.col("own"), F.col("sim"))).over(mine)).groupBy("q_id").agg(
         (1 + F.count_if(F.col("sim") > F.col("own_sim"))).alias("rank")
     )
+    return _ranked(ranks)
+
+
+def _ranked(ranks: DataFrame) -> DataFrame:
     return ranks.agg(
         F.round(F.avg((F.col("rank") <= 1).cast("double")), 6).alias("recall1"), F.round(F.avg((F.col("rank") <= 10).cast("double")), 6).alias("recall10"),
         F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"), F.percentile("rank", 0.5).alias("median_rank"),
     )
+
+
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), float)
+
+
+def retrieval_ranks(vectors: DataFrame, is_query: Column, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+    """(q_id, rank) of each query's own target, the vector of the next id, among every other row by cosine to nine digits.
+
+    Rows are dealt into blocks by hash and queries into turns; a task counts what is nearer than the own target in one
+    block for one turn, and the counts are summed, so no pair is a row. Vectors have one length; rows without an id or a vector, and
+    queries without a target, take no part; ids are distinct.
+    """
+    unit = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), V.unit(F.col("embedding")).alias("v"), is_query.alias("q"))
+    rows, asked = unit.agg(F.count("*"), F.count_if("q")).first()
+    blocks, turns = max(1, -(-rows // block_rows)), max(1, -(-asked // query_rows))
+    spread = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = unit.select((F.col("vec_id") - 1).alias("q_id"), F.col("v").alias("own"))
+    asking = unit.where("q").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"))
+    queries = asking.join(own, "q_id").select("q_id", "q_v", "own", spread("q_id", turns).alias("turn"), every(blocks).alias("block"))
+    candidates = unit.select(F.col("vec_id").alias("other"), F.col("v").alias("other_v"), spread("vec_id", blocks).alias("block"), every(turns).alias("turn"))
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, nearer = right["q_id"].to_numpy(), np.zeros(right.num_rows, np.int64)
+        if left.num_rows and right.num_rows:
+            others, other_ids = _rows(left["other_v"]), left["other"].to_numpy()
+            asks = _rows(right["q_v"])
+            least = np.round((asks * _rows(right["own"])).sum(1), 9)
+            for first in range(0, len(ids), 256):
+                some = slice(first, first + 256)
+                above = np.round(asks[some] @ others.T, 9) > least[some, None]
+                above &= (other_ids != ids[some, None]) & (other_ids != ids[some, None] + 1)
+                nearer[some] = above.sum(1)
+        return pa.table({"q_id": pa.array(ids, pa.int64()), "nearer": pa.array(nearer)})
+
+    grouped = candidates.groupBy("block", "turn").cogroup(queries.groupBy("block", "turn"))
+    return grouped.applyInArrow(count, "q_id long, nearer long").groupBy("q_id").agg((1 + F.sum("nearer")).alias("rank"))
+
+
+def retrieval_whole(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """Recall at 1 and 10, mean reciprocal rank and median rank of ``retrieval_ranks``."""
+    return _ranked(retrieval_ranks(vectors, is_query))

@@ -61,6 +61,12 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.retrieval(q, t, F.round(V.cosine(F.col("q_v"), F.col("t_v")), 9), F.col("t_id") == F.col("q_id") + 1)
 
 
+@query()
+def retrieval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each query finds its own target among every other row of the table."""
+    return M.retrieval_whole(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("""with a as (select vec_id, vec_id // 2 grp, embedding v from embeddings where vec_id % 2 = 0), b as (select vec_id, vec_id // 2 grp, embedding v from embeddings where vec_id % 2 = 1)
  select e.vec_id, case when e.vec_id % 2 = 1 then round(greatest(0.0e0, least(1.0e0, (list_cosine_similarity(cast(b.v as double[]), cast(a.v as double[])) + 1) / 2)), 4) end hardness from embeddings e left join a on a.grp = e.vec_id // 2 left join b on b.vec_id = e.vec_id""")
 def hardness(spark: SparkSession, sf_dir: str) -> DataFrame:
