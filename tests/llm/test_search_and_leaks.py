@@ -107,5 +107,30 @@ def test_threshold_algorithm_stops_early():
     v = np.zeros((5000, 4), np.int64)
     v[:, 0] = rng.integers(0, 100_000, 5000)
     lists = topk.Lists(v, np.arange(5000), np.arange(5000))
-    best, scores, scored = lists.top(np.array([3, 0, 0, 0]), -1, 20)
-    assert scored < 500 and scores[0] == 3 * v[:, 0].max()
+    [(best, scores)], scored = lists.top(np.array([[3, 0, 0, 0]]), np.array([-1]), 20)
+    assert scored[0] < 500 and scores[0] == 3 * v[:, 0].max()
+
+
+def test_threshold_algorithm_stops_where_some_directions_lead():
+    """Components of falling size, as of vectors turned to their principal axes: most queries read a part of the block, and lose nothing."""
+    rng = np.random.default_rng(3)
+    v = (rng.normal(size=(8000, 4)) * 1000 * 0.3 ** np.arange(4)).astype(np.int64)
+    lists = topk.Lists(v, np.arange(8000), np.arange(8000))
+    found, scored = lists.top(v[:200], np.arange(200), 20)
+    assert scored.mean() < 4000 and scored.min() < 1000
+    for i, (best, scores) in enumerate(found):
+        want = sorted((-int(s), j) for j, s in enumerate(v @ v[i]) if j != i)[:20]
+        assert [(-int(s), int(j)) for j, s in zip(best, scores)] == want
+
+
+def test_topk_is_exact_for_large_components(spark):
+    rows = [(0, [1e7, 0.0]), (1, [1e7, 1.0]), (2, [5e6, 0.0]), (3, [3e18, 0.0]), (4, [-1e30, 2.0]), (5, [1e30, -2.0]), (20, [1e300, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, F.col("vec_id") % 20 == 0, 20, block_rows=3).collect()
+    whole = {i: [int(x) * 64 if abs(x) >= 2**53 else math.floor(64 * x) for x in e] for i, e in rows}
+    for q in (0, 20):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], c)), j) for j, c in whole.items() if j != q)
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [m[1] for m in mine] == [j for _, j in want]
+        assert [m[2] for m in mine] == [min(max(-s, -(2**63)), 2**63 - 1) for s, _ in want]
+    assert dict(((r.query_id, r.vec_id), r.score) for r in got)[0, 1] == 409600000000000000
