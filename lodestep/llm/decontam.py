@@ -288,14 +288,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the documents that contain a window of the benchmark; all columns stay."""
-    scratch = Scratch(docs.sparkSession)  # the result reads it lazily, so the caller's shared folder keeps it
-    uri, text = write_benchmark(benchmark, scratch), docs.columns.index("text")
+    """``docs`` without the documents that contain a window of the benchmark; all columns stay.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = [x.n_hit for x in judge(batch.column(text), uri, window)]
-            if hit:
-                yield batch.filter(pa.array(np.concatenate(hit) == 0))
+    Null and empty texts hold no window and stay. Each row is judged by its own text, so repeated rows go or stay together. An empty
+    benchmark leaves everything. The rows are written to the shared folder before the benchmark's tables are removed.
+    """
+    text = docs.columns.index("text")
+    with Scratch(docs.sparkSession) as scratch:
+        uri = write_benchmark(benchmark, scratch)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = [x.n_hit for x in judge(batch.column(text), uri, window)]
+                if hit:
+                    yield batch.filter(pa.array(np.concatenate(hit) == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(run, docs.schema).checkpoint()

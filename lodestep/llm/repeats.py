@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestep.llm import _text
-from lodestep.llm._shared import Scratch
+from lodestep.llm._shared import Scratch, fresh
 
 U = np.uint64
 #: A unit of fewer words says little alone: its digest takes in the unit before it.
@@ -192,7 +192,7 @@ def _grow(edges: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out.distinct()
 
 
-def repeats(docs: DataFrame, sentences: bool = True, least_words: int = 1) -> DataFrame:
+def repeats(docs: DataFrame, sentences: bool = True, least_words: int = 1, with_hash: bool = False) -> DataFrame:
     """(doc_id, first_char, end_char, n_words, n_units, first_doc_id): everything that repeats what ranks before it.
 
     Every unit but its first occurrence is marked, whatever its length; a short unit that is a whole line is judged by itself, another takes
@@ -200,7 +200,7 @@ def repeats(docs: DataFrame, sentences: bool = True, least_words: int = 1) -> Da
     occurrence of its first unit, and with those after it that follow the first occurrence of its last unit, so a
     passage cut inside its sentences is reported to the word. Passages that then meet or overlap are one. Only
     ``least_words`` is asked of the result. ``n_units`` counts whole units. Odd rows are as in ``repeated_passages``; texts that share a
-    doc_id have passages of their own.
+    doc_id have passages of their own, which the column text_hash tells apart if ``with_hash``.
     """
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.write(units(docs, sentences, alone=True))
@@ -234,15 +234,24 @@ def repeats(docs: DataFrame, sentences: bool = True, least_words: int = 1) -> Da
             F.min("first_char").alias("first_char"), F.max("end_char").alias("end_char"),
             (F.max("end_word") - F.min("first_word")).alias("n_words"), F.sum("n_units").alias("n_units"), F.min("first_doc_id").alias("first_doc_id"),
         )
-        return passages.where(F.col("n_words") >= least_words).drop("text_hash", "passage").distinct().checkpoint()
+        return passages.where(F.col("n_words") >= least_words).drop("passage", *([] if with_hash else ["text_hash"])).distinct().checkpoint()
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the passages cut out of their texts, from the last to the first; all columns stay."""
-    spans = passages.groupBy(F.col("doc_id").alias("span_doc")).agg(F.sort_array(F.collect_list(F.struct("first_char", "end_char")), False).alias("spans"))
+    """``docs`` with the passages cut out of their texts, from the last to the first; all columns stay.
+
+    Where ``passages`` has text_hash, as ``repeats`` gives it on request, a passage is cut from the text that it was found in alone; without that
+    column rows that share a doc_id must share a text. Null texts, rows without a doc_id and rows without passages stay as they are.
+    Passages of a text must not overlap; repeated ones count once.
+    """
+    span_doc, span_hash, spans = fresh(docs, "span_doc", "span_hash", "spans")
+    hashed = "text_hash" in passages.columns
+    keys = [F.col("doc_id").alias(span_doc), *([F.col("text_hash").alias(span_hash)] if hashed else [])]
+    found = passages.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("first_char", "end_char")), False).alias(spans))  # of one text
     cut = F.aggregate(
-        "spans", F.col("text"),
+        F.col(spans), docs["text"],
         lambda text, s: F.concat(F.substring(text, F.lit(1), s["first_char"]), F.substring(text, s["end_char"] + 1, F.length(text))),
     )
-    joined = docs.join(spans, docs["doc_id"] == spans["span_doc"], "left")
-    return joined.select(*[F.when(F.col("spans").isNotNull(), cut).otherwise(F.col("text")).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    same = docs["doc_id"].cast("long") == F.col(span_doc)
+    joined = docs.join(found, same & (F.xxhash64(docs["text"]) == F.col(span_hash)) if hashed else same, "left")
+    return joined.select(*[F.when(F.col(spans).isNotNull(), cut).otherwise(docs["text"]).alias(c) if c == "text" else docs[c] for c in docs.columns])

@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestep.functions.text import let
+
 BUCKETS = 1 << 14
 GRAMS = (3, 4, 5)
 
@@ -62,15 +64,15 @@ def matching_rule(host_: Column, path_: Column, rules: list[tuple[str, str]]) ->
 
 
 def grams(host_: Column, path_: Column) -> Column:
-    """Character n-grams of host and path with digits folded, each part between marks."""
+    """Character n-grams of host and path with digits folded, each part between marks; the work grows with the length."""
     text = F.concat(F.lit("^"), host_, F.lit("|"), F.regexp_replace(path_, "[0-9]", "0"), F.lit("$"))
 
-    def of(n: int) -> Column:
-        last = F.length(text) - (n - 1)
+    def of(chars: Column, n: int) -> Column:
+        last = F.size(chars) - (n - 1)
         places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.concat(F.lit(f"{n}:"), F.substring(text, i, F.lit(n))))
+        return F.transform(places, lambda i: F.concat(F.lit(f"{n}:"), F.array_join(F.slice(chars, i, F.lit(n)), "")))
 
-    return F.concat(*[of(n) for n in GRAMS])
+    return let(F.split(text, ""), lambda chars: F.concat(*[of(chars, n) for n in GRAMS]))
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -79,10 +81,16 @@ def _features(df: DataFrame) -> DataFrame:
     )
 
 
-def train(labelled: DataFrame, most_rows: int = 10_000, ridge: float = 0.02) -> LogisticRegressionModel:
-    """Fits the regression on at most ``most_rows`` labelled urls, the first in hash order."""
-    rows = labelled.where("url is not null and label in (0, 1)").orderBy(F.xxhash64("url"), "url").limit(most_rows)
+def train(labelled: DataFrame, most_rows: int = 10_000, ridge: float = 0.02) -> LogisticRegressionModel | None:
+    """Fits the regression on at most ``most_rows`` labelled urls, the first in hash order; None where no row can be used.
+
+    Rows with a null url or a label other than 0 and 1 are left out. With one class alone the model gives every url that class.
+    A url that has both labels counts as both; a repeated row counts as often as it occurs.
+    """
+    rows = labelled.where("url is not null and label in (0, 1)").orderBy(F.xxhash64("url"), "url", "label").limit(most_rows)
     rows = rows.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.col("label").cast("double"))
+    if rows.isEmpty():
+        return None
     return LogisticRegression(regParam=ridge, elasticNetParam=0.0, maxIter=50, standardization=False).fit(_features(rows).select("features", "label"))
 
 
@@ -92,11 +100,16 @@ def verdicts(
     """(page_id, host, path, rule, verdict, score) for each row of ``pages``; only page_id and url are read.
 
     ``rule`` is null where none fits; then the verdict is ``block`` where the regression's chance reaches
-    ``threshold``. A null url, or one without ``://``, has an empty host and path. Repeated rows are judged alike.
+    ``threshold``; without a usable label the score is null and the verdict is ``allow``. A null url, or one without
+    ``://``, has an empty host and path. Repeated rows are judged alike; urls of any length are read whole.
     """
     model = train(labelled)
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    scored = model.transform(_features(parts)).withColumn("score", vector_to_array("probability")[1])
+    if model is None:
+        scored = parts.withColumn("score", F.lit(None).cast("double"))
+    else:
+        # A model of the one class 0 has no second probability.
+        scored = model.transform(_features(parts)).withColumn("score", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "score")
