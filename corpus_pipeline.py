@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of any length that repeat another line, equal or nearly, go; documents and blank lines stay."""
-    return fuzzy_lines.remove_lines(docs, least_chars=1)
+    """Lines of any length that repeat another line, equal or nearly, go, and documents of which nothing is left; blank lines stay."""
+    return fuzzy_lines.remove_lines(docs, drop_emptied=True)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

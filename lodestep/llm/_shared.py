@@ -9,41 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or one of our own where it is unset, as in tests."""
+    """The folder that every executor sees, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a session within one machine, as in tests, gets a folder of its own; on a cluster that is an
+    error, as no machine's own folder is seen by the others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor see")
         found = f"file://{tempfile.mkdtemp(prefix='lodestep-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-#: Up to this many shuffle partitions, Spark's default among them, each map task opens a file for each partition.
-BYPASS = "spark.shuffle.sort.bypassMergeThreshold"
-INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores put before it until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Scratch:
-    """Tables written to the shared folder, removed when the block ends.
-
-    Within the block, a session whose shuffles would open a file for each of very many partitions in each map task starts
-    from one partition above that threshold, where tasks write one sorted file; adaptive execution joins small ones.
-    """
+    """Tables written to the shared folder, removed when the block ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/lodestep-{uuid.uuid4().hex}"
-        self.made, self.tuned = 0, False
+        self.spark, self.path, self.made = spark, f"{shared_dir(spark)}/lodestep-{uuid.uuid4().hex}", 0
 
     def __enter__(self) -> Scratch:
-        bypass = int(self.spark.conf.get(BYPASS, "200"))
-        if self.spark.conf.get(INITIAL, None) is None and bypass // 2 < int(self.spark.conf.get("spark.sql.shuffle.partitions")) <= bypass:
-            self.spark.conf.set(INITIAL, str(bypass + 1))
-            self.tuned = True
         return self
 
     def __exit__(self, *_) -> None:
-        if self.tuned:
-            self.spark.conf.unset(INITIAL)
         remove(self.spark, self.path)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -54,6 +55,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(at)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with: it does when the driver's collector drops them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Hadoop's file system, so any store works."""
     jvm = spark.sparkContext._jvm

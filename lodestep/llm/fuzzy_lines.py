@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestep.llm import _text
-from lodestep.llm._shared import Scratch
+from lodestep.llm._shared import Scratch, fresh
 from lodestep.llm.graph import Links
 
 U = np.uint64
 ROWS = 3
-_COEFFICIENTS = np.random.Generator(np.random.PCG64(8)).integers(1, 2**63, 64, dtype=U) | U(1)
+#: So many digests a task remembers, to work a line's keys out once where its copies lie close.
+REMEMBERED = 1 << 18
 
 
 def normalise(line: str) -> str:
@@ -28,24 +29,26 @@ def normalise(line: str) -> str:
 
 
 def _shingles(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every ``size``-character shingle of each line, and the lines' offsets; a shorter line is one shingle."""
-    codes = np.frombuffer("\x00".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
-    length = np.array([len(x) for x in lines])
-    start = np.cumsum(length + 1) - length - 1
-    padded = np.concatenate([codes, np.zeros(size, codes.dtype)])
-    h = np.zeros(len(codes), U)
-    for k in range(size):
-        h += padded[k : k + len(codes)] * _COEFFICIENTS[k]
+    """Hashes of every ``size``-character shingle of each line, and the lines' offsets; a shorter line is one shingle. No line is empty."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    start = np.cumsum(length) - length
     count = np.maximum(length - size + 1, 1)
     offsets = np.concatenate([[0], np.cumsum(count)])
-    h = h[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], count)]
+    total = np.zeros(len(codes) + size, U)  # what the last windows reach beyond the text is never used
+    np.cumsum(codes * _text.powers(len(codes)), out=total[1 : len(codes) + 1])
+    back = _text.inverse_powers(len(codes))
+    begins = np.repeat(np.tile([True, False], len(lines)), np.stack([count, length - count], 1).ravel())  # not within a line's last characters
+    h = ((total[size:] - total[:-size]) * back)[begins]
     short = np.flatnonzero(length < size)
-    for i in short:  # the line's own end must not let in the next line
-        h[offsets[i]] = sum((U(ord(c)) * _COEFFICIENTS[k] for k, c in enumerate(lines[i])), U(len(lines[i])))
+    if len(short):
+        at = start[short]
+        h[offsets[short]] = (total[at + length[short]] - total[at]) * back[at] + length[short].astype(U)
     return _text.mix(h), offsets
 
 
 def _band_keys(hashes: np.ndarray, offsets: np.ndarray, bands: int) -> np.ndarray:
+    """A row of keys for each line, a key for each band; every line has a shingle."""
     rng = np.random.Generator(np.random.PCG64(99))
     a = rng.integers(0, 2**31, bands * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     b = rng.integers(0, 2**32, bands * ROWS, dtype=np.uint32)
@@ -67,7 +70,7 @@ def _runs(texts: list[str | None], least: int, most_chars: int = 1 << 17) -> Ite
         at = 0
         for number, line in enumerate((text or "").split("\n")):
             plain = normalise(line)
-            if len(plain) >= least:
+            if plain and len(plain) >= least:
                 out.append((row, number, at, at + len(line), plain))
                 size += len(plain)
                 if size >= most_chars:
@@ -85,46 +88,65 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.R
             yield batch.slice(first, rows)
 
 
-def _digests(lines: list[str]) -> np.ndarray:
+def _digests(lines: tuple[str, ...]) -> tuple[list[bytes], np.ndarray]:
+    """128-bit digests, as bytes and as two whole numbers each."""
     import xxhash
 
-    raw = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
-    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+    raw = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]
+    return raw, np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
 
 
 def lines(docs: DataFrame, shingle: int, bands: int, least_chars: int) -> DataFrame:
-    """(doc_id, text_hash, line, first_char, end_char, d1, d2, keys) of every line long enough to judge."""
+    """(doc_id, text_hash, line, first_char, end_char, node, d2, keys) of every line long enough to judge.
+
+    ``node`` and ``d2`` are the digest's halves. ``keys`` is empty where a task has given a line's keys before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in _pieces(batches):
             for some in _runs(batch.column(2).to_pylist(), least_chars):
                 row, number, start, end, plain = zip(*some, strict=True)
-                digest, keys = _digests(plain), _band_keys(*_shingles(plain, shingle), bands)
+                raw, digest = _digests(plain)
+                new = []
+                for i, d in enumerate(raw):
+                    if d not in seen:
+                        seen.add(d)
+                        new.append(i)
+                counts = np.zeros(len(some) + 1, np.int32)
+                counts[np.array(new, int) + 1] = bands
+                keys = _band_keys(*_shingles([plain[i] for i in new], shingle), bands) if new else np.zeros((0, bands), np.int64)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int64()), pa.array(start, pa.int64()),
                         pa.array(end, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(np.ascontiguousarray(keys).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.ascontiguousarray(keys).ravel())),
                     ],
-                    names=["doc_id", "text_hash", "line", "first_char", "end_char", "d1", "d2", "keys"],
+                    names=["doc_id", "text_hash", "line", "first_char", "end_char", "node", "d2", "keys"],
                 )
 
-    schema = "doc_id long, text_hash long, line long, first_char long, end_char long, d1 long, d2 long, keys array<long>"
+    schema = "doc_id long, text_hash long, line long, first_char long, end_char long, node long, d2 long, keys array<long>"
     return docs.mapInArrow(run, schema)
 
 
-def line_texts(docs: DataFrame, nodes: DataFrame, least_chars: int) -> DataFrame:
-    """(node, items): the normalised text of one line of each digest in ``nodes``; its shingles are worked out where it is used."""
+def line_texts(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """(node, items): the normalised text of the line at each (node, doc_id, text_hash, first_char, end_char); shingles are worked out where they are used."""
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            for some in _runs(batch.column(0).to_pylist(), least_chars):
-                plain = [x[4] for x in some]
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(plain)[:, 0]), pa.array(plain)], names=["node", "items"])
+            nodes, plain = [], []
+            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for p in places:
+                    nodes.append(p["node"])
+                    plain.append(normalise(text[p["first_char"] : p["end_char"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(plain, pa.string())], names=["node", "items"])
 
-    plain = docs.select("text").mapInArrow(texts, "node long, items string").join(nodes.hint("shuffle_hash"), "node", "left_semi")
-    return plain.groupBy("node").agg(F.min("items").alias("items"))
+    places = at.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("node", "first_char", "end_char")).alias("places"))  # of one text's lines
+    found = docs.join(places.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("text", "places").mapInArrow(cut, "node long, items string")
+    return found.groupBy("node").agg(F.first("items").alias("items"))
 
 
 def _sets(column: pa.Array, shingle: int, most_chars: int = 1 << 18) -> Iterator[np.ndarray]:
@@ -182,34 +204,60 @@ def line_items(shingle: int):
     return lambda sets: sets.mapInArrow(run, "node long, component long, n int, own long, item long")
 
 
-def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int = 12, least_chars: int = 12) -> DataFrame:
+def _distinct_lines(found: DataFrame) -> DataFrame:
+    """(node, clash, several, first_doc): whether unlike digests share the node, whether it occurs more than once, and its least doc_id."""
+    return found.withColumn("place", F.xxhash64("doc_id", "text_hash", "line")).groupBy("node").agg(
+        (F.min("d2") != F.max("d2")).alias("clash"), (F.min("place") != F.max("place")).alias("several"), F.min("doc_id").alias("first_doc"),
+    )
+
+
+def _told_apart(found: DataFrame) -> DataFrame:
+    """``found`` with a node of its own for every digest that shares its first half with another one."""
+    shared = found.groupBy("node").agg(F.min("d2").alias("first_d2"), F.max("d2").alias("last_d2")).where("first_d2 != last_d2").drop("last_d2")
+    own = F.when(F.col("d2") != F.col("first_d2"), F.xxhash64("node", "d2")).otherwise(F.col("node"))
+    return found.join(shared, "node", "left").withColumn("node", own).select(*found.columns)
+
+
+def _labels(docs: DataFrame, found: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(node, component) of the lines that have links to unlike lines; None without any."""
+    places = found.drop("keys", "d2")
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        near = scratch.write(places.join(nodes.hint("shuffle_hash"), "node", "left_semi"))
+        one = near.groupBy("node").agg(F.min(F.struct("doc_id", "line", "text_hash", "first_char", "end_char")).alias("at"))
+        return line_texts(docs, one.select("node", "at.*"))
+
+    search = Links(texts, percent, F.lit(True), scratch, verify=line_links(shingle, percent), items_of=line_items(shingle))
+    return search.components(found.select(F.explode("keys").alias("key"), "node"))
+
+
+def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int = 12, least_chars: int = 1) -> DataFrame:
     """Lines that have equal or near-equal lines elsewhere, and which one of each group stays.
 
     Returns (doc_id, text_hash, line, first_char, end_char, component, kept) for every line in a group of two or more;
     the line with the least doc_id, then the least line number, stays. Two lines are linked when the Jaccard similarity of
     their character-shingle sets is at least ``percent`` / 100; groups are the connected components. Lines of fewer
-    than ``least_chars`` normalised characters are not judged. Null and empty texts have no lines; rows without a doc_id take no
-    part; ``text_hash`` tells rows apart that share a doc_id, and rows that repeat both count as one.
+    than ``least_chars`` normalised characters are not judged; with 1, only blank ones are not. Null and empty texts have no lines; rows
+    without a doc_id take no part; ``text_hash`` tells rows apart that share a doc_id, and rows that repeat both count as one.
     """
     with Scratch(docs.sparkSession) as scratch:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null")
         found = scratch.write(lines(docs, shingle, bands, least_chars))
-        nodes = found.select(F.explode("keys").alias("key"), F.col("d1").alias("node"))
-
-        search = Links(
-            lambda n: line_texts(docs, n, least_chars), percent, F.lit(True), scratch, verify=line_links(shingle, percent), items_of=line_items(shingle)
-        )
-        labels = search.components(nodes)
-        placed = found.drop("keys")
+        labels = _labels(docs, found, shingle, percent, scratch)
+        distinct = scratch.write(_distinct_lines(found))
+        if not distinct.where("clash").isEmpty():  # two texts were one node: begin again with a node for each
+            found = scratch.write(_told_apart(found))
+            labels = _labels(docs, found, shingle, percent, scratch)
+            distinct = scratch.write(_distinct_lines(found))
         if labels is None:
-            placed = placed.withColumn("component", F.col("d1"))
+            marked = distinct.where("several").withColumn("component", F.col("node"))
         else:
-            placed = placed.join(labels.withColumnRenamed("node", "d1"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
-        placed = scratch.write(placed.drop("d1", "d2"))
-        names = ("doc_id", "text_hash", "line")
-        ends = placed.groupBy("component").agg(*[f(c).alias(f"{at}_{c}") for c in names for at, f in (("least", F.min), ("most", F.max))])
-        groups = ends.where(" or ".join(f"least_{c} != most_{c}" for c in names)).select("component", F.col("least_doc_id").alias("first_doc"))
-        grouped = scratch.write(placed.join(scratch.write(groups), "component").distinct())
+            joined = distinct.join(labels, "node", "left").where("component is not null or several")
+            marked = joined.withColumn("component", F.coalesce("component", "node"))
+        marked = scratch.write(marked.select("node", "component", "first_doc"))
+        groups = marked.groupBy("component").agg(F.min("first_doc").alias("first_doc"))
+        owners = scratch.write(marked.select("node", "component").join(groups, "component"))
+        grouped = scratch.write(found.drop("keys", "d2").join(owners, "node").drop("node").distinct())
         first = grouped.where("doc_id = first_doc").groupBy("component").agg(F.min(F.struct("line", "text_hash")).alias("first"))
         result = grouped.join(first, "component").withColumn(
             "kept", F.expr("doc_id = first_doc and line = first.line and text_hash = first.text_hash")
@@ -217,16 +265,24 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
         return result.select("doc_id", "text_hash", "line", "first_char", "end_char", "component", "kept").checkpoint()
 
 
-def remove_lines(docs: DataFrame, **how: int) -> DataFrame:
-    """``docs`` without the lines that repeat another line; rows stay, and ``n_chars`` counts the new text where it exists."""
+def remove_lines(docs: DataFrame, drop_emptied: bool = False, **how: int) -> DataFrame:
+    """``docs`` without the lines that repeat another line; ``n_chars`` counts the new text where that column exists.
+
+    Rows stay, unless ``drop_emptied``: then a row goes when it held lines that were judged and nothing but white space
+    is left of it, as all it said stays elsewhere. Null, empty and blank texts and rows without a doc_id stay as they are. Rows of one doc_id and one
+    text are treated alike, so a text that only such rows repeat stays in each. Columns of any name pass through.
+    """
+    doc, text_hash, gone_lines = fresh(docs, "gone_doc", "gone_hash", "gone_lines")
     gone = line_groups(docs, **how).where("not kept").groupBy(
-        F.col("doc_id").alias("gone_doc"), F.col("text_hash").alias("gone_hash")
-    ).agg(F.collect_set("line").alias("gone_lines"))
-    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col("gone_doc")) & (F.xxhash64(docs["text"]) == F.col("gone_hash")), "left")
-    left = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("gone_lines", i.cast("long")))
-    new = F.when(F.col("gone_lines").isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
+        F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)
+    ).agg(F.collect_set("line").alias(gone_lines))  # of one document's lines
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left")
+    left = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(gone_lines, i.cast("long")))
+    new = F.when(F.col(gone_lines).isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
     changed = {"text": new.alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("gone_lines").isNull(), docs["n_chars"]).otherwise(F.length(new).cast(kind)).alias("n_chars")
+        changed["n_chars"] = F.when(F.col(gone_lines).isNull(), docs["n_chars"]).otherwise(F.length(new).cast(kind)).alias("n_chars")
+    if drop_emptied:
+        joined = joined.where(F.col(gone_lines).isNull() | new.rlike(r"\S"))
     return joined.select(*[changed.get(c, docs[c]) for c in docs.columns])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestep.llm._shared import Scratch
+from lodestep.llm._shared import Scratch, forget_shuffles
 
 
 #: A key of so many members can have all its pairs met: 496 at most.
@@ -48,14 +48,19 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     )
 
 
-def _hub_pairs(members: DataFrame, order: Column, scratch: Scratch) -> DataFrame:
-    """Each member of a key with the key's hub, its least member in ``order``; pairs known to share a component are left out."""
-    hub = members.groupBy("key").agg(
-        F.min_by("node", order).alias("hub"), F.min_by("size", order).alias("hub_size"),
-        F.min_by("component", order).alias("hub_component"),
-    )
-    return members.join(scratch.write(hub), "key").where("component != hub_component").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "size", "hub_size"
+def _hub_pairs(members: DataFrame, away: bool, scratch: Scratch) -> DataFrame:
+    """Each member of a key with the key's hub; pairs known to share a component are left out.
+
+    The hub is the heaviest member, or, with ``away``, the heaviest outside that one's component.
+    """
+    most = lambda c: F.max_by(c, "weight").alias(f"hub_{c}")
+    able = members
+    if away:
+        main = scratch.write(members.groupBy("key").agg(F.max_by("component", "weight").alias("main")))
+        able = members.join(main, "key").where("component != main")
+    hub = scratch.write(able.groupBy("key").agg(most("node"), most("size"), most("component")))
+    return members.join(hub, "key").where("component != hub_component").select(
+        F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"), "size", "hub_size"
     )
 
 
@@ -100,43 +105,60 @@ class Links:
     def components(self, bands: DataFrame) -> DataFrame | None:
         """(node, component) of the nodes that have links, from (key, node) and, for ``fits``, size; None without any.
 
-        First every key's members meet the key's least node, then its largest, and components grow from the links.
-        Keys whose members are in one component are done, and so are keys of two members after the first round and of
-        three after the second: all their pairs have met. Of the other keys, those of at most ``SMALL`` members have all
+        First every key's members meet the key's heaviest node, then the heaviest that is not in its component, and components grow from
+        the links. A node weighs what its keys hold: in a group of edited copies the text that they were made from shares keys with most
+        of them and is linked with most, so few of the group are left for the steps below.
+        Keys of two members need no hub. Keys whose members are in one component are done, and so are keys of
+        three after the second round: all their pairs have met. Of the other keys, those of at most ``SMALL`` members have all
         their pairs of different components met; the members of the larger ones meet by an exact prefix filter (see
         ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
         ends = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
         shared = self.scratch.write(ends.where("lo != hi").select("key"))
+        forget_shuffles(bands.sparkSession)
         members = bands.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct()  # no sort of every key row
         if "size" not in members.columns:
             members = members.withColumn("size", F.lit(0))
-        members = self.scratch.write(members.withColumn("component", F.col("node")))
+        members = self.scratch.write(members.select("key", "node", "size"))
+        forget_shuffles(bands.sparkSession)
         self.sets = self.scratch.write(self.sets_of(members.select("node").distinct()))
-        links, labels, live = None, None, members
+        forget_shuffles(bands.sparkSession)
+        held = self.scratch.write(members.groupBy("key").agg(
+            F.count("*").alias("held"), F.min("node").alias("a"), F.max("node").alias("b"),
+            F.min_by("size", "node").alias("size"), F.max_by("size", "node").alias("hub_size"),
+        ))
+        live = self.scratch.write(self._weighed(members, held.where("held > 2").select("key", "held")))
+        links, labels = None, None
         for turn in range(3):
             if labels is not None:
-                live = live.drop("component").join(labels, "node", "left").withColumn(
-                    "component", F.coalesce("component", "node")
-                ).select(*members.columns)
+                live = live.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             if turn:
                 mixed = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
                 mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("n") > turn + 1)).select("key")
                 live = self.scratch.write(live.join(mixed, "key", "left_semi"))
-            if live.isEmpty():
-                break
+                if live.isEmpty():
+                    break
             if turn < 2:
-                order = (F.col("node"), F.bitwise_not("node"))[turn]
-                found = self._verified(_hub_pairs(live, order, self.scratch).where(self.fits).select("a", "b"))
+                pairs = _hub_pairs(live, bool(turn), self.scratch)
+                if not turn:
+                    pairs = pairs.union(held.where("held = 2").select("a", "b", "size", "hub_size"))
+                pairs = pairs.where(self.fits).select("a", "b")
             else:
-                found = self._verified(self._small_keys(live).union(self._rest(live)))
-            found = self.scratch.write(found)
+                pairs = self._small_keys(live).union(self._rest(live))
+            found = self.scratch.write(self._verified(pairs))
             if found.isEmpty():
                 continue
             links = found if links is None else links.union(found)
             labels = components(links, self.scratch)
         return labels
 
+    def _weighed(self, members: DataFrame, held: DataFrame) -> DataFrame:
+        """``members`` of the keys in ``held``, each a component of its own, with a weight: the members of all these keys of the node, then a hash, so that equal ones have an order."""
+        some = self.scratch.write(members.join(held, "key"))
+        weights = some.groupBy("node").agg(F.sum("held").alias("all_held"))
+        weight = F.expr("65536 * all_held + pmod(xxhash64(node), 65536)").alias("weight")
+        return some.join(weights, "node").select("key", "node", "size", F.col("node").alias("component"), weight)
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         pairs = self.scratch.write(pairs.distinct())
         left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x"))

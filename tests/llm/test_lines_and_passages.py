@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from lodestep.llm import fuzzy_lines, repeats
 
 
@@ -53,19 +56,20 @@ def corpus():
     return rows + [(900, None), (901, ""), (902, "\n\n \n"), (903, "short"), (904, "short"), (None, base[0]), (906, "Ünïcode line that is long  enough\nünïcode LINE that is long enough"), (907, "z" * 40000)]
 
 
-def test_fuzzy_lines_match_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 12])
+def test_fuzzy_lines_match_brute_force(spark, least):
     rows = corpus()
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, n_chars long, line string").repartition(3)
-    found = fuzzy_lines.line_groups(df).collect()
+    found = fuzzy_lines.line_groups(df, least_chars=least).collect()
     groups = {}
     for r in found:
         groups.setdefault(r.component, []).append(((r.doc_id, r.line), r.kept))
     got = {frozenset(p for p, _ in g): [p for p, kept in g if kept] for g in groups.values()}
-    assert got == {g: [keep] for g, keep in brute_lines(rows).items()}
+    assert got == {g: [keep] for g, keep in brute_lines(rows, least).items()}
     texts = {r[0]: r[1] for r in rows}
     for r in found:
         assert "\n".join(texts[r.doc_id].split("\n")[r.line : r.line + 1]) == texts[r.doc_id][r.first_char : r.end_char]
-    left = fuzzy_lines.remove_lines(df)
+    left = fuzzy_lines.remove_lines(df, least_chars=least)
     assert left.columns == df.columns and left.count() == len(rows)
     gone = {(r.doc_id, r.line) for r in found if not r.kept}
     for r in left.where("doc_id is not null").collect():
@@ -84,6 +88,27 @@ def test_fuzzy_lines_empty_and_repeated_rows(spark):
     assert sorted(r.text for r in fuzzy_lines.remove_lines(twice).collect()) == ["", "one line of some length", "one line of some length"]
 
 
+def test_documents_emptied_by_line_removal_may_go(spark):
+    rows = [(1, "one line of some length\nand another"), (2, "And  another\n\n"), (3, "and another\nand more of it"), (4, " \n"), (5, None), (None, "and another")]
+    docs = spark.createDataFrame([(i, t, "a", 1, "b") for i, t in rows], "doc_id long, text string, gone_doc string, Gone_Hash int, gone_lines string")
+    left = fuzzy_lines.remove_lines(docs, drop_emptied=True)
+    assert left.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in left.collect()} == {rows[0], (3, "and more of it"), rows[3], rows[4], rows[5]}
+    assert {(r.doc_id, r.text) for r in fuzzy_lines.remove_lines(docs).collect()} >= {(2, "\n")}
+
+
+def test_lines_whose_digests_share_a_half_stay_apart(spark, monkeypatch):
+    rows = [(1, "the first line of some length"), (2, "an unlike line, of other words"), (3, "the first line of some length"), (4, "a third one that repeats nothing")]
+    real = fuzzy_lines._told_apart
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    calls = []
+    monkeypatch.setattr(fuzzy_lines, "_told_apart", lambda *a: calls.append(1) or real(*a))
+    lines = fuzzy_lines.lines
+    monkeypatch.setattr(fuzzy_lines, "lines", lambda *a: lines(*a).withColumn("node", F.lit(0).cast("long")))
+    assert sorted((r.doc_id, r.kept) for r in fuzzy_lines.line_groups(docs).collect()) == [(1, True), (3, False)]
+    assert calls
+
+
 def brute_units(text):
     out, unit, previous = [], None, None
     at = 0
