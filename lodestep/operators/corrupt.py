@@ -254,13 +254,23 @@ DAMAGES: dict[str, list[Callable[[Column, Column], Column]]] = {
 }
 
 
+#: The first seed of each damage; every further try adds a thousand to it.
+SEEDS = {op: 20 + i * 3 for i, op in enumerate(op for ops in DAMAGES.values() for op in ops)}
+
+
 def apply_damage(steps: Column, kind: str, key: Column, tries: int = 6) -> Column:
-    """One damage of ``kind`` as a struct, or null where none applies; kinds that need a language model are refused."""
+    """One damage of ``kind`` as a struct, or null where ``tries`` draws find none; every try draws its operation and its place afresh.
+
+    Kinds that need a language model are refused.
+    """
     if kind not in DAMAGES:
         raise NotImplementedError(f"{kind} needs a language model")
     ops = DAMAGES[kind]
-    made = [op(steps, key) for op in ops]
-    turns = [F.when(F.lit(len(ops)) == 1, made[0])] if len(ops) == 1 else [
-        F.get(F.array(*made), (h(40 + t, key) % len(ops)).cast("int")) for t in range(tries)
-    ]
-    return F.coalesce(*turns)
+
+    def draw(t: int) -> Column:
+        turn, out = h(40 + t, key) % len(ops), F.lit(None)
+        for i, op in enumerate(ops):  # only the operation that is drawn is worked out
+            out = F.when(turn == i, op(steps, key, SEEDS[op] + 1000 * t)).otherwise(out)
+        return out
+
+    return F.coalesce(*[draw(t) for t in range(tries)])

@@ -12,11 +12,13 @@ def rank_by_hash(seed: int, key: Column, by: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(h(seed, key), key))
 
 
-def bounded_rank(df: DataFrame, seed: int, key: str, buckets: int = 64) -> DataFrame:
+def bounded_rank(df: DataFrame, seed: int, key: str, bucket_rows: int = 500_000) -> DataFrame:
     """``rank`` of every row of the whole table in hash order, without ordering the table in one task.
 
-    The hash's high bits deal the rows into buckets; each bucket is ranked alone and starts where those before it end.
+    The hash's high bits deal the rows into buckets of some ``bucket_rows`` rows; each bucket is ranked alone and starts where
+    those before it end.
     """
+    buckets = max(64, df.count() // bucket_rows)
     hashed = df.withColumn("_h", h(seed, F.col(key))).withColumn("_b", F.expr(f"cast(_h * {buckets} div 4294967296 as int)"))
     sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
@@ -34,6 +36,23 @@ def train_split(df: DataFrame, seed: int, key: str, share: float = 0.8) -> DataF
 def bootstrap(groups: DataFrame, draws: int, seed: int) -> DataFrame:
     """(b, slot, idx): ``draws`` resamples with replacement of groups numbered by ``idx`` from 0; the same for every statistic."""
     n = groups.agg(F.count("*").alias("n"))
-    return n.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select(
-        "n", "b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("slot")
-    ).select("b", "slot", (h(seed, F.col("b"), F.col("slot")) % F.col("n")).alias("idx"))
+    turns = groups.sparkSession.range(draws).withColumnRenamed("id", "b").crossJoin(F.broadcast(n))  # one row; the draws are dealt over tasks
+    return turns.select("n", "b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("slot")).select(
+        "b", "slot", (h(seed, F.col("b"), F.col("slot")) % F.col("n")).alias("idx")
+    )
+
+
+def kth_least(df: DataFrame, key: str, share: float, buckets: int = 1024) -> DataFrame:
+    """One row, last: the key at place floor(share * n) of the ``key``s of ``df`` in order, which are distinct whole numbers; none for place 0.
+
+    Keys are counted in ranges; only the range that holds the place is ordered.
+    """
+    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.floor(F.count("*") * share).alias("_k"))
+    ranged = df.select(key).crossJoin(F.broadcast(ends))  # one row
+    ranged = ranged.withColumn("_b", F.floor((F.col(key) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo") + 1) / F.lit(buckets))))
+    sizes = ranged.groupBy("_b", "_k").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_b"))  # ``buckets`` rows
+    held = sizes.withColumn("_to", upto).where("_to >= _k and _to - _n < _k").select("_b", (F.col("_k") - F.col("_to") + F.col("_n")).alias("_place"))
+    inner = F.row_number().over(Window.partitionBy("_b").orderBy(key))
+    found = ranged.select("_b", key).join(F.broadcast(held), "_b").withColumn("_rn", inner)  # one row of ``held``
+    return found.where("_rn = _place").select(F.col(key).alias("last"))

@@ -129,9 +129,7 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups in key order: the first 80 % train, so no group is on both sides."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    groups = orders.select("o_custkey").distinct()
-    cut = groups.agg(F.floor(F.count("*") * 0.8).alias("k"))
-    last = groups.orderBy("o_custkey").withColumn("rn", F.row_number().over(Window.orderBy("o_custkey"))).join(F.broadcast(cut), F.col("rn") == F.col("k")).select(F.col("o_custkey").alias("last"))
+    last = S.kth_least(orders.select("o_custkey").distinct(), "o_custkey", 0.8)  # one row
     return orders.crossJoin(F.broadcast(last)).select("o_orderkey", (F.col("o_custkey") <= F.col("last")).alias("is_train"))
 
 

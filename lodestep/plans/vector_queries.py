@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestep.functions import text as T
@@ -35,7 +35,7 @@ def attn_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax-weighted sum of a chain's steps; the weights' sums come from one pass, no window over a chain."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.get("embedding", F.lit(0)).cast("double").alias("a"))
     top = v.groupBy("label").agg(F.max("a").alias("top"))
-    weighted = v.join(F.broadcast(top), "label").withColumn("e", F.exp(F.col("a") - F.col("top")))  # a row for each chain label
+    weighted = v.join(top, "label").withColumn("e", F.exp(F.col("a") - F.col("top")))
     parts = weighted.select("label", "e", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg((F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("p"))
     return parts.select("label", "dim", F.round("p", 6).alias("pooled"))
 
@@ -50,15 +50,12 @@ def pairwise_cosine_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", F.round(F.try_divide(F.col("q") - F.col("n"), F.col("n") * (F.col("n") - 1)), 6).alias("mean_cosine"))
 
 
-@query("""with q as (select vec_id id, embedding v from embeddings where vec_id % 20 = 0), t as (select vec_id id, embedding v from embeddings where vec_id % 20 = 1),
- s as (select q.id, t.id = q.id + 1 own, round(list_cosine_similarity(cast(q.v as double[]), cast(t.v as double[])), 9) sim from q, t), r as (select id, 1 + count(*) filter (sim > o) rank from (select *, max(case when own then sim end) over (partition by id) o from s) group by id)
+@query("""with q as (select vec_id id, embedding v from embeddings where vec_id % 100 = 0), s as (select q.id, t.vec_id = q.id + 1 own, round(list_cosine_similarity(cast(q.v as double[]), cast(t.embedding as double[])), 9) sim from q, embeddings t where t.vec_id <> q.id),
+ r as (select id, 1 + count(*) filter (sim > o) rank from (select *, max(case when own then sim end) over (partition by id) o from s) where o is not null group by id)
  select round(avg(case when rank <= 1 then 1.0e0 else 0 end), 6) recall1, round(avg(case when rank <= 10 then 1.0e0 else 0 end), 6) recall10, round(avg(1.0e0 / rank), 6) mrr, quantile_cont(cast(rank as double), 0.5) median_rank from r""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each stated query finds its own target among the stated targets."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_v"))
-    t = v.where("vec_id % 20 = 1").select(F.col("vec_id").alias("t_id"), F.col("embedding").alias("t_v"))
-    return M.retrieval(q, t, F.round(V.cosine(F.col("q_v"), F.col("t_v")), 9), F.col("t_id") == F.col("q_id") + 1)
+    """Where each stated query, an id divisible by 100, finds its own target among every other row."""
+    return M.retrieval_whole(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 @query()
@@ -77,9 +74,12 @@ def hardness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(a, "grp", "left").select("vec_id", F.when(F.col("vec_id") % 2 == 1, close).alias("hardness"))
 
 
-DIRECTION = "list_transform(range(0, 64), lambda i: case when i < 4 then 0.5e0 else 0.0e0 end)"
-DOT = f"(0.5e0 * (cast(embedding[1] as double) + embedding[2] + embedding[3] + embedding[4]))"
-PICK = lambda e: f"round({e.format(i=0)}, 6) x0, round({e.format(i=4)}, 6) x4"
+DOT = "(0.5e0 * (cast(embedding[1] as double) + embedding[2] + embedding[3] + embedding[4]))"
+
+
+def _moved_sql(by: str) -> str:
+    """Every component of every vector, the first four moved by ``by`` times their share of the unit direction."""
+    return f"select vec_id, cast(d as integer) dim, round(cast(embedding[d + 1] as double) + case when d < 4 then ({by}) * 0.5e0 else 0 end, 6) x from (select *, unnest(range(0, len(embedding))) d from embeddings)"
 
 
 def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,29 +88,30 @@ def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("d", V.dot(F.col("v"), F.col("w")))
 
 
-@query(f"select vec_id, round(cast(embedding[1] as double) - {DOT} * 0.5e0, 6) x0, round(cast(embedding[5] as double), 6) x4 from embeddings")
+def _moved(v: DataFrame, by: Column) -> DataFrame:
+    return v.select("vec_id", F.posexplode(V.rounded(V.add(F.col("v"), F.col("w"), by))).alias("dim", "x"))
+
+
+@query(_moved_sql(f"-{DOT}"))
 def project_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors without their part along a unit direction."""
-    v = _directed(spark, sf_dir).select("vec_id", V.add(F.col("v"), F.col("w"), -F.col("d")).alias("o"))
-    return v.select("vec_id", F.round(F.get("o", F.lit(0)), 6).alias("x0"), F.round(F.get("o", F.lit(4)), 6).alias("x4"))
+    return _moved(_directed(spark, sf_dir), -F.col("d"))
 
 
-@query(f"select vec_id, round(cast(embedding[1] as double) + ((select avg({DOT}) from embeddings) - {DOT}) * 0.5e0, 6) x0 from embeddings")
+@query(_moved_sql(f"(select avg({DOT}) from embeddings) - {DOT}"))
 def mean_ablate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part along a direction replaced by its mean."""
     v = _directed(spark, sf_dir)
     mean = v.agg(F.avg("d").alias("m"))
-    out = v.crossJoin(F.broadcast(mean)).select("vec_id", V.add(F.col("v"), F.col("w"), F.col("m") - F.col("d")).alias("o"))
-    return out.select("vec_id", F.round(F.get("o", F.lit(0)), 6).alias("x0"))
+    return _moved(v.crossJoin(F.broadcast(mean)), F.col("m") - F.col("d"))  # one row
 
 
-@query(f"select vec_id, round(cast(embedding[1] as double) + 2 * (select stddev_pop({DOT}) from embeddings) * 0.5e0, 6) x0 from embeddings")
+@query(_moved_sql(f"2 * (select stddev_pop({DOT}) from embeddings)"))
 def steer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two standard deviations added along a direction."""
     v = _directed(spark, sf_dir)
     sd = v.agg(F.stddev_pop("d").alias("s"))
-    out = v.crossJoin(F.broadcast(sd)).select("vec_id", V.add(F.col("v"), F.col("w"), 2 * F.col("s")).alias("o"))
-    return out.select("vec_id", F.round(F.get("o", F.lit(0)), 6).alias("x0"))
+    return _moved(v.crossJoin(F.broadcast(sd)), 2 * F.col("s"))  # one row
 
 
 @query(f"""with f as (select doc_id, lang, cast(len({words_sql('text')}) as double) w from documents), m as (select avg(w) mu, stddev_pop(w) sd from f)
