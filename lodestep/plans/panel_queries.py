@@ -412,7 +412,7 @@ for _ in range(7):
 BOXED = "'first \\boxed{1}, then \\boxed{\\frac{\\sqrt{\\frac{a}{b_{c}}}}{' || o_orderkey || '}} is the value. Done' || case when o_orderkey % 2 = 0 then '}' else ' \\boxed{open {' || o_orderkey end"
 
 
-@query(f"""with r as (select o_orderkey k, list_extract(string_split({BOXED}, '\\boxed{{'), -1) rest from orders) select k, trim(case when regexp_matches(rest, '^{NESTED}\}}') then regexp_extract(rest, '^({NESTED})\}}', 1) else rest end) boxed from r""")
+@query(f"""with r as (select o_orderkey k, list_extract(string_split({BOXED}, '\\boxed{{'), -1) rest from orders) select k, trim(case when regexp_matches(rest, '^{NESTED}\\}}') then regexp_extract(rest, '^({NESTED})\\}}', 1) else rest end) boxed from r""")
 def boxed_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last boxed answer with braces five deep, and with a group that is never closed."""
     key = F.col("o_orderkey").cast("string")
