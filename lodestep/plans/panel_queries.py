@@ -15,6 +15,7 @@ from lodestep.operators import sampling as S
 from lodestep.plans.metric_queries import SCORED, scored
 from lodestep.plans.registry import query
 from lodestep.sources.tables import table
+from lodestep.streaming import incremental
 
 #: Step scores of chains: orders are chains, their items steps; the first item with a discount of 0.08 or more is the error.
 STEPS = "(select l_orderkey id, l_linenumber - 1 i, 1 - l_tax p, l_discount >= 0.08 bad from lineitem)"
@@ -419,3 +420,10 @@ def boxed_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("o_orderkey") % 2 == 0, "}").otherwise(F.concat(F.lit(" \\boxed{open {"), key))
     text = F.concat(F.lit("first \\boxed{1}, then \\boxed{\\frac{\\sqrt{\\frac{a}{b_{c}}}}{"), key, F.lit("}} is the value. Done"), tail)
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), T.last_boxed(text).alias("boxed"))
+
+
+@query("""select strftime(ts, '%Y-%m-%d %H') as hour, event_type, cast(count(*) as bigint) n from events where ts is not null group by 1, 2""")
+def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type in tumbling hours: the window that the stream uses, over the whole table."""
+    seen = incremental.windowed_counts(table(spark, sf_dir, "events").select("ts", "event_type"), "ts", "event_type")
+    return seen.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +10,21 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below the temporary folder only where that is unset, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``; without that setting below a temporary folder within one machine, as in tests, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor see")
         base = f"file://{tempfile.mkdtemp(prefix='lodestep-stream-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file system, so any store works."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run_once(source: DataFrame, path: str, folder: str, keys: list[str] | None = None, time_column: str | None = None, late: str = "1 hour") -> None:
     """Appends what a streaming source holds to Parquet at ``path`` and ends; a later run with the same ``folder`` goes on from there.
 
@@ -42,4 +49,7 @@ def drain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     run_once(stream.select("event_id", "event_type", "value"), f"{folder}/out", f"{folder}/checkpoint")
     out = spark.read.parquet(f"{folder}/out")
-    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    totals = out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    totals.coalesce(1).write.parquet(f"{folder}-totals")  # one row for each type; what was drained goes
+    remove(spark, folder)
+    return spark.read.schema(totals.schema).parquet(f"{folder}-totals")
