@@ -94,14 +94,27 @@ def approach_corruption(steps: Column, key: Column, seed: int = 6) -> Column:
     return F.when(F.size(steps) > 0, F.concat(F.array(sentence), F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1))))).otherwise(steps)
 
 
-def step_corruption(steps: Column, key: Column, seed: int = 7) -> Column:
-    """Seven in ten lose an interior step, the others have two neighbours swapped; fewer than three steps stay."""
+def separator(response: Column) -> Column:
+    """What stands between the steps of a solution: a blank line, else a line break, else a space."""
+    return F.when(F.contains(response, F.lit("\n\n")), "\n\n").when(F.contains(response, F.lit("\n")), "\n").otherwise(" ")
+
+
+def step_corruption(steps: Column, key: Column, seed: int = 7, mode: str = "auto", inserted: tuple[str, ...] = tuple(P.INERT_STEPS)) -> Column:
+    """An interior step deleted (``delete``), swapped with its neighbour (``shuffle``) or one of ``inserted`` put before it (``insert``).
+
+    ``auto`` deletes for seven keys in ten and swaps for the others. Fewer than three steps stay.
+    """
     n = F.size(steps)
     at = (h(seed + 1, key) % F.greatest(n - 2, F.lit(1))).cast("int") + 1
     swap = F.when(n - 2 >= 2, (h(seed + 1, key) % F.greatest(n - 3, F.lit(1))).cast("int") + 1).otherwise(0)
     deleted = F.filter(steps, lambda s, i: i != at)
     swapped = F.transform(steps, lambda s, i: F.when(i == swap, F.get(steps, swap + 1)).when(i == swap + 1, F.get(steps, swap)).otherwise(s))
-    return F.when(n < 3, steps).when(u(seed, key) < 0.7, deleted).otherwise(swapped)
+    if mode == "insert":
+        new = F.get(F.array(*map(F.lit, inserted)), (h(seed + 2, key) % len(inserted)).cast("int"))
+        put = F.concat(F.slice(steps, F.lit(1), at), F.array(new), F.slice(steps, at + 1, F.greatest(n, F.lit(1))))
+        return F.when(n < 3, steps).otherwise(put)
+    out = {"delete": deleted, "shuffle": swapped, "auto": F.when(u(seed, key) < 0.7, deleted).otherwise(swapped)}[mode]
+    return F.when(n < 3, steps).otherwise(out)
 
 
 def perturb_number(value: Column, key: Column, seed: int = 8) -> Column:
