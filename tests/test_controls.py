@@ -148,3 +148,10 @@ def test_probe_tells_a_label_from_a_confound(spark):
     v = rng.normal(size=400)
     df = spark.createDataFrame([(i % 5, int(v[i] + rng.normal() > 0), [float(v[i])]) for i in range(400)], "fold int, label int, v array<double>")
     assert C.probe(df, "v", "label", F.col("fold") != 0).first().auc > 0.7
+
+
+def test_every_kind_of_damage_applies_where_it_has_a_site(spark):
+    sites, none = ["Let x > 0 be a real number.", "By equation (1) and step 2, x = 3.", "Since n is an integer, from (1) we get y = 4."], ["plain"]
+    df = spark.createDataFrame([(1, sites), (2, none)], "k long, steps array<string>")
+    hits = {r.k: r for r in df.select("k", *[X.apply_damage(F.col("steps"), kind, F.col("k")).isNotNull().alias(kind) for kind in X.DAMAGES]).collect()}
+    assert all(hits[1][kind] for kind in X.DAMAGES) and not any(hits[2][kind] for kind in X.DAMAGES)
