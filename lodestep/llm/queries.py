@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestep.llm import decontam, fuzzy_lines, near_dup, packing, quality, repeats, token_files, topk, toxicity, url_filter
+from lodestep.llm import decontam, fim, fuzzy_lines, near_dup, packing, quality, repeats, resampling, sharding, token_files, topk, toxicity, url_filter
 from lodestep.sources.tables import table
 
 
@@ -62,6 +62,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"), seed=1, percent=90, percent_spm=20)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fim.restore(F.col("output"), F.col("form"))
+    chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n", "form", *chars, digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, n=3, size=10_000, least_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.layout(table(spark, sf_dir, "documents"), shards=8, seed=42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -74,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_decontam": op9_decontam,
         "op10_toxicity": op10_toxicity,
+        "op11_fim": op11_fim,
+        "op12_resampling": op12_resampling,
+        "op13_sharding": op13_sharding,
     }
 
 
@@ -107,6 +127,62 @@ OP9_SQL = f"""with d as (select doc_id, regexp_extract_all({LOWER}, {WORD}) w fr
  from d left join pos using (doc_id) left join its using (doc_id)"""
 
 
+OP11_SQL = """with h as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) d from documents),
+ u as (select doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') u, [cast('0x' || substr(d, 8 * i + 1, 8) as bigint) for i in [0, 1, 2, 3]] h from h),
+ k as (select *, len(u) n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) lo, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) hi,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end form from u),
+ p as (select *, array_to_string(u[:lo], '') p, array_to_string(u[lo + 1:hi], '') m, array_to_string(u[hi + 1:], '') s from k)
+ select doc_id, cast(n as bigint) n, form, cast(case when form <> 'plain' then length(p) end as bigint) prefix_chars, cast(case when form <> 'plain' then length(m) end as bigint) middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from p"""
+
+
+def _nibbles() -> list[int]:
+    """What four bits of a CRC-32 state become, by its polynomial."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [x >> 1 ^ (x & 1) * 0xEDB88320 for x in out]
+    return out
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes in DuckDB SQL, four bits at a time; null for an empty text."""
+    fold = lambda x: f"xor({x} >> 4, {_nibbles()}[({x} & 15) + 1])"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: cast('0x' || b as bigint))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {data}), lambda c, b: {fold(fold('xor(c, b)'))}), 4294967295)"
+
+
+OP12_SQL = f"""with x as (select row_number() over () r, doc_id, regexp_extract_all({LOWER}, {WORD}) w from documents), y as (select row_number() over () r, regexp_extract_all({LOWER}, {WORD}) w from benchmark),
+ g as (select r, array_to_string(w[p:p + k - 1], ' ') g from (select r, w, k, unnest(range(1, len(w) - k + 2)) p from x, range(1, 4) n(k))), gt as (select array_to_string(w[p:p + k - 1], ' ') g from (select w, k, unnest(range(1, len(w) - k + 2)) p from y, range(1, 4) n(k))),
+ b as (select g, {crc32_sql("g")} % 10000 b from (select g from g union select g from gt)),
+ f as (select r, b, count(*) n from g join b using (g) group by r, b), s as (select b, sum(n) s from f group by b), t as (select b, count(*) t from gt join b using (g) group by b),
+ v as (select b.b, floor(1000 * ln((coalesce(t, 0) + 1e0) * ((select coalesce(sum(s), 0) from s) + 10000e0) / ((coalesce(s, 0) + 1e0) * ((select coalesce(sum(t), 0) from t) + 10000e0)))) v from range(10000) b(b) left join s using (b) left join t using (b)),
+ w as (select r, sum(n) n, sum(n * v) w from f join v using (b) group by r),
+ d as (select doc_id, len(x.w) >= 20 able, cast(coalesce(n, 0) as bigint) n_features, cast(coalesce(w.w, 0) as bigint) weight,
+  cast(coalesce(w.w, 0) + floor(-1000e0 * ln(-ln((cast('0x' || sha256('42:' || coalesce(cast(doc_id as varchar), ''))[:8] as bigint) + 0.5e0) / 4294967296e0))) as bigint) score from x left join w using (r)),
+ o as (select *, row_number() over (partition by able order by score desc, doc_id) rn, count(*) over (partition by able) c from d)
+ select doc_id, n_features, weight, score, cast(case when able and rn <= c * 5 // 100 then rn end as bigint) rank from o"""
+
+
+def _op13_sql(shards: int = 8, seed: int = 42) -> str:
+    """The permutation in SQL: six rounds over two halves, and the walk as a recursion."""
+    low, mixed = "4294967295", "xor(r, {key})"
+    for _ in range(2):
+        mixed = f"((xor({mixed} >> 16, {mixed}) * {sharding.MIX}) & {low})"
+    half = "(select k from n)"
+    turns = ", ".join(
+        f"t{i + 1} as (select i, r l, xor(l, xor(m >> 16, m) & ((1 << {half}) - 1)) r from (select i, l, r, {mixed.format(key=key)} m from t{i}))" for i, key in enumerate(sharding.round_keys(seed))
+    )
+    once = f"(with t0 as (select i, x >> {half} l, x & ((1 << {half}) - 1) r from {{src}}), {turns} select i, (l << {half}) | r x from t{len(sharding.round_keys(seed))})"
+    return f"""with recursive d as (select cast(doc_id as bigint) doc_id, coalesce(text, '') t from documents), i as (select *, row_number() over (order by doc_id nulls first, sha256(t)) - 1 i from d),
+ n as (select count(*) n, greatest(1, cast(ceil(length(ltrim(bin(greatest(count(*) - 1, 1)), '0')) / 2.0e0) as bigint)) k from d),
+ z as (select i, x from {once.format(src="(select i, i x from i)")} union all select i, x from {once.format(src="(select i, x from z where x >= (select n from n))")})
+ select doc_id, cast(octet_length(encode(t)) + 1 as bigint) size, coalesce({crc32_sql("t")}, 0) text_crc32, 'rows' law, cast(x % {shards} as integer) shard, cast(x // {shards} as bigint) slot, cast(null as integer) grown_shard
+ from i join z using (i) where x < (select n from n)"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators whose rows SQL can express; the others are tested against brute force."""
-    return {"op5_near_dup": OP5_SQL, "op8_topk": OP8_SQL, "op9_decontam": OP9_SQL}
+    return {"op5_near_dup": OP5_SQL, "op8_topk": OP8_SQL, "op9_decontam": OP9_SQL, "op11_fim": OP11_SQL, "op12_resampling": OP12_SQL, "op13_sharding": OP13_SQL}
