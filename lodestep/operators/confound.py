@@ -55,11 +55,11 @@ def probe(df: DataFrame, vector: str, label: str, train: Column) -> DataFrame:
     df = _vectors(df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()), vector)
     n = df.where(train).count()
     model = LogisticRegression(labelCol=label, regParam=1.0 / max(n, 1), standardization=False, maxIter=100).fit(df.where(train).select(label, "features"))
-    scored = model.transform(df.where(~train)).select((F.col(label) == 1).alias("pos"), F.col("prediction").alias("z"), F.round(vector_to_array("probability")[1], 9).alias("score"), F.lit(1).alias("one"))
+    scored = model.transform(df.where(~train)).select((F.col(label) == 1).alias("pos"), F.col("prediction").alias("z"), F.round(vector_to_array("probability")[1], 9).alias("score"))
     hit = lambda a, b: F.count_if((F.col("pos") == a) & (F.col("z") == b)).cast("double")
     f1 = M.f1(hit(True, 1), hit(False, 1), hit(True, 0))
-    counts = scored.groupBy("one").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pos") == (F.col("z") == 1)).cast("double")), 6).alias("accuracy"), F.round(f1, 6).alias("f1"))
-    return counts.join(M.auc(scored, "score", "pos", ["one"]), "one").drop("one")
+    counts = scored.agg(F.count("*").alias("n"), F.round(F.avg((F.col("pos") == (F.col("z") == 1)).cast("double")), 6).alias("accuracy"), F.round(f1, 6).alias("f1"))
+    return counts.crossJoin(M.auc(scored, "score", "pos", []))  # one row each
 
 
 def pca(df: DataFrame, vector: str, k: int) -> DataFrame:

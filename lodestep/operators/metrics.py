@@ -1,7 +1,7 @@
 """Ranking and agreement metrics as aggregations and windows; scores tie by average rank.
 
-Windows over a whole table are avoided: ranks come from counts of distinct scores, so only one row for each score
-and group is ever ordered.
+No window runs over a whole table or a whole group: ranks come from counts of distinct scores, which are dealt into ranges of
+scores; each range is ordered alone and starts where those before it end.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestep.functions import vectors as V
 
@@ -19,21 +20,71 @@ def score_counts(df: DataFrame, score: str, positive: str, by: list[str]) -> Dat
     return df.groupBy(*by, score).agg(F.count_if(positive).alias("pos"), F.count("*").alias("n"))
 
 
+#: Ranges that a group's distinct scores are dealt into at most, and the scores for which another range is made.
+MOST_RANGES, RANGE_SCORES = 1024, 50_000
+
+
+def ranged(counts: DataFrame, score: str, by: list[str], name: str = "_range", most: int = MOST_RANGES, each: int = RANGE_SCORES) -> DataFrame:
+    """``counts`` with ``name``: the number from 0 of the range of its group's scores that a row is in, which never splits equal scores.
+
+    Bounds are approximate quantiles of the rows' scores, one set a group and only for groups of more than ``each`` rows (of 16, for one group alone), so at
+    most ``most`` numbers for each such group reach the driver, as with Spark's own range partitioning. They are collected once, so that two uses of the
+    ranges agree. A null score is in the first range, NaN in the last.
+    """
+    steps = (most - 1).bit_length()
+    marks = F.percentile_approx(score, F.array(*[F.lit(i / most) for i in range(1, most)]), F.lit(20 * most))
+    least = each if by else 16
+    rows = counts.groupBy(*by).agg(F.count(score).alias("_n"), marks.alias("_q")).where(F.col("_n") > least).collect()
+    bounds = []
+    for r in rows:
+        kept = min(most, 1 << max(4 if not by else 1, (r["_n"] // each).bit_length()))
+        bounds.append((*[r[c] for c in by], sorted(set(r["_q"][most // kept - 1 :: most // kept]))))
+    if not bounds:
+        return counts.withColumn(name, F.lit(0))
+    kind = next(f.dataType for f in counts.schema.fields if f.name.lower() == score.lower())
+    if by:
+        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in counts.select(*by).schema.fields], T.StructField("_bounds", T.ArrayType(kind))])
+        table = counts.sparkSession.createDataFrame(bounds, schema)
+        same = [counts[c].eqNullSafe(table[c]) for c in by]
+        joined = counts.join(F.broadcast(table), same, "left").select(*[counts[c] for c in counts.columns], "_bounds")  # a row for each ``each`` rows at most
+    else:
+        joined = counts.withColumn("_bounds", F.array(*[F.lit(x).cast(kind) for x in bounds[0][-1]]))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+    found = F.aggregate(halves, F.lit(0), lambda lo, half: lo + F.when(F.get("_bounds", lo + half - 1) <= F.col(score), half).otherwise(0))
+    return joined.withColumn(name, F.coalesce(found, F.lit(0))).drop("_bounds")
+
+
+def _in_order(parts: DataFrame, by: list[str], columns: list[str], descending: bool = False) -> DataFrame:
+    """One row for each group with ``_parts``, its ranges' rows in order: at most ``MOST_RANGES``."""
+    return parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_range", *columns)), not descending).alias("_parts"), *[F.sum(c).alias(c) for c in columns])
+
+
 def auc(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve by rank sum, ties by average rank; null where a class is missing."""
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = score_counts(df, score, positive, by).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    rank = F.col("below") + (F.col("n") + 1) / 2.0
-    out = ranked.groupBy(*by).agg(F.sum(rank * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum("n").cast("double").alias("m"))
-    value = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("m") - F.col("p")))
-    return out.select(*by, F.round(value, 6).alias("auc"))
+    """Area under the ROC curve by rank sum, ties by average rank; null where a class is missing. ``by`` may be empty."""
+    counts = ranged(score_counts(df, score, positive, by), score, by)
+    w = Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    neg = F.col("n") - F.col("pos")
+    inner = counts.withColumn("_below", F.coalesce(F.sum(neg).over(w), F.lit(0)))
+    parts = inner.groupBy(*by, "_range").agg(F.sum(F.col("pos") * (F.col("_below") + neg / 2.0)).alias("u"), F.sum("pos").cast("double").alias("p"), F.sum(neg).cast("double").alias("q"))
+    start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("u"))
+    whole = F.aggregate("_parts", start, lambda a, x: F.struct((a["q"] + x["q"]).alias("q"), (a["u"] + x["u"] + x["p"] * a["q"]).alias("u")))
+    out = _in_order(parts, by, ["u", "p", "q"]).where("size(_parts) > 0")
+    return out.select(*by, F.round(F.try_divide(whole["u"], F.col("p") * F.col("q")), 6).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
-    """Step-wise average precision over distinct thresholds."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    cum = score_counts(df, score, positive, by).select(*by, "pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
-    out = cum.groupBy(*by).agg(F.sum(F.col("tp") / F.col("seen") * F.col("pos")).alias("s"), F.sum("pos").alias("p"))
+    """Step-wise average precision over distinct thresholds. ``by`` may be empty."""
+    counts = ranged(score_counts(df, score, positive, by), score, by)
+    parts = counts.groupBy(*by, "_range").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    start = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("m"), F.expr("cast(array() as array<struct<_range: int, p: bigint, m: bigint>>)").alias("l"))
+    before = lambda a, x: F.struct(
+        (a["p"] + x["p"]).alias("p"), (a["m"] + x["m"]).alias("m"), F.concat(a["l"], F.array(F.struct(x["_range"].alias("_range"), a["p"].alias("p"), a["m"].alias("m")))).alias("l")
+    )
+    above = _in_order(parts, by, ["p", "m"], descending=True).select(*by, F.inline(F.aggregate("_parts", start, before)["l"])).withColumnsRenamed({"p": "_p0", "m": "_m0"})
+    w = Window.partitionBy(*by, "_range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.select(*by, "_range", "pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
+    joined = cum.join(above, [cum[c].eqNullSafe(above[c]) for c in (*by, "_range")]).select(*[cum[c] for c in by], "pos", (F.col("tp") + F.col("_p0")).alias("tp"), (F.col("seen") + F.col("_m0")).alias("seen"))
+    out = joined.groupBy(*by).agg(F.sum(F.col("tp") / F.col("seen") * F.col("pos")).alias("s"), F.sum("pos").alias("p"))
     return out.select(*by, F.round(F.try_divide("s", "p"), 6).alias("average_precision"))
 
 

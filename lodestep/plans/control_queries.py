@@ -11,6 +11,7 @@ from lodestep.functions.rand import h, sql_h
 from lodestep.operators import confound as C
 from lodestep.operators import controls as K
 from lodestep.operators import corrupt as X
+from lodestep.operators import probes as R
 from lodestep.plans.corruption_queries import STEPS as STEPS_SQL
 from lodestep.plans.corruption_queries import documents
 from lodestep.plans.metric_queries import SCORED, scored
@@ -66,11 +67,14 @@ def kernel_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judge_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a label can be told from confounds alone: the held-out AUC of each of five folds and their mean, as ``fold`` -1."""
     rows = C.standardise(_folded(spark, sf_dir), ["ll", "score"]).select("fold", F.col("pos").cast("int").alias("label"), F.array("z_ll", "z_score").alias("v"))
-    out = None
-    for f in range(5):
-        one = C.probe(rows, "v", "label", F.col("fold") != f).select(F.lit(f).alias("fold"), "n", "auc")
-        out = one if out is None else out.union(one)
-    return out.union(out.agg(F.lit(-1).alias("fold"), F.sum("n").alias("n"), F.round(F.avg("auc"), 6).alias("auc")))
+    models = [R.Model(f"fold {f}", f, [0, 1]) for f in range(5)]
+    weights = R.fit_logistic(rows, "v", 2, "label", "fold", models)
+    found = R.held_out_metrics(R.held_out_scores(rows, "v", 2, "label", "fold", models, weights), ["fold"])
+    # A grouping set: the folds' rows and, in the same pass, the mean over them.
+    every = F.grouping_id() == 1
+    return found.select(F.col("fold").cast("int").alias("f"), "n", "auc").groupingSets([["f"], []], "f").agg(every.alias("m"), F.sum("n").alias("n"), F.round(F.avg("auc"), 6).alias("auc")).select(
+        F.when(F.col("m"), -1).otherwise(F.col("f")).alias("fold"), "n", "auc"
+    )
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,12 +67,12 @@ def head_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.groupBy("layer", "head").agg(F.round(F.avg(F.abs("w")), 6).alias("written"), F.count("*").alias("n"))
 
 
-@query("""with e as (select label % 2 = 1 pos, unnest(range(0, len(embedding))) d, round(cast(unnest(embedding) as double), 4) x from embeddings where label is not null),
+@query("""with e as (select label % 2 = 1 pos, unnest(range(0, len(embedding))) d, cast(unnest(embedding) as double) x from embeddings where label is not null),
  r as (select d, pos, rank() over (partition by d order by x) + (count(*) over (partition by d, x) - 1) / 2.0e0 r from e), a as (select d, sum(case when pos then r else 0 end) s, cast(count(*) filter (pos) as double) p, cast(count(*) as double) n from r group by d)
  select cast(d as integer) dim, round((s - p * (p + 1) / 2) / nullif(p * (n - p), 0), 6) auc from a""")
 def dimension_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well each component alone tells odd labels, as its AUC; components at four places, so a task orders some ten thousand values however many rows there are."""
-    e = table(spark, sf_dir, "embeddings").where("label is not null").select((F.col("label") % 2 == 1).alias("pos"), F.posexplode(V.rounded(V.doubles(F.col("embedding")), 4)).alias("dim", "x"))
+    """How well each component alone tells odd labels, as its AUC over exact values."""
+    e = table(spark, sf_dir, "embeddings").where("label is not null").select((F.col("label") % 2 == 1).alias("pos"), F.posexplode(V.doubles(F.col("embedding"))).alias("dim", "x"))
     return M.auc(e, "x", "pos", ["dim"])
 
 

@@ -50,10 +50,10 @@ def base_rate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
  select auc, mean_error, mean_other, case when auc < 0.55e0 then 'abort' when auc < 0.65e0 then 'flag' else 'pass' end gate from v, m""")
 def step_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether low step scores find errors at all: AUC, mean score of error and other steps, and the gate that it passes."""
-    s = steps(spark, sf_dir).withColumn("low", -F.col("p")).withColumn("one", F.lit(1))
-    auc = M.auc(s, "low", "bad", ["one"])
-    means = s.groupBy("one").agg(F.round(F.avg(F.when(F.col("bad"), F.col("p"))), 6).alias("mean_error"), F.round(F.avg(F.when(~F.col("bad"), F.col("p"))), 6).alias("mean_other"))
-    return auc.join(means, "one").select("auc", "mean_error", "mean_other", F.when(F.col("auc") < 0.55, "abort").when(F.col("auc") < 0.65, "flag").otherwise("pass").alias("gate"))
+    s = steps(spark, sf_dir).withColumn("low", -F.col("p"))
+    auc = M.auc(s, "low", "bad", [])
+    means = s.agg(F.round(F.avg(F.when(F.col("bad"), F.col("p"))), 6).alias("mean_error"), F.round(F.avg(F.when(~F.col("bad"), F.col("p"))), 6).alias("mean_other"))
+    return auc.crossJoin(means).select("auc", "mean_error", "mean_other", F.when(F.col("auc") < 0.55, "abort").when(F.col("auc") < 0.65, "flag").otherwise("pass").alias("gate"))
 
 
 @query(f"""with t as (select source, score, sum(case when pos then 1 else 0 end) p, count(*) n from {SCORED} group by 1, 2), c as (select source, score, p, n, sum(p) over w tp, sum(n) over w seen from t window w as (partition by source order by score desc)),
@@ -96,13 +96,11 @@ def controlled_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = _train()
     m = scored(spark, sf_dir).select("doc_id", "source", "pos", F.log1p("w").alias("x"), F.col("score").cast("double").alias("y"))
     both = N.centred(C.residualize(m, ["y"], ["x"], train), ["x", "y"], ["source"], train)
-    both = N.ridge_1d(both, "c_y", "c_x", train, 0.0).where(~train).withColumn("one", F.lit(1))
+    both = N.ridge_1d(both, "c_y", "c_x", train, 0.0).where(~train)
     arms = {"raw": "y", "controlled": "y_residual", "controlled_source": "residual"}
-    out = None
-    for name, column in arms.items():
-        one = M.auc(both.withColumn(column, F.round(column, 6)), column, "pos", ["one"]).withColumnRenamed("auc", name)
-        out = one if out is None else out.join(one, "one")
-    return out.drop("one")
+    long = both.select("pos", F.inline(F.array(*[F.struct(F.lit(name).alias("arm"), F.round(column, 6).alias("score")) for name, column in arms.items()])))
+    auc = M.auc(long, "score", "pos", ["arm"])
+    return auc.agg(*[F.max(F.when(F.col("arm") == name, F.col("auc"))).alias(name) for name in arms])
 
 
 @query(f"""with a as (select round(corr(case when pos then 1.0e0 else 0 end, ln(1 + w)), 6) r_length, round(corr(cast(score as double), ln(1 + w)), 6) r_score from {SCORED}),
