@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestep.functions import vectors as V
 from lodestep.functions.rand import h
 from lodestep.operators import sampling as S
+from lodestep.operators.matching import matched  # noqa: F401
 
 
 def _products(names: list[str]) -> list[Column]:
@@ -156,29 +157,6 @@ def oblique(v: Column, basis: np.ndarray, kept: np.ndarray) -> Column:
     return moved(v, basis - kept @ (kept.T @ basis), basis)
 
 
-def matched(df: DataFrame, key: str, positive: str, exact: list[str], near: str, width: float) -> DataFrame:
-    """(``exact``, a_key, b_key): rows of either class paired one to one, equal in ``exact`` and at most ``width`` apart in ``near``, over band borders too.
-
-    Rows are paired in order of ``near`` within bands as wide as ``width``; those left over are paired within bands shifted by
-    half of it, so two rows on either side of a border meet. A task orders one class of one band of one group. Nulls pair with nothing;
-    ``key`` tells rows apart.
-    """
-    columns = [F.col(key).alias("_key"), F.col(positive).alias("_pos"), *exact, F.col(near).cast("double").alias("_near")]
-    rows = df.select(*columns).dropna()
-
-    def paired(some: DataFrame, shift: float) -> DataFrame:
-        band = F.floor((F.col("_near") + shift) / width).alias("_band")
-        order = Window.partitionBy(*exact, "_band", "_pos").orderBy("_near", "_key")
-        ranked = some.select("*", band).withColumn("_rn", F.row_number().over(order))
-        side = lambda p, c: ranked.where(c).select(*exact, "_band", "_rn", F.col("_key").alias(f"{p}_key"), F.col("_near").alias(f"{p}_near"))
-        met = side("a", "not _pos").join(side("b", "_pos"), [*exact, "_band", "_rn"])
-        return met.where(F.abs(F.col("a_near") - F.col("b_near")) <= width).select(*exact, "a_key", "b_key")
-
-    first = paired(rows, 0.0)
-    used = first.select(F.explode(F.array("a_key", "b_key")).alias("_key"))
-    return first.union(paired(rows.join(used, "_key", "left_anti"), width / 2))
-
-
 def gap_interval(df: DataFrame, group: str, value: str, hit: str, draws: int, seed: int, blocks: int = 200) -> DataFrame:
     """(groups, gap, lo, hi, excludes_zero): mean of ``value`` over rows with ``hit`` less the mean over the others, and its 95 % interval by resampling whole groups.
 

@@ -111,14 +111,21 @@ def oblique_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(rows, K.oblique(F.col("embedding"), basis, kept))
 
 
-@query(f"""with r as (select d.doc_id, d.source, len(s.steps) steps, quality = 0 pos, ln(1 + length(d.text)) ll from documents d join {STEPS_SQL} s using (doc_id) join labels l using (doc_id) where quality is not null and d.text is not null),
- k as (select *, row_number() over (partition by source, steps, floor(ll / 0.1e0), pos order by ll, doc_id) rn, floor(ll / 0.1e0) band from r),
- one as (select a.source, a.steps, a.doc_id a_key, b.doc_id b_key from k a join k b on not a.pos and b.pos and a.source = b.source and a.steps = b.steps and a.band = b.band and a.rn = b.rn where abs(a.ll - b.ll) <= 0.1e0),
- o as (select *, row_number() over (partition by source, steps, floor((ll + 0.05e0) / 0.1e0), pos order by ll, doc_id) rn, floor((ll + 0.05e0) / 0.1e0) band from r where doc_id not in (select a_key from one union all select b_key from one)),
- two as (select a.source, a.steps, a.doc_id a_key, b.doc_id b_key from o a join o b on not a.pos and b.pos and a.source = b.source and a.steps = b.steps and a.band = b.band and a.rn = b.rn where abs(a.ll - b.ll) <= 0.1e0)
- select source, cast(steps as integer) steps, a_key, b_key from (select * from one union all select * from two)""")
+def sweep_sql(rows: str, exact: str, width: str = "0.1e0") -> str:
+    """Common table expressions from ``rows`` (``exact``, key, pos, ll): z has a_key and b_key of the pairs that a sweep of both classes in order makes, group by group."""
+    lists = ", ".join(f"list({c} order by ll, key) filter ({p}) {n}" for n, c, p in (("a", "key", "not pos"), ("al", "ll", "not pos"), ("b", "key", "pos"), ("bl", "ll", "pos")))
+    close = f"abs(al[i] - bl[j]) <= {width}"
+    return f"""r as ({rows}), g as (select {exact}, {lists} from r group by all having count(*) filter (pos) > 0 and count(*) filter (not pos) > 0),
+ z as (select {exact}, 1 i, 1 j, cast(null as bigint) a_key, cast(null as bigint) b_key from g union all select {exact}, case when {close} or al[i] < bl[j] then i + 1 else i end, case when {close} or al[i] > bl[j] then j + 1 else j end,
+  case when {close} then a[i] end, case when {close} then b[j] end from z join g using ({exact}) where i <= len(a) and j <= len(b))"""
+
+
+_CLOSE = f"select d.doc_id as key, d.source, len(s.steps) steps, quality = 0 pos, ln(1 + length(d.text)) ll from documents d join {STEPS_SQL} s using (doc_id) join labels l using (doc_id) where quality is not null and d.text is not null"
+
+
+@query(f"with recursive {sweep_sql(_CLOSE, 'source, steps')} select source, cast(steps as integer) steps, a_key, b_key from z where a_key is not null")
 def matched_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sound and unsound documents of one source and one number of steps paired one to one, lengths at most a tenth apart on a log scale."""
+    """As many sound and unsound documents of one source and one number of steps as can be paired one to one, lengths at most a tenth apart on a log scale."""
     rows = documents(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     labels = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", (F.col("quality") == 0).alias("pos"))
     rows = rows.join(labels, "doc_id").select("doc_id", "source", F.size("steps").alias("steps"), "pos", F.log1p(F.length("text")).alias("ll"))

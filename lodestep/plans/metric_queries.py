@@ -63,21 +63,6 @@ def point_biserial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).agg(F.round(F.corr(F.col("pos").cast("double"), F.log1p("w")), 6).alias("r"), F.count("*").alias("n"))
 
 
-_cell = "select source, pos, ln(1 + w) ll, row_number() over (partition by source, floor(ln(1 + w) / 0.1e0), pos order by doc_id) rn, floor(ln(1 + w) / 0.1e0) cell, doc_id, score from " + SCORED
-
-
-@query(f"""with c as ({_cell}) select a.source, cast(a.doc_id as bigint) a_id, cast(b.doc_id as bigint) b_id, a.score < b.score as ordered from c a join c b
- on a.source = b.source and a.cell = b.cell and a.rn = b.rn and not a.pos and b.pos where abs(a.ll - b.ll) <= 0.1e0""")
-def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sound and unsound solutions of one source paired one to one within bands of log length."""
-    ll = F.log1p("w")
-    cells = scored(spark, sf_dir).withColumn("ll", ll).withColumn("cell", F.floor(ll / 0.1))
-    cells = cells.withColumn("rn", F.row_number().over(Window.partitionBy("source", "cell", "pos").orderBy("doc_id")))
-    a = cells.where("not pos").select("source", "cell", "rn", F.col("doc_id").alias("a_id"), F.col("ll").alias("a_ll"), F.col("score").alias("a_score"))
-    b = cells.where("pos").select("source", "cell", "rn", F.col("doc_id").alias("b_id"), F.col("ll").alias("b_ll"), F.col("score").alias("b_score"))
-    return a.join(b, ["source", "cell", "rn"]).where("abs(a_ll - b_ll) <= 0.1D").select("source", "a_id", "b_id", (F.col("a_score") < F.col("b_score")).alias("ordered"))
-
-
 #: Step scores and labels of orders' line items: the first item with a discount of 0.08 or more is the error.
 STEPS = "(select l_orderkey id, l_linenumber - 1 i, l_tax * 10 p, l_discount >= 0.08 bad from lineitem)"
 
