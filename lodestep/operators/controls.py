@@ -1,20 +1,23 @@
 """Cross-fitted control, directions and erasure of concepts, and matching.
 
 Every fit needs sums only: rows are folded into moments where they lie, and one small table of moments, whose size is set by
-the columns or the dimension and never by the rows, reaches the driver. What is fitted is applied as a Column.
+the columns or the dimension and never by the rows, reaches the driver. What is fitted is applied to whole batches, or as a Column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestep.functions import vectors as V
 from lodestep.functions.rand import h
+from lodestep.operators import moments as G
 from lodestep.operators import sampling as S
 from lodestep.operators.matching import matched  # noqa: F401
 
@@ -82,29 +85,17 @@ def fourier_features(df: DataFrame, columns: list[str], count: int, gamma: float
 def vector_moments(df: DataFrame, vector: str, targets: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(mean of the vectors, their covariance, covariance of each component with each target, variances of the targets), of the population.
 
-    Each task adds its rows up to one square table; rows with a null vector or target are left out. No rows: an error.
+    Each task adds its rows up to one triangle of packed numbers, and triangles are added in a tree, so the driver gets half of
+    (1 + dimension + targets)^2 numbers once. Rows with a null vector, component or target are left out, as are components that are not finite.
+    Vectors of unlike length and no rows are errors.
     """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
-            x = np.column_stack([np.ones(batch.num_rows), flat, *[np.asarray(batch.column(i + 1), float) for i in range(len(targets))]])
-            table = x.T @ x if table is None else table + x.T @ x
-        if table is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(table.size)), pa.array(table.ravel())], names=["at", "s"])
-
-    rows = df.select(V.doubles(F.col(vector)).alias("v"), *[F.col(t).cast("double").alias(f"t{i}") for i, t in enumerate(targets)]).dropna()
-    sums = rows.mapInArrow(fold, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).orderBy("at").collect()  # (1 + dimension + targets) squared
-    if not sums:
+    whole, d = G.whole_vectors(df, vector)
+    sums = G.gram(whole, vector, d, [F.col(t) for t in targets]).get(0)
+    if sums is None:
         raise ValueError("no row has a vector and every target")
-    size = int(np.sqrt(len(sums)))
-    table = np.array([r["s"] for r in sums]).reshape(size, size)
-    mean = table[0, 1:] / table[0, 0]
-    covariance = table[1:, 1:] / table[0, 0] - np.outer(mean, mean)
-    d = size - 1 - len(targets)
+    mean = sums[0, 1:] / sums[0, 0]
+    covariance = sums[1:, 1:] / sums[0, 0]
+    covariance -= np.outer(mean, mean)
     return mean[:d], covariance[:d, :d], covariance[:d, d:], np.diag(covariance)[d:]
 
 
@@ -128,33 +119,88 @@ def pls_directions(covariance: np.ndarray, cross: np.ndarray, k: int) -> np.ndar
     return np.linalg.qr(np.array(weights).T)[0] if weights else np.zeros((len(covariance), 0))
 
 
-def moved(v: Column, out: np.ndarray, along: np.ndarray, mean: np.ndarray | None = None) -> Column:
-    """v less, for each column j, ``out[:, j]`` times the part of v (less ``mean``) along ``along[:, j]``."""
+class Change(NamedTuple):
+    """What takes ``out @ (along.T @ (v - mean))`` away from a vector v; ``out`` and ``along`` have a column for each direction."""
+
+    out: np.ndarray
+    along: np.ndarray
+    mean: np.ndarray | None = None
+
+
+def ablation(basis: np.ndarray, mean: np.ndarray | None = None) -> Change:
+    """Takes away the part in the span of the orthonormal columns of ``basis``; with ``mean``, that part becomes the mean's."""
+    return Change(basis, basis, mean)
+
+
+def erasure(mean: np.ndarray, covariance: np.ndarray, cross: np.ndarray) -> Change:
+    """Least-squares erasure: the least change of v after which no linear function of it goes with the targets."""
+    values, axes = np.linalg.eigh(covariance + 1e-6 * np.eye(len(covariance)))
+    roots = np.sqrt(values)
+    u, s, _ = np.linalg.svd(axes @ ((axes.T @ cross.reshape(len(covariance), -1)) / roots[:, None]), full_matrices=False)
+    part = axes.T @ u[:, s > 1e-8]
+    return Change(axes @ (part * roots[:, None]), axes @ (part / roots[:, None]), mean)
+
+
+def oblique_ablation(basis: np.ndarray, kept: np.ndarray) -> Change:
+    """``ablation``, with what was taken out along the orthonormal columns of ``kept`` put back."""
+    return Change(basis - kept @ (kept.T @ basis), basis)
+
+
+#: What a change's directions may hold when they go to the tasks.
+MOST_BYTES = 1 << 28
+
+
+def changed(df: DataFrame, vector: str, change: Change) -> DataFrame:
+    """``df`` with ``vector`` changed, whole batches at a time; null vectors stay null.
+
+    The directions are broadcast: 16 bytes a dimension and direction, checked against ``MOST_BYTES``. Vectors of another length
+    than the directions are an error.
+    """
+    size, held = change.along.shape[0], change.out.nbytes + change.along.nbytes
+    if held > MOST_BYTES:
+        raise ValueError(f"the directions take {held} bytes, more than {MOST_BYTES}")
+    shared, kept, at = df.sparkSession.sparkContext.broadcast(change), df.columns, df.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            column = batch.column(at)
+            there = np.asarray(column.is_valid())
+            if (np.diff(np.asarray(column.offsets))[there] != size).any():
+                raise ValueError(f"vectors must have {size} components")
+            x = G.matrix(column.drop_null(), size)
+            x = x - (x if c.mean is None else x - c.mean) @ c.along @ c.out.T
+            offsets = np.concatenate([[0], np.cumsum(there)]) * size
+            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.ravel()), mask=pa.array(~there))
+            yield pa.RecordBatch.from_arrays([made if i == at else col for i, col in enumerate(batch.columns)], names=kept)
+
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if i == at else f for i, f in enumerate(df.schema.fields)])
+    return df.withColumn(vector, V.doubles(F.col(vector))).mapInArrow(run, schema)
+
+
+def moved(v: Column, change: Change) -> Column:
+    """``changed`` as a Column, for directions few and short enough to stand in a plan."""
     literal = lambda a: F.array(*[F.lit(float(x)) for x in a])
-    shift = np.zeros(along.shape[1]) if mean is None else mean @ along
+    shift = np.zeros(change.along.shape[1]) if change.mean is None else change.mean @ change.along
     result = V.doubles(v)
-    for j in range(along.shape[1]):
-        result = V.add(result, literal(out[:, j]), F.lit(float(shift[j])) - V.dot(v, literal(along[:, j])))
+    for j in range(change.along.shape[1]):
+        result = V.add(result, literal(change.out[:, j]), F.lit(float(shift[j])) - V.dot(v, literal(change.along[:, j])))
     return result
 
 
 def ablated(v: Column, basis: np.ndarray) -> Column:
     """v without its part in the span of the orthonormal columns of ``basis``."""
-    return moved(v, basis, basis)
+    return moved(v, ablation(basis))
 
 
 def erased(v: Column, mean: np.ndarray, covariance: np.ndarray, cross: np.ndarray) -> Column:
-    """Least-squares erasure: the least change of v after which no linear function of it goes with the targets."""
-    values, axes = np.linalg.eigh(covariance + 1e-6 * np.eye(len(covariance)))
-    white, back = axes @ np.diag(values**-0.5) @ axes.T, axes @ np.diag(values**0.5) @ axes.T
-    u, s, _ = np.linalg.svd(white @ cross.reshape(len(covariance), -1), full_matrices=False)
-    u = u[:, s > 1e-8]
-    return moved(v, back @ u, white @ u, mean)
+    """``erasure`` of v as a Column."""
+    return moved(v, erasure(mean, covariance, cross))
 
 
 def oblique(v: Column, basis: np.ndarray, kept: np.ndarray) -> Column:
-    """``ablated``, with what was taken out along the orthonormal columns of ``kept`` put back."""
-    return moved(v, basis - kept @ (kept.T @ basis), basis)
+    """``oblique_ablation`` of v as a Column."""
+    return moved(v, oblique_ablation(basis, kept))
 
 
 def gap_interval(df: DataFrame, group: str, value: str, hit: str, draws: int, seed: int, blocks: int = 200) -> DataFrame:

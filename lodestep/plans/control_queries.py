@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,9 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("label is not null").select("vec_id", "embedding", "label", (F.col("label") % 2).alias("odd"))
 
 
-def _components(v: DataFrame, moved) -> DataFrame:
-    return v.select("vec_id", F.posexplode(V.rounded(moved)).alias("dim", "x"))
+def _components(v: DataFrame, change: K.Change) -> DataFrame:
+    out = K.changed(v.select("vec_id", "embedding"), "embedding", change)
+    return out.select("vec_id", F.posexplode(V.rounded(F.col("embedding"))).alias("dim", "x"))
 
 
 @query("""with e as (select vec_id, cast(label as double) y, unnest(range(0, len(embedding))) d, cast(unnest(embedding) as double) x from embeddings where label is not null), c as (select d, covar_pop(x, y) c from e group by d),
@@ -91,7 +93,7 @@ def pls_ablate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors without the direction that goes most with the label."""
     rows = _embedded(spark, sf_dir)
     _, covariance, cross, _ = K.vector_moments(rows, "embedding", ["label"])
-    return _components(rows, K.ablated(F.col("embedding"), K.pls_directions(covariance, cross, 1)))
+    return _components(rows, K.ablation(K.pls_directions(covariance, cross, 1)))
 
 
 @query()
@@ -99,7 +101,7 @@ def erase_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors changed the least so that no linear function of them goes with the label."""
     rows = _embedded(spark, sf_dir)
     mean, covariance, cross, _ = K.vector_moments(rows, "embedding", ["label"])
-    return _components(rows, K.erased(F.col("embedding"), mean, covariance, cross))
+    return _components(rows, K.erasure(mean, covariance, cross))
 
 
 @query()
@@ -108,7 +110,7 @@ def oblique_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embedded(spark, sf_dir)
     _, covariance, cross, _ = K.vector_moments(rows, "embedding", ["label", "odd"])
     basis, kept = K.pls_directions(covariance, cross[:, :1], 2), K.pls_directions(covariance, cross[:, 1:], 4)
-    return _components(rows, K.oblique(F.col("embedding"), basis, kept))
+    return _components(rows, K.oblique_ablation(basis, kept))
 
 
 def sweep_sql(rows: str, exact: str, width: str = "0.1e0") -> str:
@@ -157,6 +159,20 @@ def step_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where("text is not null").select("doc_id", F.md5(joined).alias("out"))
 
 
+_B = "[0.5e0, 0.5e0, 0.5e0, 0.5e0]", "[0.5e0, -0.5e0, 0.5e0, -0.5e0]"
+
+
+@query(f"""with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings where label is not null), p as (select vec_id, v, list_dot_product(v[1:4], cast({_B[0]} as double[])) p, list_dot_product(v[1:4], cast({_B[1]} as double[])) q from e),
+ m as (select avg(p) mp, avg(q) mq from p), u as (select vec_id, p, q, unnest(range(0, len(v))) d, unnest(v) x from p) select vec_id, cast(d as integer) dim, round(x + case when d < 4 then (mp - p) * ({_B[0]})[d + 1] + (mq - q) * ({_B[1]})[d + 1] else 0 end, 6) x from u, m""")
+def subspace_mean_ablate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of each vector in a plane replaced by the mean vector's."""
+    rows = _embedded(spark, sf_dir)
+    mean, *_ = K.vector_moments(rows, "embedding", [])
+    basis = np.zeros((len(mean), 2))
+    basis[:4, 0], basis[:4, 1] = 0.5, [0.5, -0.5, 0.5, -0.5]
+    return _components(rows, K.ablation(basis, mean))
+
+
 @query()
 def dose_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each graded corruption and dose: the share of documents that it changes and the mean share of characters that are left, more than one where it adds."""
