@@ -20,6 +20,8 @@ from lodestep.llm._order import numbered
 from lodestep.llm._shared import Scratch, fresh
 from lodestep.llm._text import ALNUM
 
+#: Rows of the result for which another file is written.
+ROWS_A_FILE = 250_000
 #: Word bytes as they are, A-Z as a-z, every other byte as a space.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if ALNUM[b] else 32 for b in range(256))
 
@@ -81,7 +83,11 @@ def buckets(text: bytes, n: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _texts(df: DataFrame) -> Column:
-    return F.coalesce(df["text"].cast("string"), F.lit("")).cast("binary")
+    return F.coalesce(df["text"].cast("string"), F.lit("")).alias("text")
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()  # the texts' own bytes: no copy before this one
 
 
 def bucket_counts(docs: DataFrame, n: int = 3, size: int = 10_000) -> np.ndarray:
@@ -93,7 +99,7 @@ def bucket_counts(docs: DataFrame, n: int = 3, size: int = 10_000) -> np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, many = np.zeros(size, np.int64), [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in _bytes(batch.column(0)):
                 for _, found in buckets(text, n, size):
                     held.append(found)
                     many += len(found)
@@ -124,7 +130,7 @@ def weights(docs: DataFrame, gains: np.ndarray, n: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in _bytes(batch.column(1)):
                 n_words = n_features = weight = 0
                 for many, found in buckets(text, n, size):
                     n_words, n_features, weight = n_words + many, n_features + len(found), weight + int(gains[found].sum())
@@ -132,7 +138,7 @@ def weights(docs: DataFrame, gains: np.ndarray, n: int = 3) -> DataFrame:
             columns = [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ([], [], []))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_features", "weight"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), _texts(docs).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), _texts(docs)).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
 def gumbel(seed: int, doc_id: Column) -> Column:
@@ -154,10 +160,12 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, n: int = 3, s
     with Scratch(docs.sparkSession) as scratch:
         scored = scratch.write(weights(docs, gains, n).withColumn("score", F.col("weight") + gumbel(seed, F.col("doc_id"))))
         able = F.col("n_words") >= least_words
-        drawn = scored.where(able).count() * percent // 100
+        rows, count = scored.agg(F.count("*"), F.count_if(able)).first()
+        drawn = count * percent // 100
         ranked = numbered(scored.where(able), [F.desc("score"), F.asc_nulls_last("doc_id")], scratch, "row")
         rank = F.when(F.col("row") < drawn, F.col("row") + 1)
-        return ranked.withColumn("rank", rank).drop("row").unionByName(scored.where(~able).withColumn("rank", F.lit(None).cast("long"))).checkpoint()
+        every = ranked.withColumn("rank", rank).drop("row").unionByName(scored.where(~able).withColumn("rank", F.lit(None).cast("long")))
+        return every.coalesce(1 + rows // ROWS_A_FILE).checkpoint()  # rows of 48 bytes
 
 
 def draw(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
