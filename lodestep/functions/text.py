@@ -83,17 +83,18 @@ def last_boxed(x: Column) -> Column:
     """Content of the last boxed group, braces balanced at any depth; an unclosed last group gives the rest of the text; null without one."""
     x = text_or_empty(x)
 
-    def step(acc: Column, c: Column) -> Column:
-        depth = acc["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        open_ = acc["end"] == 0
+    def step(acc: Column, piece: Column) -> Column:
+        brace = F.left(piece, F.lit(1))
+        depth = acc["depth"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
         return F.struct(
-            F.when(open_, depth).otherwise(acc["depth"]).alias("depth"), (acc["at"] + 1).alias("at"),
-            F.when(open_ & (depth == 0), acc["at"] + 1).otherwise(acc["end"]).alias("end"),
+            depth.alias("depth"), (acc["at"] + F.length(piece)).alias("at"),
+            F.when((acc["end"] == 0) & (depth == 0), acc["at"] + 1).otherwise(acc["end"]).alias("end"),
         )
 
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
     content = lambda rest, end: F.when(end > 0, F.left(rest, end - 1)).otherwise(rest)
-    closed = lambda rest: let(F.aggregate(F.split(rest, ""), start, step)["end"], lambda end: content(rest, end))
+    # Every piece but the first begins with a brace.
+    closed = lambda rest: let(F.aggregate(F.split(rest, "(?=[{}])"), start, step)["end"], lambda end: content(rest, end))
     return F.when(x.contains("\\boxed{"), strip(let(F.substring_index(x, "\\boxed{", -1), closed)))
 
 

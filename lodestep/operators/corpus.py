@@ -69,6 +69,45 @@ def validate(df: DataFrame, checks: list[tuple[str, Column, float | None, float
     return stats.select(F.inline(F.array(*[row(n, lo, hi) for n, _, lo, hi in checks])))
 
 
+#: Fixed bounds of the checks that a corpus passes before training: bands of the rate of right answers by dataset, and the others.
+CORRECT_BANDS = {"OmniMath": (0.40, 0.60), "OlympiadBench": (0.40, 0.60), "MATH": (0.55, 0.75)}
+TOTAL, TYPE_B, LEAST_PAIRS, LEAST_GAP, LEAST_INCLUDED, LEAST_CLEAN, MOST_COST = (2650, 2750), (0.35, 0.55), 250, 0.15, 0.90, 0.80, 25.0
+
+
+def validation_report(candidates: DataFrame, pairs: DataFrame, allow_small: bool = False) -> DataFrame:
+    """(place, name, status, shown) of each check that a corpus has the rows for, then overall: PASS where none fails.
+
+    ``candidates`` has dataset, answer_correct, candidate_type, has_extended_thinking, thinking_response_gap, include_in_training, quality_flags and
+    total_cost_usd. With ``allow_small`` a failing check of a count is SKIP and does not count. A check of a rate without rows is
+    left out; a null flag counts as false.
+    """
+    c, yes = F.col, lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    rate = lambda of, hit: F.avg(F.when(of, yes(hit)))
+    share = lambda hit: F.coalesce(F.avg(yes(hit)), F.lit(0.0))
+    inside = lambda x, lo, hi: x.between(lo, hi)
+    every = [("total_candidates", F.count("*").cast("double"), lambda x: inside(x, *TOTAL), True)]
+    every += [(f"{d}_correct_rate", rate(c("dataset") == d, c("answer_correct")), lambda x, b=b: inside(x, *b), False) for d, b in CORRECT_BANDS.items()]
+    every += [
+        ("type_b_of_correct", rate((c("dataset") == "OmniMath") & c("answer_correct"), c("candidate_type") == "B"), lambda x: inside(x, *TYPE_B), False),
+        ("contrastive_pairs", F.first("_pairs").cast("double"), lambda x: x >= LEAST_PAIRS, True),
+        ("thinking_gap_rate", rate(c("has_extended_thinking"), c("thinking_response_gap")), lambda x: x >= LEAST_GAP, False),
+        ("included_rate", share(c("include_in_training")), lambda x: x >= LEAST_INCLUDED, False),
+        ("clean_rate", share(F.size("quality_flags") == 0), lambda x: x >= LEAST_CLEAN, False),
+        ("total_cost", F.coalesce(F.sum("total_cost_usd"), F.lit(0.0)), lambda x: x < MOST_COST, False),
+    ]
+    number = pairs.agg(F.count("*").alias("_n")).first()["_n"]
+    stats = candidates.withColumn("_pairs", F.lit(number)).agg(*[F.coalesce(s, F.lit(float(number))).alias(n) if n == "contrastive_pairs" else s.alias(n) for n, s, _, _ in every])
+
+    def row(i: int, name: str, passes, count: bool) -> Column:
+        ok = passes(c(name))
+        status = F.when(ok, "PASS").when(F.lit(allow_small and count), "SKIP").otherwise("FAIL")
+        return F.when(c(name).isNotNull(), F.struct(F.lit(i).alias("place"), F.lit(name).alias("name"), status.alias("status"), F.round(name, 6).alias("shown")))
+
+    rows = stats.select(F.array_compact(F.array(*[row(i, n, passes, count) for i, (n, _, passes, count) in enumerate(every)])).alias("r"))
+    overall = F.struct(F.lit(len(every)).alias("place"), F.lit("overall").alias("name"), F.when(F.exists("r", lambda x: x["status"] == "FAIL"), "FAIL").otherwise("PASS").alias("status"), F.lit(None).cast("double").alias("shown"))
+    return rows.select(F.inline(F.concat("r", F.array(overall))))
+
+
 def labels_from(first_error: Column, n: Column) -> Column:
     """0 before the first error, 1 at it, -1 after; all 0 where the index is negative."""
     steps = F.sequence(F.lit(0), n - 1)

@@ -5,9 +5,10 @@ A builder that finds nothing to damage returns null; nothing is replaced by anot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestep.functions import patterns as P
@@ -78,6 +79,60 @@ def excess_inject(steps: Column, key: Column, severity: float, seed: int = 5) ->
     return F.when(F.size(steps) > 0, F.aggregate(F.sequence(F.lit(1), k), steps, put)).otherwise(steps)
 
 
+def connective_dose(response: Column, key: Column, severity: float, seed: int = 6) -> Column:
+    """Each connective removed with a chance of ``severity``, drawn by its place among the text's connectives."""
+    found, parts = F.regexp_extract_all(response, F.lit(P.CONNECTIVES), F.lit(0)), F.split(F.regexp_replace(response, P.CONNECTIVES, "\u0001"), "\u0001", -1)
+    put = lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.when(u(seed, key, i - 1) < severity, F.lit("")).otherwise(F.get(found, i - 1)), part))
+    # A text that holds the mark itself would be cut there, too: it keeps its connectives' count, so such texts stay as they are.
+    return F.when(F.contains(response, F.lit("\u0001")), response).otherwise(F.array_join(F.transform(parts, put), ""))
+
+
+def _lines(steps: Column) -> Column:
+    return F.array_join(steps, "\n")
+
+
+#: Graded corruptions by name: each takes steps, text, key and a dose in [0, 1], and gives a text.
+DOSE_OPERATORS: dict[str, Callable[[Column, Column, Column, float], Column]] = {
+    "diffuse_mask": lambda steps, text, key, dose: diffuse_mask(text, key, dose),
+    "step_delete": lambda steps, text, key, dose: _lines(step_delete(steps, key, dose)),
+    "region_excise": lambda steps, text, key, dose: _lines(region_excise(steps, key, dose)),
+    "connective_strip": lambda steps, text, key, dose: connective_dose(text, key, dose) if dose < 1 else connective_strip(text),
+    "result_mask": lambda steps, text, key, dose: _lines(result_mask(steps, key, dose)),
+    "excess_inject": lambda steps, text, key, dose: _lines(excess_inject(steps, key, dose)),
+}
+
+
+def rejoined(steps: Column, text: Column) -> Column:
+    """Steps joined as ``text`` separates its own."""
+    sep = separator(text)
+    return F.when(sep == "\n\n", F.array_join(steps, "\n\n")).when(sep == "\n", _lines(steps)).otherwise(F.array_join(steps, " "))
+
+
+def corruption_dataset(df: DataFrame, key: str, text: str, steps: str, gold: str) -> DataFrame:
+    """One row for each corruption that a candidate is flagged ready for and that changes it: original_text, corrupted_text, corruption_type, and what it carries.
+
+    ``df`` has can_approach_corrupt, can_step_corrupt, can_conclusion_corrupt and include_in_training (null counts as false), and candidate_type,
+    contrastive_group, dataset, corruption_priority and hardness_score, which every sample of the candidate carries with its key. A corruption that leaves the text as it
+    was, or empty, gives no row. Null texts give none.
+    """
+    k, t, s = F.col(key), F.col(text), F.col(steps)
+    made = {"approach": _lines(approach_corruption(s, k)), "step": rejoined(step_corruption(s, k), t), "conclusion": conclusion_corruption(t, F.col(gold), k)}
+    one = lambda kind: F.struct(F.lit(kind).alias("corruption_type"), F.when(F.col(f"can_{kind}_corrupt"), made[kind]).alias("corrupted_text"))
+    carried = ["candidate_type", "contrastive_group", "dataset", "corruption_priority", "hardness_score"]
+    rows = df.where("include_in_training").select(key, *carried, t.alias("original_text"), F.inline(F.array(*map(one, made))))
+    return rows.where("corrupted_text <> original_text and corrupted_text <> ''")
+
+
+def noisy_vector(v: Column, key: Column, scale: float, seed: int) -> Column:
+    """Gaussian noise added to each component, ``scale`` times the vector's own deviation, by Box and Muller from two hashes."""
+    doubles = v.cast("array<double>")
+    n = F.size(v)
+    mean = F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean)
+    normal = lambda i: F.sqrt(-2 * F.ln((h(seed, key, i) + 1) / F.lit(4294967296.0))) * F.cos(2 * math.pi * u(seed + 1, key, i))
+    return T.let(spread, lambda sd: F.transform(doubles, lambda x, i: x + scale * sd * normal(i)))
+
+
 def detect_approach(step: Column) -> Column:
     """The first family whose signal the step shows; null without one."""
     return F.coalesce(*[F.when(step.rlike(p), F.lit(k)) for k, p in P.APPROACH_SIGNALS.items()])

@@ -83,11 +83,17 @@ def paired_bootstrap(df: DataFrame, group: str, difference: str, draws: int, see
 
 
 def early_stopping(df: DataFrame, run: str, epoch: str, score: str, patience: int) -> DataFrame:
-    """(run, best_epoch, stopped): the best epoch before ``patience`` epochs bring no new best; stopped is null where they never do."""
+    """(run, best_epoch, stopped): the best epoch before ``patience`` epochs bring no new best; stopped is null where they never do.
+
+    The first epoch with a score is a best; one with a null score or NaN never is, and counts as an epoch without. A run without any score has a
+    null best_epoch, and its patience runs from its first epoch.
+    """
     order = Window.partitionBy(run).orderBy(epoch)  # a run's epochs
-    before = F.max(score).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    seen = df.withColumn("_better", F.coalesce(F.col(score) > before, F.lit(True)))
-    seen = seen.withColumn("_last", F.max(F.when(F.col("_better"), F.col(epoch))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    value = F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
+    before = F.max(value).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    seen = df.withColumn("_better", F.coalesce(value > before, value.isNotNull() & before.isNull()))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("_last", F.coalesce(F.max(F.when(F.col("_better"), F.col(epoch))).over(upto), F.min(epoch).over(upto)))
     stop = seen.withColumn("_stop", F.min(F.when(F.col(epoch) - F.col("_last") >= patience, F.col(epoch))).over(Window.partitionBy(run)))
     open_ = F.col("_stop").isNull() | (F.col(epoch) < F.col("_stop"))
     return stop.groupBy(run).agg(F.max(F.when(F.col("_better") & open_, F.col(epoch))).cast("int").alias("best_epoch"), F.max("_stop").cast("int").alias("stopped"))

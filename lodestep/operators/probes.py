@@ -269,3 +269,67 @@ def leave_one_out(df: DataFrame, vector: str, size: int, confounds: int, label:
         return names.select(group, F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("raw_auc"), F.lit(None).cast("double").alias("controlled_auc"))
     arm = lambda name: F.max(F.when(F.col("model") == name, F.col("auc"))).alias(f"{name}_auc")
     return found.join(F.broadcast(names), "fold").groupBy(group).agg(F.max("n").alias("n"), arm("raw"), arm("controlled"))
+
+
+def score_panel(steps: DataFrame, records: DataFrame, label: str, fold: str, held: int, numbers: list[Column], categories: list[Column], least: int = 20) -> DataFrame:
+    """(model, arm, n, gate, raw_f1, controlled_f1, delta_f1, raw_auc, controlled_auc, note): every scorer under the same control for confounds, its arms ``min`` and ``mean``.
+
+    ``steps`` has model, id, score (1: right) and label (1: the error); an arm is one less the least or the mean score of an id's steps. ``records`` has id, ``label``, ``fold`` and
+    what the confounds are made of; ids in both count. The gate is the AUC of low scores against error steps. F1 is that of a probe of the one number, the AUC that of
+    the number itself, on the fold ``held``; controlled is less a fit of the confounds on the other folds. A model with fewer than ``least`` ids has a row that says so, as has one
+    whose gate is 0.55 or less. Models are few: one fit each.
+    """
+    chains = steps.groupBy("model", "id").agg((1 - F.min("score")).alias("_min"), (1 - F.avg("score")).alias("_mean"))
+    joined = chains.join(records, "id").where(F.col(label).isin(0, 1))
+    gates = {r["model"]: r["auc"] for r in M.auc(steps.withColumn("_low", -F.col("score")).withColumn("_bad", F.col("label") == 1), "_low", "_bad", ["model"]).collect()}
+    counts = {r["model"]: r["n"] for r in joined.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    out = []
+    for model in sorted(gates, key=str):
+        n = counts.get(model, 0)
+        if n < least:
+            out.append((model, None, n, gates[model], *[None] * 5, f"scorer failed: {n} scored"))
+            continue
+        rows, size, k = with_confounds(joined.where(F.col("model").eqNullSafe(model)).withColumn("_v", F.array("_min", "_mean")), "_v", numbers, categories, "_x")
+        rows = rows.drop("model").persist()
+        matrix = control_matrices(rows, "_x", size + k, k, fold).get(held, np.zeros((k + 1, size)))
+        residual = controlling(matrix)
+        arms = [("raw", "min", Model("raw min", held, [k])), ("raw", "mean", Model("raw mean", held, [k + 1]))]
+        arms += [("controlled", arm, Model(f"controlled {arm}", held, matrix=residual[:, [i]])) for i, arm in enumerate(("min", "mean"))]
+        models = [m for _, _, m in arms]
+        fitted = fit_logistic(rows, "_x", size + k, label, fold, models)
+        f1 = {r["model"]: r["f1"] for r in held_out_metrics(held_out_scores(rows, "_x", size + k, label, fold, models, fitted)).collect()}
+        itself = held_out_scores(rows, "_x", size + k, label, fold, models, [np.array([0.0, 1.0])] * 4)
+        auc = {r["model"]: r["auc"] for r in M.auc(itself, "score", "pos", ["model"]).collect()}
+        rows.unpersist()
+        note = None if (gates[model] or 0) > 0.55 else "gate failed: do not report"
+        for arm in ("min", "mean"):
+            raw, ctl = f1.get(f"raw {arm}"), f1.get(f"controlled {arm}")
+            delta = None if raw is None or ctl is None else round(ctl - raw, 6)
+            out.append((model, arm, n, gates[model], raw, ctl, delta, auc.get(f"raw {arm}"), auc.get(f"controlled {arm}"), note))
+    kind = steps.schema["model"].dataType.simpleString()
+    return steps.sparkSession.createDataFrame(out, f"model {kind}, arm string, n long, gate double, raw_f1 double, controlled_f1 double, delta_f1 double, raw_auc double, controlled_auc double, note string")
+
+
+def over_control(df: DataFrame, vector: str, numbers: list[Column], categories: list[Column], label: str, fold: str, held: list[int]) -> DataFrame:
+    """(fold, raw_auc, without_auc, with_auc, delta): held-out AUC as it is, controlled for ``numbers``, and for ``categories`` too; delta is what the categories take away."""
+    arm = lambda name, alias: F.max(F.when(F.col("model") == name, F.col("auc"))).alias(alias)
+    found = []
+    for name, of in (("without_auc", []), ("with_auc", categories)):
+        rows, size, k = with_confounds(df, vector, numbers, of, "_x")
+        found.append(controlled_probes(rows, "_x", size + k, k, label, fold, held).groupBy("fold").agg(arm("raw", f"raw_{name}"), arm("controlled", name)))
+    both = found[0].join(found[1], "fold")
+    return both.select("fold", F.col("raw_without_auc").alias("raw_auc"), "without_auc", "with_auc", F.round(F.col("with_auc") - F.col("without_auc"), 6).alias("delta"))
+
+
+def stratified_probe(df: DataFrame, vector: str, label: str, key: Column, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """(n, accuracy, f1, macro_f1, auc): a probe trained on exactly floor(share * n) rows of each class, the first in hash order, tested on the others."""
+    from lodestep.operators.panel import stratified_split
+
+    rows, size = G.whole_vectors(df.where(F.col(label).isin(0, 1)).withColumn("_key", key), vector)
+    rows = stratified_split(rows, "_key", label, seed, share).withColumn("_fold", F.when(F.col("is_train"), 1).otherwise(0))
+    models = [Model("all", 0, list(range(size)))]
+    scores = held_out_scores(rows, vector, size, label, "_fold", models, fit_logistic(rows, vector, size, label, "_fold", models))
+    up, pos = F.col("score") > 0, F.col("pos")
+    hit = lambda c: F.count_if(c).cast("double")
+    macro = (M.f1(hit(pos & up), hit(~pos & up), hit(pos & ~up)) + M.f1(hit(~pos & ~up), hit(pos & ~up), hit(~pos & up))) / 2
+    return held_out_metrics(scores).join(scores.groupBy("model").agg(F.round(macro, 6).alias("macro_f1")), "model").select("n", "accuracy", "f1", "macro_f1", "auc")

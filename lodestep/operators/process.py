@@ -14,6 +14,23 @@ def thinking_source(given: Column, thinking: Column, tagged: Column, extended: C
     return F.coalesce(F.nullif(given, F.lit("")), inferred)
 
 
+def quality_flags(response: Column, thinking: Column, num_steps: Column, answer: Column, approach: Column, blackhole: Column | None = None) -> Column:
+    """The names of a candidate's quality problems, in a fixed order."""
+    return F.array_compact(F.array(
+        F.when(T.n_words(response) < 80, "very_short"), F.when(num_steps == 0, "no_steps_found"), F.when(answer.isNull(), "answer_not_extracted"),
+        F.when(approach == "unknown", "approach_unknown"), F.when(T.has_repeated_ngram(response), "repeated_content"),
+        F.when(T.is_incomplete(response), "incomplete_response"), F.when(T.has_han(thinking), "language_mixing"),
+        F.when(F.lit(False) if blackhole is None else blackhole, "reasoning_blackhole"),
+    ))
+
+
+def needs_review(df: DataFrame, response: str, gold: str) -> DataFrame:
+    """``df`` with correct (the response reaches the gold answer) and needs_review: it does by an approach that no keyword tells. Without an answer both are false."""
+    answered = df.withColumn("_answer", T.extract_answer(F.col(response))["answer"]).withColumn("_match", T.answers_match(F.col("_answer"), F.col(gold)))
+    right = F.coalesce(F.col("_match")["matches"], F.lit(False))
+    return answered.withColumn("correct", right).withColumn("needs_review", F.col("correct") & (T.classify_approach(F.col(response))["label"] == "unknown")).drop("_answer", "_match")
+
+
 def process_candidates(df: DataFrame) -> DataFrame:
     """Flat candidates with answers, steps, approaches, type, readiness, quality flags and inclusion added.
 
@@ -48,11 +65,7 @@ def process_candidates(df: DataFrame) -> DataFrame:
     out = out.withColumn("_type", kind).withColumns({"candidate_type": c("_type.type"), "type_confidence": c("_type.confidence"), "type_source": c("_type.decided_by")})
     flawed = c("type_b_mechanism").isin("flawed_lucky", "unfaithful", "spurious")
     is_b = c("candidate_type") == "B"
-    flags = F.array_compact(F.array(
-        F.when(T.n_words(c("response_text")) < 80, "very_short"), F.when(c("num_steps") == 0, "no_steps_found"), F.when(c("answer_extracted").isNull(), "answer_not_extracted"),
-        F.when(c("approach_in_response") == "unknown", "approach_unknown"), F.when(T.has_repeated_ngram(c("response_text")), "repeated_content"),
-        F.when(T.is_incomplete(c("response_text")), "incomplete_response"), F.when(T.has_han(c("thinking_text")), "language_mixing"), F.when(c("blackhole_detected"), "reasoning_blackhole"),
-    ))
+    flags = quality_flags(c("response_text"), c("thinking_text"), c("num_steps"), c("answer_extracted"), c("approach_in_response"), c("blackhole_detected"))
     out = out.withColumns({
         "error_type": F.when(is_b & flawed, c("type_b_mechanism")).when(is_b & c("thinking_response_gap"), "wrong_framing").when(is_b, "wrong_concept"),
         "error_location": F.when(is_b & flawed, "reasoning_validity").when(is_b, "step_2_approach"),

@@ -177,12 +177,7 @@ def subspace_mean_ablate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dose_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each graded corruption and dose: the share of documents that it changes and the mean share of characters that are left, more than one where it adds."""
     steps, text, key = F.col("steps"), F.array_join("steps", "\n"), F.col("doc_id")
-    joined = lambda c: F.array_join(c, "\n")
-    made = {
-        "diffuse_mask": lambda d: X.diffuse_mask(text, key, d), "region_excise": lambda d: joined(X.region_excise(steps, key, d)), "step_delete": lambda d: joined(X.step_delete(steps, key, d)),
-        "connective_strip": lambda d: X.connective_strip(text), "result_mask": lambda d: joined(X.result_mask(steps, key, d)), "excess_inject": lambda d: joined(X.excess_inject(steps, key, d)),
-    }
-    grid = [(name, d) for name in made for d in ((1.0,) if name == "connective_strip" else (0.1, 0.3, 0.5))]
+    grid = [(name, d) for name in X.DOSE_OPERATORS for d in ((1.0,) if name == "connective_strip" else (0.1, 0.3, 0.5))]
     cell = lambda name, d, out: F.struct(F.lit(name).alias("operator"), F.lit(d).alias("dose"), (out != text).cast("double").alias("changed"), F.try_divide(F.length(out), F.length(text)).alias("left"))
-    long = documents(spark, sf_dir).select(F.inline(F.array(*[cell(name, d, made[name](d)) for name, d in grid])))
+    long = documents(spark, sf_dir).select(F.inline(F.array(*[cell(name, d, X.DOSE_OPERATORS[name](steps, text, key, d)) for name, d in grid])))
     return long.groupBy("operator", "dose").agg(F.count("*").alias("n"), F.round(F.avg("changed"), 6).alias("changed"), F.round(F.avg("left"), 6).alias("left"))

@@ -11,9 +11,9 @@ from lodestep.plans.text_queries import words_sql
 from lodestep.sources.tables import table
 from lodestep.streaming import incremental
 
-#: Every combination of what the type rule looks at.
-GRID = """select correct, matches, mechanism, gap, source from (select unnest([true, false]) correct), (select unnest([true, false, null]) matches),
- (select unnest(['sound_canonical', 'flawed_lucky', null]) mechanism), (select unnest([true, false, null]) gap), (select unnest(['claude_api_block', 'inline_think_tags', 'none']) source)"""
+#: What the type rule looks at, from documents and their labels; every branch has rows.
+GRID = """select doc_id, quality = 1 correct, case when n_chars % 3 = 0 then null else toxic = 0 end matches, case when lang = 'de' then 'sound_canonical' when lang = 'fr' then 'flawed_lucky' end mechanism,
+ case when n_chars % 2 = 0 then null else doc_id % 3 = 0 end gap, case lang when 'en' then 'claude_api_block' when 'es' then 'inline_think_tags' else 'none' end source from documents join (select distinct * from labels) using (doc_id)"""
 CASES = [
     ("not correct and matches is not distinct from true", "C", "low", "answer+approach"), ("not correct", "D", "high", "answer_only"),
     ("mechanism in ('sound_canonical', 'sound_alternative')", "A", "high", "answer+mechanism"),
@@ -24,16 +24,17 @@ CASES = [
 _case = lambda i, last: "case " + " ".join(f"when {c[0]} then '{c[i]}'" for c in CASES) + f" else '{last}' end"
 
 
-@query(f"select correct, matches, mechanism, gap, source, {_case(1, 'A')} as type, {_case(2, 'low')} confidence, {_case(3, 'answer_only')} decided_by from ({GRID})")
+@query(f"select doc_id, correct, matches, mechanism, gap, source, {_case(1, 'A')} as type, {_case(2, 'low')} confidence, {_case(3, 'answer_only')} decided_by from ({GRID})")
 def type_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The type rule on every combination of its inputs."""
-    def values(name: str, *xs: object) -> DataFrame:
-        return spark.range(1).select(F.explode(F.array(*map(F.lit, xs))).alias(name))
-
-    grid = values("correct", True, False).crossJoin(values("matches", True, False, None)).crossJoin(values("mechanism", "sound_canonical", "flawed_lucky", None))
-    grid = grid.crossJoin(values("gap", True, False, None)).crossJoin(values("source", "claude_api_block", "inline_think_tags", "none"))
-    return grid.select("*", K.candidate_type(F.col("correct"), F.col("matches"), F.col("mechanism"), F.col("gap"), F.col("source")).alias("t")).select(
-        "correct", "matches", "mechanism", "gap", "source", "t.type", "t.confidence", "t.decided_by"
+    """The type rule on what documents and their labels say."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").distinct(), "doc_id")
+    lang, n = F.col("lang"), F.col("n_chars")
+    rows = rows.select(
+        "doc_id", (F.col("quality") == 1).alias("correct"), F.when(n % 3 != 0, F.col("toxic") == 0).alias("matches"), F.when(lang == "de", "sound_canonical").when(lang == "fr", "flawed_lucky").alias("mechanism"),
+        F.when(n % 2 != 0, F.col("doc_id") % 3 == 0).alias("gap"), F.when(lang == "en", "claude_api_block").when(lang == "es", "inline_think_tags").otherwise("none").alias("source"),
+    )
+    return rows.select("*", K.candidate_type(F.col("correct"), F.col("matches"), F.col("mechanism"), F.col("gap"), F.col("source")).alias("t")).select(
+        "doc_id", "correct", "matches", "mechanism", "gap", "source", "t.type", "t.confidence", "t.decided_by"
     )
 
 

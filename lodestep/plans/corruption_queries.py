@@ -94,10 +94,10 @@ def approach_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
 _small = f"({sql_h(9, 'k')} % 10 + 1)"
 
 
-@query(f"""with r as (select o_orderkey k, cast(o_orderkey as double) v from orders), p as (select k, [v + {_small}, v - {_small}, v * 2, v / 2, v + 10, v - 10][{sql_h(8, 'k')} % 6 + 1] w from r)
- select k, 'the answer ' || chr(92) || 'boxed' || chr(123) || case when w % 1 = 0 then cast(cast(w as bigint) as varchar) else cast(w as varchar) end || chr(125) || ' is' as out from p""")
+@query(f"""with r as (select o_orderkey k, cast(o_totalprice as double) v from orders), p as (select k, [v + {_small}, v - {_small}, v * 2, v / 2, v + 10, v - 10][{sql_h(8, 'k')} % 6 + 1] w from r)
+ select k, 'the answer ' || chr(92) || 'boxed' || chr(123) || case when w % 1 = 0 then cast(cast(w as bigint) as varchar) else cast(round(w, 4) as varchar) end || chr(125) || ' is' as out from p""")
 def conclusion_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("the answer \\boxed{"), "o_orderkey", F.lit("} is")).alias("r"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("the answer \\boxed{"), "o_totalprice", F.lit("} is")).alias("r"))
     return rows.select("k", X.conclusion_corruption(F.col("r"), F.lit(None).cast("string"), F.col("k")).alias("out"))
 
 

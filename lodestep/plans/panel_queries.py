@@ -14,6 +14,7 @@ from lodestep.operators import panel as N
 from lodestep.operators import sampling as S
 from lodestep.plans.metric_queries import SCORED, scored
 from lodestep.plans.registry import query
+from lodestep.plans.text_queries import strip_sql
 from lodestep.sources.tables import table
 from lodestep.streaming import incremental
 
@@ -239,7 +240,7 @@ RATES = ", ".join(f"('{k}', {v}e0)" for k, v in REFERENCE.items())
 @query(f"""with r as (select source, avg(case when pos then 1.0e0 else 0 end) rate, count(*) n from {SCORED} group by source), x(source, known) as (values {RATES}), j as (select r.source, rate, n, coalesce(known, 0) known from r left join x using (source))
  select source, round(rate, 6) rate, cast(n as bigint) n, cast(known as double) as reference, cast(row_number() over (order by known, source) as integer) place from j""")
 def rate_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares by source beside the published ones, in their order; a source without one counts as 0."""
+    """Shares by source beside given ones, in their order; a source without one counts as 0."""
     rates = scored(spark, sf_dir).groupBy("source").agg(F.avg(F.col("pos").cast("double")).alias("rate"), F.count("*").alias("n"))
     known = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in REFERENCE.items() for x in kv]), F.col("source")), F.lit(0.0))
     place = F.row_number().over(Window.orderBy("reference", "source"))  # one row for each source
@@ -253,54 +254,61 @@ def request_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", F.concat(F.lit("conv"), "conv_id", F.lit("_t"), "turn", F.lit("_c"), "candidate").alias("request"))
 
 
-WORK = "(select conv_id, turn, case when turn % 7 = 6 then 'timeout' end error, case when turn % 5 = 4 then null when turn % 3 = 0 then '7' else 'seven' end answer, case when conv_id % 4 = 3 then null else '7' end gold from conversations)"
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s]+'), lambda w: w <> '')"
+#: The answer is a text's first word, the gold answer its conversation's most frequent first word; a text of under four words failed.
+WORK = f"(select conv_id, turn, case when len(w) < 4 then 'too short' end error, case when starts_with(role, 's') then null else lower(w[1]) end answer, gold from (select conv_id, turn, role, {_WORDS} w from conversations) left join (select conv_id, arg_min(a, (-n, a)) gold from (select conv_id, lower({_WORDS}[1]) a, count(*) n from conversations group by all) where a is not null group by conv_id) using (conv_id))"
 
 
 @query(f"""select conv_id, turn, case when error is not null then 'skip' when answer is null then 'no_answer' when gold is null then 'skip' when answer = gold then 'correct' else 'residual' end verdict,
  case when error is null and answer is not null and gold is not null and answer <> gold then 'Gold answer: ' || gold || chr(10) || 'Extracted answer: ' || answer || chr(10) || 'Same value? YES or NO.' end prompt from {WORK}""")
 def judge_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a judge still has to see, and the prompt that it gets: no failed, missing or already settled answers."""
-    rows = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.when(F.col("turn") % 7 == 6, "timeout").alias("error"),
-        F.when(F.col("turn") % 5 == 4, None).when(F.col("turn") % 3 == 0, "7").otherwise("seven").alias("answer"), F.when(F.col("conv_id") % 4 != 3, "7").alias("gold"),
-    )
+    said = table(spark, sf_dir, "conversations").withColumn("w", T.words(F.col("text"))).withColumn("a", F.lower(F.get("w", F.lit(0))))
+    votes = said.where("a is not null").groupBy("conv_id", "a").agg(F.count("*").alias("n"))
+    gold = votes.groupBy("conv_id").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("gold"))
+    rows = said.join(gold, "conv_id", "left").select("conv_id", "turn", F.when(F.size("w") < 4, "too short").alias("error"), F.when(~F.startswith("role", F.lit("s")), F.col("a")).alias("answer"), "gold")
     return N.judge_worklist(rows, "answer", "gold", "error").select("conv_id", "turn", "verdict", "prompt")
 
 
-REPLIES = ["I see algebraic work", "GEOMETRIC, then algebraic", "none", "a subalgebraic one", "It is combinatorial."]
-LABELS = ["algebraic", "geometric", "combinatorial"]
-REPLY = "list_extract([" + ", ".join(f"'{r}'" for r in REPLIES) + "], cast(turn % 5 + 1 as integer))"
+#: Words that the given replies hold, for the labels of a judge.
+LABELS = ["the", "und", "la"]
 
 
-@query(f"""select conv_id, turn, case {' '.join(f"when regexp_matches(lower({REPLY}), '(^|[^a-z0-9_]){x}($|[^a-z0-9_])') then '{x}'" for x in LABELS)} else 'unknown' end label from conversations""")
+@query(f"""select conv_id, turn, case {' '.join(f"when regexp_matches(lower(text), '(^|[^a-z0-9_]){x}($|[^a-z0-9_])') then '{x}'" for x in LABELS)} else 'unknown' end label from conversations""")
 def approach_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first known label, in declared order, that a reply holds as a word."""
-    reply = F.get(F.array(*map(F.lit, REPLIES)), (F.col("turn") % 5).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.label_by_word(reply, LABELS).alias("label"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.label_by_word(F.col("text"), LABELS).alias("label"))
 
 
-LIMITS = "case event_id % 3 when 0 then 'Rate limit: Limit 6000, Used 10' when 1 then 'Limit 700' else 'overloaded' end"
+LIMITS = "case when event_type = 'error' then 'Rate limit: Limit ' || cast(floor(value * 100) as bigint) || ', Used ' || user_id else event_type || ' ' || props end"
 
 
-@query(f"""select event_id, try_cast(regexp_extract({LIMITS}, 'Limit ([0-9]+)', 1) as bigint) lim, greatest(512, try_cast(regexp_extract({LIMITS}, 'Limit ([0-9]+)', 1) as bigint) - 500) cap, strftime(ts, '%Y-%m-%d') as day from events""")
+@query(f"""select event_id, try_cast(nullif(regexp_extract({LIMITS}, 'Limit ([0-9]+)', 1), '') as bigint) lim, coalesce(greatest(512, try_cast(nullif(regexp_extract({LIMITS}, 'Limit ([0-9]+)', 1), '') as bigint) - 500), 512) cap, strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y%m%dT%H%M%SZ') as stamp from events""")
 def rate_limit_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The limit that an error message names, the cap that follows from it, and the day of the event."""
-    said = F.get(F.array(F.lit("Rate limit: Limit 6000, Used 10"), F.lit("Limit 700"), F.lit("overloaded")), (F.col("event_id") % 3).cast("int"))
+    """The limit that an error event's message names, the cap that follows from it, and the event's day and stamp."""
+    limited = F.concat(F.lit("Rate limit: Limit "), F.floor(F.col("value") * 100).cast("long"), F.lit(", Used "), "user_id")
+    said = F.when(F.col("event_type") == "error", limited).otherwise(F.concat_ws(" ", "event_type", "props"))
     limit = F.nullif(F.regexp_extract(said, "Limit ([0-9]+)", 1), F.lit("")).try_cast("long")
     cap = F.when(limit.isNotNull(), F.greatest(F.lit(512), limit - 500)).otherwise(F.lit(512))
-    return table(spark, sf_dir, "events").select("event_id", limit.alias("lim"), cap.cast("long").alias("cap"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    day, stamp = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")
+    return table(spark, sf_dir, "events").select("event_id", limit.alias("lim"), cap.cast("long").alias("cap"), day.alias("day"), stamp.alias("stamp"))
 
 
-TIERED = "(select conv_id, turn, case turn % 3 when 0 then 'claude_api_block' when 1 then 'inline_think_tags' else 'none' end src, case when turn % 3 = 2 then '' else 'thought' end think, case when turn % 5 = 4 then '' else 'said' end resp from conversations)"
+#: A text's first line is its thinking, what is left its response; the source is told by the role.
+TIERED = """(select conv_id, turn, text, case role when 'assistant' then 'claude_api_block' when 'user' then 'inline_think_tags' else 'none' end src, case when contains(text, chr(10)) then split_part(text, chr(10), 1) else '' end think,
+ case when contains(text, chr(10)) then substr(text, instr(text, chr(10)) + 1) else '' end resp from conversations)"""
 
 
-@query(f"""select conv_id, turn, case src when 'claude_api_block' then 'high' when 'inline_think_tags' then 'medium' else 'none' end tier, coalesce(nullif(think, ''), nullif(resp, ''), 'raw') reasoning, think <> '' and resp <> '' both_present from {TIERED}""")
+@query(f"""select conv_id, turn, case src when 'claude_api_block' then 'high' when 'inline_think_tags' then 'medium' else 'none' end tier, md5(coalesce(nullif(think, ''), nullif(resp, ''), text)) reasoning, think <> '' and resp <> '' both_present from {TIERED}""")
 def source_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tier of the thinking's source, whether thinking and response are both there, and the text to read as reasoning."""
-    turn = F.col("turn")
-    src = F.when(turn % 3 == 0, "claude_api_block").when(turn % 3 == 1, "inline_think_tags").otherwise("none")
-    think, resp = F.when(turn % 3 == 2, "").otherwise("thought"), F.when(turn % 5 == 4, "").otherwise("said")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.source_tier(src).alias("tier"), N.reasoning_text(think, resp, F.lit("raw")).alias("reasoning"), ((think != "") & (resp != "")).alias("both_present"))
+    role, text = F.col("role"), F.col("text")
+    src = F.when(role == "assistant", "claude_api_block").when(role == "user", "inline_think_tags").otherwise("none")
+    cut = F.contains(text, F.lit("\n"))
+    think, resp = F.when(cut, F.split_part(text, F.lit("\n"), F.lit(1))).otherwise(""), F.when(cut, F.substr(text, F.instr(text, "\n") + 1)).otherwise("")
+    rows = table(spark, sf_dir, "conversations").withColumns({"src": src, "think": think, "resp": resp})
+    both = (F.col("think") != "") & (F.col("resp") != "")
+    return rows.select("conv_id", "turn", N.source_tier(F.col("src")).alias("tier"), F.md5(N.reasoning_text(F.col("think"), F.col("resp"), text)).alias("reasoning"), both.alias("both_present"))
 
 
 TREE = "(select l_orderkey k, l_linenumber i, list_extract([l_returnflag, l_linestatus, cast(l_suppkey as varchar)], cast(l_partkey % 4 + 1 as integer)) text, list_extract([1, 0, -1], cast(l_partkey % 4 + 1 as integer)) rating, (l_returnflag, l_linestatus, cast(l_suppkey as varchar), l_partkey % 4) tie from lineitem)"
@@ -379,12 +387,14 @@ def vector_corruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.posexplode(made).alias("dim", "c")).select("vec_id", "dim", "c.masked", "c.shuffled")
 
 
-@query("""with p as (select cast(unnest(range(0, 32)) as integer) pos), d as (select cast(unnest(range(0, 16)) as integer) dim) select pos, dim, round(case when dim % 2 = 0 then sin(pos * exp(-ln(10000.0e0) * dim / 16)) else cos(pos * exp(-ln(10000.0e0) * (dim - 1) / 16)) end, 6) as value from p, d""")
+@query("""with p as (select cast(l_linenumber - 1 as integer) pos, cast(count(*) as bigint) steps from lineitem group by 1), d as (select cast(unnest(range(0, 16)) as integer) dim)
+ select pos, steps, dim, round(case when dim % 2 = 0 then sin(pos * exp(-ln(10000.0e0) * dim / 16)) else cos(pos * exp(-ln(10000.0e0) * (dim - 1) / 16)) end, 6) as value from p, d""")
 def position_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sines and cosines that encode positions: a table of fixed size."""
-    grid = spark.range(0, 32).select(F.col("id").cast("int").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("dim"))
+    """Sines and cosines that encode the places which steps have in their chains, with how many steps have each."""
+    places = table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") - 1).cast("int").alias("pos")).agg(F.count("*").alias("steps"))
+    grid = places.select("pos", "steps", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("dim"))
     angle = F.col("pos") * F.exp(-F.log(F.lit(10000.0)) * (F.col("dim") - F.col("dim") % 2) / 16)
-    return grid.select("pos", "dim", F.round(F.when(F.col("dim") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)), 6).alias("value"))
+    return grid.select("pos", "steps", "dim", F.round(F.when(F.col("dim") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)), 6).alias("value"))
 
 
 @query("""with a as (select doc_id from documents join labels using (doc_id) where quality = 1 order by doc_id limit 20 offset 5), b as (select doc_id from documents join labels using (doc_id) where quality = 0 order by doc_id limit 20 offset 5) select doc_id, 'A' side from a union all select doc_id, 'B' side from b""")
@@ -395,29 +405,25 @@ def calibration_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(1, "A").unionAll(page(0, "B"))
 
 
-SHARE = "'Let $x$ be 3 \\alpha and y_{' || l_linenumber || '} so ' || l_quantity"
-
-
-@query(f"""with w as (select l_orderkey k, l_linenumber i, string_split({SHARE}, ' ') w from lineitem) select k, i, round(len(list_filter(w, lambda t: contains(t, '\\') or contains(t, '$') or contains(t, '^') or contains(t, '_{{'))) / cast(len(w) as double), 6) as share from w""")
+@query(f"""with w as (select page_id k, list_filter(regexp_split_to_array(html, '[\\s]+'), lambda w: w <> '') w from pages)
+ select k, round(len(list_filter(w, lambda t: contains(t, chr(92)) or contains(t, '$') or contains(t, '^') or contains(t, '_{{'))) / cast(greatest(len(w), 1) as double), 6) as share from w""")
 def latex_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of tokens that look like formulas."""
-    text = F.concat(F.lit("Let $x$ be 3 \\alpha and y_{"), "l_linenumber", F.lit("} so "), "l_quantity")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.round(T.latex_token_share(text), 6).alias("share"))
+    """The share of a page's tokens that look like formulas."""
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), F.round(T.latex_token_share(F.col("html")), 6).alias("share"))
 
 
 NESTED = "[^{}]*"
 for _ in range(7):
     NESTED = f"(?:[^{{}}]|\\{{{NESTED}\\}})*"
-BOXED = "'first \\boxed{1}, then \\boxed{\\frac{\\sqrt{\\frac{a}{b_{c}}}}{' || o_orderkey || '}} is the value. Done' || case when o_orderkey % 2 = 0 then '}' else ' \\boxed{open {' || o_orderkey end"
+BOXED = "'first \\boxed{1}, then \\boxed{' || html || '} is the value. Done' || case when page_id % 2 = 0 then '}' else ' \\boxed{open {' || url end"
 
 
-@query(f"""with r as (select o_orderkey k, list_extract(string_split({BOXED}, '\\boxed{{'), -1) rest from orders) select k, trim(case when regexp_matches(rest, '^{NESTED}\\}}') then regexp_extract(rest, '^({NESTED})\\}}', 1) else rest end) boxed from r""")
+@query(f"""with r as (select page_id k, list_extract(string_split({BOXED}, '\\boxed{{'), -1) rest from pages) select k, md5({strip_sql(f"case when regexp_matches(rest, '^{NESTED}\\}}') then regexp_extract(rest, '^({NESTED})\\}}', 1) else rest end")}) boxed from r""")
 def boxed_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last boxed answer with braces five deep, and with a group that is never closed."""
-    key = F.col("o_orderkey").cast("string")
-    tail = F.when(F.col("o_orderkey") % 2 == 0, "}").otherwise(F.concat(F.lit(" \\boxed{open {"), key))
-    text = F.concat(F.lit("first \\boxed{1}, then \\boxed{\\frac{\\sqrt{\\frac{a}{b_{c}}}}{"), key, F.lit("}} is the value. Done"), tail)
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), T.last_boxed(text).alias("boxed"))
+    """The last boxed group around whole pages, whose own braces nest in it, and a group that is never closed."""
+    tail = F.when(F.col("page_id") % 2 == 0, "}").otherwise(F.concat(F.lit(" \\boxed{open {"), "url"))
+    text = F.concat(F.lit("first \\boxed{1}, then \\boxed{"), "html", F.lit("} is the value. Done"), tail)
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), F.md5(T.last_boxed(text)).alias("boxed"))
 
 
 @query("""select strftime(ts, '%Y-%m-%d %H') as hour, event_type, cast(count(*) as bigint) n from events where ts is not null group by 1, 2""")

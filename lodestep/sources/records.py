@@ -81,14 +81,22 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
 SCORES = "model string, key string, gpu string, qwen_caveat boolean, minutes double, n int, skipped int, rows array<struct<id: string, chain: string, split: string, step_scores: array<double>, step_labels: array<int>>>"
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Score files as one row for each step: aligned rows only, unlabelled steps left out."""
-    blobs = spark.read.schema(SCORES).option("multiLine", True).json(path)
+def read_scores(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Score files, one blob a file or (not ``multi_line``) a line, as one row for each step: aligned rows only, unlabelled steps left out."""
+    blobs = spark.read.schema(SCORES).option("multiLine", multi_line).json(path)
     rows = blobs.select("model", F.explode("rows").alias("r")).select("model", "r.*").where("size(step_scores) = size(step_labels)")
     steps = rows.select("model", "id", "chain", "split", F.posexplode(F.arrays_zip("step_scores", "step_labels")).alias("step", "s"))
     return steps.select("model", "id", "chain", "split", "step", F.col("s.step_scores").alias("score"), F.col("s.step_labels").alias("label")).where("label >= 0")
 
 
+def skipped_scores(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(model, kept, misaligned, skipped): rows of a model's score files whose scores and labels align or not, and those that scoring skipped."""
+    blobs = spark.read.schema(SCORES).option("multiLine", multi_line).json(path)
+    aligned = F.size(F.filter("rows", lambda r: F.size(r["step_scores"]) == F.size(r["step_labels"])))
+    rows = F.greatest(F.size("rows"), F.lit(0))
+    return blobs.groupBy("model").agg(F.sum(F.greatest(aligned, F.lit(0))).alias("kept"), F.sum(rows - F.greatest(aligned, F.lit(0))).alias("misaligned"), F.sum(F.coalesce("skipped", F.lit(0))).alias("skipped"))
+
+
 def mixed_groups(df: DataFrame, generations: str, correct: str) -> DataFrame:
     """Rows whose parallel arrays align and hold both right and wrong generations, one row a generation."""
     right = F.size(F.filter(correct, lambda x: x))
