@@ -208,6 +208,12 @@ def infer_subject(x: Column) -> Column:
     return let(F.lower(text_or_empty(x)), lambda low: let(F.array(*[F.size(h) for h in keyword_hits(low, P.SUBJECT_KEYS).values()]), of))
 
 
+def normalise_subject(x: Column) -> Column:
+    """The subject whose key a label holds first, in one vocabulary; other without one."""
+    low = F.lower(text_or_empty(x))
+    return F.coalesce(*[F.when(F.contains(low, F.lit(key)), F.lit(name)) for key, name in P.SUBJECT_NAMES.items()], F.lit("other"))
+
+
 def settled_region(x: Column) -> Column:
     """What follows the last change of mind if five words or more, else the last quarter of the words, twenty at least."""
     def of(t: Column) -> Column:

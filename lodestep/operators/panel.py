@@ -147,6 +147,38 @@ def judge_worklist(df: DataFrame, answer: str, gold: str, error: str) -> DataFra
     return df.withColumn("verdict", verdict).withColumn("prompt", F.when(F.col("verdict") == "residual", prompt))
 
 
+def mechanism_prompt(problem: Column, reference: Column, solution: Column) -> Column:
+    """What a judge of reasoning gets: the problem, a reference or that there is none, and a solution whose answer is right."""
+    ref = F.when(F.trim(reference) == "", "Reference: none").otherwise(F.concat(F.lit("Reference:\n"), reference))
+    return F.concat(F.lit("Problem:\n"), problem, F.lit("\n\n"), ref, F.lit("\n\nSolution with the right answer:\n"), solution, F.lit("\n\nCheck each step, then end with LABEL."))
+
+
+def verify_prompt(problem: Column, gold: Column, answer: Column) -> Column:
+    return F.concat(F.lit("Problem:\n"), problem, F.lit("\n\nGold answer: "), gold, F.lit("\nAnswer: "), answer, F.lit("\n\nSame value? YES or NO."))
+
+
+def approach_prompt(solution: Column) -> Column:
+    return F.concat(F.lit("Name the approach of this solution in one word.\n\n"), solution)
+
+
+def call_cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:
+    """Prices are for a million tokens."""
+    return (tokens_in * price_in + tokens_out * price_out) / 1e6
+
+
+def split_id(request: Column, mark: str = "__c") -> Column:
+    """Struct (record, candidate) of an id, cut at its last mark; candidate is null where no number follows."""
+    return F.struct(F.regexp_extract(request, f"(?s)^(.*){mark}", 1).alias("record"), F.substring_index(request, mark, -1).try_cast("long").alias("candidate"))
+
+
+def hardest(df: DataFrame, split: str, key: str, golds: str, level: str, most: int, lo: float, hi: float) -> DataFrame:
+    """(split, k, gold, difficulty): the ``most`` hardest rows of each split with a difficulty from ``lo`` to ``hi``, ties by key; the first gold answer of a list; a level that is no number is -1."""
+    difficulty = F.coalesce(F.col(level).try_cast("double"), F.lit(-1.0))
+    rows = df.select(F.col(split).alias("split"), F.col(key).alias("k"), F.get(golds, F.lit(0)).alias("gold"), difficulty.alias("difficulty")).where(F.col("difficulty").between(lo, hi))
+    rank = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("difficulty"), "k"))
+    return rows.withColumn("_rn", rank).where(F.col("_rn") <= most).drop("_rn")
+
+
 def label_by_word(reply: Column, labels: list[str]) -> Column:
     """The first of ``labels`` that stands in the reply as a word; unknown without one."""
     low = F.lower(reply)

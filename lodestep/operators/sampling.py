@@ -12,6 +12,14 @@ def rank_by_hash(seed: int, key: Column, by: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(h(seed, key), key))
 
 
+def per_split(df: DataFrame, key: str, split: str, cls: str, k: int, seed: int, mode: str = "balanced") -> DataFrame:
+    """``k`` rows of each split, the first in hash order: k // 2 of each class (``balanced``), or as they come (``natural``)."""
+    if mode not in ("balanced", "natural"):
+        raise ValueError(f"mode: {mode}")
+    by, most = ([F.col(split), F.col(cls)], k // 2) if mode == "balanced" else ([F.col(split)], k)
+    return df.withColumn("_rn", rank_by_hash(seed, F.col(key), by)).where(F.col("_rn") <= most).drop("_rn")
+
+
 def bounded_rank(df: DataFrame, seed: int, key: str, bucket_rows: int = 500_000) -> DataFrame:
     """``rank`` of every row of the whole table in hash order, without ordering the table in one task.
 
