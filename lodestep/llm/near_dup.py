@@ -130,10 +130,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     the set's size, the smallest doc_id reachable over links, and whether it is that one. Words are the runs of
     bytes other than ASCII white space with A-Z lower-cased; a text of fewer words than a shingle is one shingle.
     Null, empty and blank texts have no set, are linked with nothing and are kept. Rows that repeat a doc_id count
-    as one node, linked as any of them is. Rows without a doc_id take no part: component_id is null, kept is true.
+    as one node, linked as any of them is. Rows without a doc_id take no part: component_id is null, kept is true. Ids of
+    other types count as the 64-bit number that they write out, or as none. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     with Scratch(spark) as scratch:
         signed = scratch.write(signatures(docs, shingle_words, chunks))
         real = signed.where("n > 0 and doc_id is not null")
@@ -162,6 +163,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; all columns stay."""
-    gone = near_duplicates(docs, **how).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents whose component has a smaller doc_id; all columns stay. Odd cases as in ``near_duplicates``: rows without an id or a set stay."""
+    gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    same = docs["doc_id"].try_cast("long") == gone["_gone"]
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti").select(*docs.columns)

@@ -1,8 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
 Each block of a text is compressed with a dictionary built from good labelled text and with one built from bad
-text. The difference of the two sizes, normalised by the text's length, says which it resembles; with the
-size without a dictionary (text that repeats itself shrinks to nothing) a logistic calibration turns it into a score.
+text. The difference of the two sizes, normalised by the text's length, says which it resembles. A logistic calibration turns it into a score,
+beside what else compression shows, as ``features`` lists it: the size without a dictionary, that squared, log length, the difference times log length,
+and the size with the good dictionary.
 Documents are scored where they are read.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +35,22 @@ class Model(NamedTuple):
 
 
 def build_dictionary(texts: list[bytes], size: int) -> bytes:
-    """Content for a raw dictionary: an equal share of blocks from every text, in turn, up to ``size`` bytes."""
-    blocks = [[t[i : i + 512] for i in range(0, len(t), 512)] for t in texts if t]
+    """Content for a raw dictionary: as many bytes from every text, from a hashed place on, up to ``size`` bytes.
+
+    A piece has ``size`` over the number of texts bytes, but 64 at least and 512 at most; with fewer texts each gives more pieces, in turn, until
+    all is used. Only where 64 bytes of every text are more than ``size`` do texts go without, the last in the order of their hashes.
+    """
+    used = sorted((crc32(t), t) for t in texts if t)
+    piece = min(512, max(64, size // max(1, len(used))))
+    counts = [-(-len(t) // piece) for _, t in used]
     out, total, turn = [], 0, 0
-    while blocks and total < size:
-        left = []
-        for b in blocks:
-            if total >= size:
-                break
-            out.append(b[turn])
-            total += len(b[turn])
-            if len(b) > turn + 1:
-                left.append(b)
-        blocks, turn = left, turn + 1
+    while total < size and turn < max(counts, default=0):
+        for (place, t), n in zip(used, counts, strict=True):
+            if turn < n and total < size:
+                at = (place + turn) % n * piece
+                out.append(t[at : at + piece])
+                total += len(out[-1])
+        turn += 1
     return b"".join(out)[:size]
 
 
@@ -63,7 +68,7 @@ class Scorer:
         self.good, self.bad, self.plain = tool(good), tool(bad), tool(b"")
 
     def features(self, text: bytes) -> tuple[float, ...]:
-        """Of a whole text, by blocks: size difference and size without a dictionary, both by length, and log length."""
+        """Of a whole text, by blocks and by length: size difference, size without a dictionary, that squared, log length, difference times log length, size with the good dictionary."""
         good = bad = plain = 0
         for i in range(0, len(text), BLOCK):
             block = text[i : i + BLOCK]
@@ -111,17 +116,17 @@ def scores(texts: list[str], model: Model, scorer: Scorer) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int = 8000) -> Model:
-    """Trains on at most ``per_class`` labelled documents of each class outside the held-out fold (see ``_labels.sample``)."""
-    return train(*_labels.sample(docs, labels, "quality", per_class, most_chars))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int = 8000, size: int = 1 << 17) -> Model:
+    """Trains on at most ``per_class`` labelled documents of each class outside the held-out fold (see ``_labels.sample``); each dictionary has at most ``size`` bytes."""
+    return train(*_labels.sample(docs, labels, "quality", per_class, most_chars), size)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how: int) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``; the score is the chance of quality label 1.
 
     Null and empty texts are scored as a text of no bytes. Without labels every score is 0.5; with a class missing
-    it is the share of the other. Whole texts are compressed, block by block. Repeated rows score alike; a null
-    doc_id stays null and is not held out. The dictionaries (256 KB) go to the tasks as a broadcast.
+    it is the share of that class. Whole texts are compressed, block by block. Repeated rows score alike; a null
+    doc_id stays null and is not held out. The dictionaries (two of ``size`` bytes) go to the tasks as a broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(fit(docs, labels, **how)))
 
