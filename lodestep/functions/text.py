@@ -117,15 +117,35 @@ def as_number(x: Column) -> Column:
     return F.when(x.rlike(P.FLOAT), x.try_cast("double"))
 
 
+def plain_number(x: Column) -> Column:
+    """A double as text: whole numbers below 2**95 in full, others with the fewest digits that tell them apart, with an exponent below 0.0001 and from 10**16 on."""
+    def whole(v: Column) -> Column:
+        high = F.floor(F.abs(v) / 4294967296.0).cast("long")  # exact: a power of two
+        low = (F.abs(v) - high * 4294967296.0).cast("long")
+        text = (high.cast("decimal(20, 0)") * F.lit(4294967296).cast("decimal(10, 0)") + low.cast("decimal(10, 0)")).cast("string")
+        return F.concat(F.when(v < 0, "-").otherwise(""), text)
+
+    def spread(s: Column) -> Column:
+        e = F.substring_index(s, "E", -1).cast("int")
+        digits = F.replace(F.regexp_replace(F.substring_index(F.ltrim(s, F.lit("-")), "E", 1), r"\.0$", ""), F.lit("."), F.lit(""))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        large = F.concat(F.left(digits, e + 1), F.lit("."), F.substr(digits, e + 2))
+        point = F.when(F.length(digits) > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))).otherwise(digits)
+        power = F.concat(point, F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+        sign = F.when(F.startswith(s, F.lit("-")), "-").otherwise("")
+        return F.concat(sign, F.when((e >= -4) & (e < 0), small).when((e >= 0) & (e < 16), large).otherwise(power))
+
+    text = x.cast("string")
+    return F.when((x % 1 == 0) & (F.abs(x) < 2.0**95), whole(x)).when(F.contains(text, F.lit("E")), let(text, spread)).otherwise(text)
+
+
 def normalise_answer(x: Column) -> Column:
-    """Without currency, percent, thousands marks and outer dots; whole numbers as integers; null is empty."""
+    """Without currency, percent, thousands marks and outer dots; whole numbers as integers, others as ``plain_number``; null is empty."""
     s = strip(text_or_empty(x))
     for piece in ("$", ",", "\\%", "%", "\\!", "\\,"):
         s = F.replace(s, F.lit(piece), F.lit(""))
     s = F.btrim(s, F.lit("$ ."))
-    number = as_number(s)
-    whole = F.when(F.abs(number) < 1e18, number % 1 == 0)
-    return F.when(whole, number.cast("long").cast("string")).when(number.isNotNull(), number.cast("string")).otherwise(s)
+    return let(s, lambda t: let(as_number(t), lambda number: F.when(number.isNotNull(), plain_number(number)).otherwise(t)))
 
 
 def right_side(x: Column) -> Column:
@@ -260,6 +280,24 @@ def has_repeated_ngram(x: Column, n: int = 20, most: int = 3) -> Column:
     return let(words(x), loops)
 
 
+def ngram_counts(w: Column, n: int) -> Column:
+    """Struct (most, distinct): how often the most frequent ``n`` words in a row occur among the words ``w``, and how many different ones there are.
+
+    Counted in the row, over sorted 64-bit hashes: nothing is shuffled and no row is multiplied. 0 where there are fewer words.
+    """
+    def counted(g: Column) -> Column:
+        start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("distinct"))
+
+        def step(a: Column, x: Column) -> Column:
+            run = F.when(a["last"] == x, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+            return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"), (a["distinct"] + F.when(a["last"] == x, 0).otherwise(1)).alias("distinct"))
+
+        return F.aggregate(g, start, step, lambda a: F.struct(a["most"].alias("most"), a["distinct"].alias("distinct")))
+
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    return let(F.array_sort(F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<long>"))), counted)
+
+
 def is_incomplete(x: Column) -> Column:
     t = strip(text_or_empty(x))
     last = strip(F.element_at(F.split(t, r"\r\n?|\n"), -1))

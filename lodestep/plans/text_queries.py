@@ -200,8 +200,7 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a document's most frequent five words in a row occur."""
     w = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w")).where("size(w) >= 10")
-    grams = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " "))).alias("g"))
-    return grams.groupBy("doc_id", "g").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("most"), F.count("*").alias("n_distinct"))
+    return w.select("doc_id", T.ngram_counts(F.col("w"), 5).alias("c")).select("doc_id", F.col("c")["most"].alias("most"), F.col("c")["distinct"].alias("n_distinct"))
 
 
 _size = {k: f"len(list_filter({sql_list(v)}, lambda w: contains(lower(text), w)))" for k, v in P.SUBJECT_KEYS.items()}
