@@ -97,6 +97,19 @@ def skipped_scores(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return blobs.groupBy("model").agg(F.sum(F.greatest(aligned, F.lit(0))).alias("kept"), F.sum(rows - F.greatest(aligned, F.lit(0))).alias("misaligned"), F.sum(F.coalesce("skipped", F.lit(0))).alias("skipped"))
 
 
+STEPS = "id long, split string, chain string, step_idx int, step_label int, emb array<float>"
+
+
+def write_steps(steps: DataFrame, path: str) -> None:
+    """Step vectors as a long Parquet table, one row a step, ordered by chain within its files so that a chain's steps lie together."""
+    steps.sortWithinPartitions("id", "step_idx").write.mode("overwrite").parquet(path)
+
+
+def read_steps(spark: SparkSession, path: str) -> DataFrame:
+    """The long step table: (id, split, chain, step_idx, step_label, emb); labels below 0 are unknown."""
+    return spark.read.schema(STEPS).parquet(path)
+
+
 def mixed_groups(df: DataFrame, generations: str, correct: str) -> DataFrame:
     """Rows whose parallel arrays align and hold both right and wrong generations, one row a generation."""
     right = F.size(F.filter(correct, lambda x: x))
