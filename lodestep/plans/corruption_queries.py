@@ -116,7 +116,12 @@ def damage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", F.inline(F.array_compact(each))).select("k", "damage_type", "operation", "step_indices", "detail", "steps")
 
 
-@query()
+_place = f"{sql_h(5, 'doc_id', 'x.j')} % (len(a.steps) + 1)"
+
+
+@query(f"""with s as (select doc_id, steps, len(steps) n, greatest(1, cast(floor(len(steps) * 0.3e0) as bigint)) k from {STEPS}),
+ o as (select doc_id, n, case when n > 0 then list_reduce(list_transform(range(1, k + 1), lambda j: {{'steps': cast([] as varchar[]), 'j': j}}), lambda a, x: {{'steps': list_concat(list_concat(a.steps[:{_place}], [[{', '.join(map(q, P.INERT_STEPS))}][{sql_h(105, 'doc_id', 'x.j')} % {len(P.INERT_STEPS)} + 1]]), a.steps[{_place} + 1:]), 'j': x.j}}, {{'steps': steps, 'j': cast(0 as bigint)}}).steps else steps end o from s)
+ select doc_id, cast(n as integer) n_before, cast(len(o) as integer) n_after, md5(array_to_string(o, chr(10))) as out from o""")
 def excess_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distractor steps put in."""
     out = X.excess_inject(F.col("steps"), F.col("doc_id"), 0.3)

@@ -9,6 +9,7 @@ from lodestep.functions import patterns as P
 from lodestep.functions import text as T
 from lodestep.functions.rand import sql_h
 from lodestep.operators import corrupt as X
+from lodestep.plans.corruption_queries import STEPS, documents
 from lodestep.plans.registry import query
 from lodestep.plans.text_queries import SOLUTIONS_SQL, q, solutions, strip_sql, words_sql
 
@@ -101,3 +102,35 @@ def damage_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A variable of two or more steps renamed in one of them."""
     more = F.array(F.concat(F.lit("so x + y = "), "c"), F.concat(F.lit("y - x is "), "k", F.lit(", x x")))
     return _rows(_steps(spark, sf_dir, more), [X.notation_drift])
+
+
+_D = f"s as (select doc_id k, steps, len(steps) n from {STEPS})"
+_NUMBERS = "flatten(list_transform(steps, lambda s: list_filter(regexp_extract_all(s, '[A-Za-z0-9_.]+'), lambda t: regexp_full_match(t, '[0-9]+'))))"
+_LETTERS = "flatten(list_transform(steps, lambda s: list_distinct(list_filter(regexp_extract_all(s, chr(92) || chr(92) || '?[A-Za-z]+'), lambda t: length(t) = 1))))"
+
+
+def _seed(op: object, t: int) -> str:
+    return _h(X.SEEDS[op] + 1000 * t)
+
+
+def _any(tries: list[str]) -> str:
+    return "(" + " or ".join(tries) + ")"
+
+
+#: Whether any of six draws of an operation and a place applies, kind by kind.
+_STRUCTURAL_HIT = _any([f"case {_h(40 + t)} % 3 when 2 then n >= 2 else n >= 3 end" for t in range(6)])
+_LEFT = f"regexp_replace(left(steps[site.i + 1], instr(steps[site.i + 1], site.m) - 1) || substr(steps[site.i + 1], instr(steps[site.i + 1], site.m) + length(site.m)), '\\s{{2,}}', ' ', 'g')"
+_ENOUGH = f"len({words_sql(f'trim({_LEFT}, ' + chr(39) + ' ,;' + chr(39) + ')')}) >= 2"
+_CONSTRAINT_HIT = _any([_ENOUGH.replace("site", f"(cs[{_seed(X.remove_constraint, t)} % greatest(len(cs), 1) + 1])") for t in range(6)])
+_OTHER_HIT = _any([f"case {_h(40 + t)} % 2 when 0 then several else len(nums) > 0 end" for t in range(6)])
+
+
+@query(f"""with {_D}, a as (select *, {_sites(P.REFERENCES)} rs, {_sites(P.CONSTRAINTS)} cs, {_NUMBERS} nums, {_LETTERS} letters from s),
+ b as (select *, len(list_filter(list_distinct(letters), lambda v: v not in ('a', 'A', 'I') and len(list_filter(letters, lambda x: x = v)) >= 2)) > 0 several from a),
+ h as (select unnest(['structural', 'dependency', 'constraint', 'other']) damage_type, unnest([{_STRUCTURAL_HIT}, len(rs) > 0, len(cs) > 0 and {_CONSTRAINT_HIT}, {_OTHER_HIT}]) hit from b)
+ select damage_type, cast(count(*) as bigint) n, round(avg(case when hit then 1.0e0 else 0 end), 6) rate from h group by damage_type""")
+def damage_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of damage the share of documents that it applies to."""
+    hits = [F.struct(F.lit(kind).alias("damage_type"), X.apply_damage(F.col("steps"), kind, F.col("doc_id")).isNotNull().cast("double").alias("hit")) for kind in X.DAMAGES]
+    long = documents(spark, sf_dir).select(F.inline(F.array(*hits)))
+    return long.groupBy("damage_type").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("rate"))

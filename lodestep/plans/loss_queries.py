@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestep.functions import vectors as V
 from lodestep.functions.rand import sql_h
-from lodestep.operators import corrupt as X
 from lodestep.operators import losses as L
 from lodestep.operators import metrics as M
-from lodestep.plans.corruption_queries import documents
 from lodestep.plans.metric_queries import SCORED, scored
 from lodestep.plans.registry import query
 from lodestep.sources.tables import table
@@ -109,11 +107,3 @@ def slim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def worklist_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of a work list in the order of ids."""
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").orderBy("doc_id").offset(40).limit(25)
-
-
-@query()
-def damage_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each kind of damage the share of documents that it applies to."""
-    hits = [F.struct(F.lit(kind).alias("damage_type"), X.apply_damage(F.col("steps"), kind, F.col("doc_id")).isNotNull().cast("double").alias("hit")) for kind in X.DAMAGES]
-    long = documents(spark, sf_dir).select(F.inline(F.array(*hits)))
-    return long.groupBy("damage_type").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("rate"))

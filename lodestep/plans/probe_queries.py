@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from lodestep.functions import text as T
 from lodestep.functions import vectors as V
 from lodestep.functions.rand import h, sql_h
+from lodestep.functions import patterns as PT
+from lodestep.operators import confound as C
 from lodestep.operators import probes as P
-from lodestep.plans.registry import query
-from lodestep.plans.text_queries import words_sql
+from lodestep.plans.metric_queries import SCORED, scored
+from lodestep.plans.registry import QUERIES, query
+from lodestep.plans.text_queries import ANSWER_SQL, THINK_SQL, q, words_sql
 from lodestep.sources.tables import table
 
+_DOCS_ANSWER = ANSWER_SQL.replace(THINK_SQL, "select doc_id k, text response from documents")
 LETTERS = "etaoinshrdlcumwf"
 
 
@@ -64,3 +68,23 @@ def controlled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = P.control_matrices(rows, "x", size + confounds, confounds, "fold")[0]
     out = P.moved(rows.select("doc_id", "x"), "x", size + confounds, P.controlling(matrix))
     return out.select("doc_id", F.posexplode(V.rounded(F.col("x"), 5)).alias("dim", "x"))
+
+
+@query(f"""with m as (select *, ln(1 + w) x, cast(score as double) y from {SCORED}), g as (select source, avg(x) mx, avg(y) my from m group by source), b as (select sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) b from m join g using (source))
+ select doc_id, round(y - my - b * (x - mx), 4) residual from m join g using (source), b""")
+def residual_on_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score's residuals on log length and source by a fit on every row, the held-out ones too: the leaky control that others are held against."""
+    rows = scored(spark, sf_dir).select("doc_id", "source", F.log1p("w").alias("x"), F.col("score").cast("double").alias("y"))
+    names = [r["source"] for r in rows.select("source").distinct().orderBy("source").collect()]  # a row a source
+    marked = rows.select("*", *[(F.col("source") == n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    out = C.residualize(marked, ["y"], ["x", *[f"c{i}" for i in range(len(names))]], F.lit(True))
+    return out.select("doc_id", F.round("y_residual", 4).alias("residual"))
+
+
+@query(f"with t as ({QUERIES['approach_tag'][1]}), a as (select a.doc_id, a.label la, b.label lb from t a left join t b on b.doc_id = a.doc_id + 1), n as (select k doc_id, answer from ({_DOCS_ANSWER})) select doc_id, case when la <> 'unknown' and lb is not null and lb <> 'unknown' then la = lb end as agrees, coalesce(regexp_matches(regexp_replace(regexp_replace(trim(answer), '[$,]|\\\\?%', '', 'g'), '^[$ .]+|[$ .]+$', '', 'g'), {q(PT.FLOAT)}), false) numeric_answer from a join n using (doc_id)")
+def approach_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's approach is that of the next, null where either is unknown, and whether its answer is a number."""
+    tagged = table(spark, sf_dir, "documents").select("doc_id", T.classify_approach(F.col("text"))["label"].alias("la"), T.extract_answer(F.col("text"))["answer"].alias("answer"))
+    following = tagged.select((F.col("doc_id") - 1).alias("doc_id"), F.col("la").alias("lb"))
+    joined = tagged.join(following, "doc_id", "left")
+    return joined.select("doc_id", T.approaches_match(F.col("la"), F.col("lb")).alias("agrees"), F.coalesce(T.is_numeric_answer(F.col("answer")), F.lit(False)).alias("numeric_answer"))
