@@ -16,27 +16,30 @@ from lodestep.sources.tables import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go. Null and empty texts are scored as texts without words; an empty table gives no rows."""
     return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of any length that repeat another line, equal or nearly, go, and documents of which nothing is left; blank lines stay."""
+    """Lines of any length that repeat another line, equal or nearly, go, and documents of which nothing is left; blank lines stay.
+
+    Null texts and texts that were empty before stay, as do rows without an id.
+    """
     return fuzzy_lines.remove_lines(docs, drop_emptied=True)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the smallest id. Texts without words and rows without an id stay."""
     return near_dup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a verbatim benchmark window go."""
+    """Documents with a verbatim benchmark window go. Null and empty texts hold none and stay; an empty benchmark leaves everything."""
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences of at most 2048 tokens."""
+    """What is left is packed into sequences of at most 2048 tokens. A null or empty text is the end id alone; an empty table gives no rows."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), spaces="leading", end_id=1, size=2048)
