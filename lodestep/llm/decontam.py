@@ -250,7 +250,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFra
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The longest verbatim matches: (doc_id, word_start, n_words, item_id, item_word_start), each at least a window."""
+    """The longest verbatim matches: (doc_id, word_start, n_words, item_id, item_word_start), each at least a window.
+
+    Words, windows and odd cases as in ``overlaps``: null and empty texts and items without words or id match nothing, repeated rows match alike,
+    a passage that an item holds several times is a match for each place, and empty tables give no rows.
+    """
     with Scratch(docs.sparkSession) as scratch:
         uri = write_benchmark(benchmark, scratch)
 

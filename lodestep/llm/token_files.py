@@ -136,7 +136,11 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, spaces: str, end_id:
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that ``manifest`` lists."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that ``manifest`` lists.
+
+    The tokens before each file are added up over the manifest, a row a file. An id that stands for null is null again; documents that
+    repeat an id are rows of their own; an empty manifest gives no rows. A frame that fails its checksum is an error.
+    """
     before = F.sum("n_tokens").over(Window.orderBy("first_doc_id", "path").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("start"))
 
@@ -162,7 +166,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, spaces: str, end_id: int) -> DataFrame:
-    """Writes ``docs`` to token files in the shared folder and returns what the files hold; the files are then removed."""
+    """Writes ``docs`` to token files in the shared folder and returns what the files hold; the files are then removed. Odd cases as in ``write_tokens``."""
     with Scratch(docs.sparkSession) as scratch:
         manifest = scratch.write(write_tokens(docs, f"{scratch.path}/tokens", tokenizer, spaces, end_id))
         return read_back(manifest).checkpoint()

@@ -214,13 +214,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: i
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how: int) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``."""
+    """(doc_id, held_out, score, predicted) for each row of ``docs``; the score is the chance of label 1.
+
+    Null and empty texts are scored as a text without words. Without labels every score is 0.5; with a class missing it is the share of
+    that class. Repeated rows score alike; a null doc_id stays null and is not held out. An empty table gives no rows.
+    """
     found = score(docs, fit(docs, labels, **how), threshold)
     return found.select("doc_id", _labels.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how: int) -> DataFrame:
-    """``docs`` without the documents that score ``threshold`` or more; all columns stay and nothing is shuffled."""
+    """``docs`` without the documents that score ``threshold`` or more; all columns stay and nothing is shuffled.
+
+    Null and empty texts are scored as in ``judge``, rows without an id by their text, and repeated rows go or stay together. An empty table gives no rows.
+    """
     model, text = fit(docs, labels, **how), docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
     least = float(np.log(threshold / (1 - threshold)))

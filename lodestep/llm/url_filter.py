@@ -31,7 +31,7 @@ SHAPES = ("https://{}.example.com/en/12", "http://www.{}.example.net/de/7.html",
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): label 1 is to be blocked. 210 rows."""
+    """(url, label): label 1 is to be blocked. 210 rows made by rule, none null and none twice; they depend on no table."""
     rows = [(shape.format(stem), label) for label, stems in ((1.0, BLOCK_STEMS), (0.0, ALLOW_STEMS)) for stem in stems for shape in SHAPES]
     pairs = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in rows])
     return spark.range(1).select(F.inline(pairs))
