@@ -5,6 +5,7 @@ Files are listed, renamed and joined through Hadoop's file system, so any store
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
@@ -22,6 +23,14 @@ def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
+#: What ways of writing one path differ in: its scheme and the slashes after it.
+BARE = "^([a-z0-9]+:)?/*"
+
+
+def _bare(path: str) -> str:
+    return re.sub(BARE, "", path)
+
+
 class Scan(NamedTuple):
     """Rows that passed, and what was read for them."""
 
@@ -39,8 +48,9 @@ def scan_until(spark: SparkSession, path: str, keep: Column, limit: int, max_sca
     rows are scanned, so files behind that are never opened but for their footers' schema. Fewer rows come back where the files hold no more. A null
     condition does not hold.
     """
-    files = sorted(spark.read.parquet(path).inputFiles())
-    schema = spark.read.parquet(path).schema
+    whole = spark.read.parquet(path)
+    files, schema = sorted(whole.inputFiles()), whole.schema
+    reader = lambda some: (spark.read.schema(schema) if [_bare(path)] == [_bare(f) for f in files] else spark.read.schema(schema).option("basePath", path)).parquet(*some)
     most = float("inf") if max_scan is None else max_scan
     used: list[tuple[str, int]] = []  # file, rows before it
     scanned = passed = at = 0
@@ -48,22 +58,23 @@ def scan_until(spark: SparkSession, path: str, keep: Column, limit: int, max_sca
     while at < len(files) and passed < limit and scanned < most:
         turn = files[at : at + many]
         name = F.col("_metadata.file_path")
-        counted = spark.read.schema(schema).parquet(*turn).select(name.alias("f"), F.coalesce(keep, F.lit(False)).alias("k"))
+        counted = reader(turn).select(name.alias("f"), F.coalesce(keep, F.lit(False)).alias("k"))
         counts = {r["f"]: (r["n"], r["k"]) for r in counted.groupBy("f").agg(F.count("*").alias("n"), F.count_if("k").alias("k")).collect()}  # a row a file
-        by_name = {f.rpartition("/")[2]: n for f, n in counts.items()}
+        by_name = {_bare(f): n for f, n in counts.items()}
         for f in turn:
             if passed >= limit or scanned >= most:
                 break
-            n, k = by_name.get(f.rpartition("/")[2], (0, 0))
+            n, k = by_name.get(_bare(f), (0, 0))
             used.append((f, scanned))
             scanned, passed = scanned + n, passed + k
         at, many = at + len(turn), many * 2
     names = [f.name for f in schema.fields]
     if not used:
         return Scan(spark.createDataFrame([], schema), at, len(files), 0, 0)
-    rows = spark.read.schema(schema).parquet(*[f for f, _ in used])
-    before = spark.createDataFrame([(f.rpartition("/")[2], n) for f, n in used], "_file string, _before long")
-    placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(F.broadcast(before), "_file")  # a row a file
+    rows = reader([f for f, _ in used])
+    before = spark.createDataFrame([(_bare(f), n) for f, n in used], "_file string, _before long")
+    file = F.regexp_replace("_metadata.file_path", BARE, "")
+    placed = rows.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row")).join(F.broadcast(before), "_file")  # a row a file
     placed = placed.withColumn("_place", F.col("_before") + F.col("_row"))
     held = placed.where(F.coalesce(keep, F.lit(False))).where(F.lit(True) if max_scan is None else F.col("_place") < max_scan)
     return Scan(held.orderBy("_place").limit(limit).select(*names), at, len(files), int(min(scanned, most)), passed)

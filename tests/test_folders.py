@@ -31,6 +31,14 @@ def test_scan_stops_when_the_quota_is_met(spark, eight):
     assert folders.scan_until(spark, eight, F.lit(True), 0).rows.count() == 0
 
 
+def test_scan_of_partitions_whose_files_share_names(spark, tmp_path):
+    at = f"file://{tmp_path}/p"
+    spark.range(40, numPartitions=1).withColumn("g", F.floor(F.col("id") / 10).cast("int")).write.partitionBy("g").parquet(at)
+    found = folders.scan_until(spark, at, F.col("id") % 2 == 0, 7)
+    assert [(r.id, r.g) for r in found.rows.collect()] == [(0, 0), (2, 0), (4, 0), (6, 0), (8, 0), (10, 1), (12, 1)] and (found.files_read, found.files) == (3, 4)
+    assert [r.id for r in folders.scan_until(spark, at, F.col("g") == 3, 2).rows.collect()] == [30, 32 - 1]
+
+
 def test_rewrite_swaps_and_a_failure_leaves_the_input_whole(spark, tmp_path):
     at = f"file://{tmp_path}/t"
     spark.range(20).withColumn("h", F.lit(None).cast("int")).write.parquet(at)
