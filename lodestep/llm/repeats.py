@@ -12,9 +12,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestep.llm import _text
 from lodestep.llm._shared import Scratch, fresh
@@ -167,19 +169,46 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([changed.get(c, batch.column(c)) for c in names] + [pa.array(more, pa.bool_())], names=[*names, "more"])
 
 
-def _grow(edges: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The edges at the last word that matches outwards, in the passage and beside its first occurrence."""
-    texts, size, done = _texts(docs), NEAR, []
+PIECE = "doc_id long, text_hash long, side int, at long, piece string, ends boolean"
+
+
+def _pieces(size: int):
+    """From texts with the places that are asked for: the ``size`` characters beyond each, and whether the text ends there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = [x.split()[0] for x in PIECE.split(", ")], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_()]
+        rows: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for batch in batches:
+            for doc, key, text, places in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "places")], strict=True):
+                for p in places:
+                    side, at = p["side"], p["at"]
+                    rows.append((doc, key, side, at, *((text[max(at - size, 0) : at], at <= size) if side < 0 else (text[at : at + size], at + size >= len(text)))))
+                    if len(rows) >= 20_000:
+                        yield made()
+                        rows.clear()
+        if rows:
+            yield made()
 
-    def piece(at: str, name: str) -> list:
-        cut = f"case when side < 0 then substring(text, cast(greatest({at} - {size}, 0) + 1 as int), cast(least({at}, {size}) as int)) else substring(text, cast({at} + 1 as int), {size}) end"
-        return [F.expr(cut).alias(name), F.expr(f"case when side < 0 then {at} <= {size} else {at} + {size} >= length(text) end").alias(f"{name}_ends")]
+    return run
 
+
+def _grow(edges: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges at the last word that matches outwards, in the passage and beside its first occurrence.
+
+    A turn reads each text once, for all the places that are asked of it on either side, so a long text costs its length; a place that many
+    passages meet is cut once, and they meet the piece, never the text.
+    """
+    texts, size, done = _texts(docs), NEAR, []
+    key = ["doc_id", "text_hash", "side", "at"]
     while True:
-        names = edges.columns
-        near = edges.join(texts, ["doc_id", "text_hash"]).select(*names, *piece("at", "mine")).distinct()
-        others = texts.select(F.col("doc_id").alias("o_doc"), F.col("text_hash").alias("o_hash"), "text")
-        both = near.join(others, ["o_doc", "o_hash"]).select(*near.columns, *piece("o_at", "theirs"))
+        asked = edges.select(*key).union(edges.select("o_doc", "o_hash", "side", "o_at")).distinct()
+        places = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("side", "at")).alias("places"))  # of one text
+        cut = places.join(texts, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places").mapInArrow(_pieces(size), PIECE)
+        cut = scratch.write(cut.dropDuplicates(key))  # rows that repeat a text
+        mine = edges.join(cut.withColumnsRenamed({"piece": "mine", "ends": "mine_ends"}), key)
+        theirs = cut.withColumnsRenamed({"doc_id": "o_doc", "text_hash": "o_hash", "at": "o_at", "piece": "theirs", "ends": "theirs_ends"})
+        both = mine.join(theirs, ["o_doc", "o_hash", "side", "o_at"])
         moved = scratch.write(both.mapInArrow(_grown, f"{EDGE}, more boolean"))
         done.append(moved.where("not more").drop("more"))
         edges = moved.where("more").drop("more")
@@ -237,8 +266,20 @@ def repeats(docs: DataFrame, sentences: bool = True, least_words: int = 1, with_
         return passages.where(F.col("n_words") >= least_words).drop("passage", *([] if with_hash else ["text_hash"])).distinct().checkpoint()
 
 
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Each text without its spans, which are in order and apart, in one pass; a text without spans as it is."""
+    out = []
+    for text, first, last in zip(texts, starts, ends, strict=True):
+        if text is None or first is None or not len(first):
+            out.append(text)
+            continue
+        out.append("".join([text[a:b] for a, b in zip([0, *last], [*first, len(text)], strict=True)]))
+    return pd.Series(out, dtype=object)
+
+
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the passages cut out of their texts, from the last to the first; all columns stay.
+    """``docs`` with the passages cut out of their texts, each text in one pass; all columns stay.
 
     Where ``passages`` has text_hash, as ``repeats`` gives it on request, a passage is cut from the text that it was found in alone; without that
     column rows that share a doc_id must share a text. Null texts, rows without a doc_id and rows without passages stay as they are.
@@ -247,11 +288,8 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     span_doc, span_hash, spans = fresh(docs, "span_doc", "span_hash", "spans")
     hashed = "text_hash" in passages.columns
     keys = [F.col("doc_id").alias(span_doc), *([F.col("text_hash").alias(span_hash)] if hashed else [])]
-    found = passages.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("first_char", "end_char")), False).alias(spans))  # of one text
-    cut = F.aggregate(
-        F.col(spans), docs["text"],
-        lambda text, s: F.concat(F.substring(text, F.lit(1), s["first_char"]), F.substring(text, s["end_char"] + 1, F.length(text))),
-    )
+    found = passages.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("first_char", "end_char"))).alias(spans))  # of one text
+    cut = _without(docs["text"], F.transform(spans, lambda s: s["first_char"]), F.transform(spans, lambda s: s["end_char"]))
     same = docs["doc_id"].cast("long") == F.col(span_doc)
     joined = docs.join(found, same & (F.xxhash64(docs["text"]) == F.col(span_hash)) if hashed else same, "left")
-    return joined.select(*[F.when(F.col(spans).isNotNull(), cut).otherwise(docs["text"]).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[cut.alias(c) if c == "text" else docs[c] for c in docs.columns])

@@ -35,3 +35,30 @@ def test_ids_with_both_labels_train_nothing(spark):
     want = {f"text {i}": i % 2 for i in ids if i not in held and i not in (0, 7)}
     assert dict(zip(texts, ys)) == want and len(texts) == len(want)
     assert share == sum(want.values()) / len(want)
+
+
+def test_a_long_text_that_repeats_in_every_other_sentence_costs_its_length(spark):
+    import time
+
+    from lodestep.llm.repeats import remove_passages, repeats as found
+
+    def run(n):
+        shared = [f"The shared sentence of number {i} stands in both texts here. " for i in range(n)]
+        texts = ["".join(s + f"Own words {i * k} of text {k} that nothing repeats at all {i + 7 * k}. " for i, s in enumerate(shared)) for k in (3, 11)]
+        docs = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, None)], "doc_id long, text string")
+        began = time.perf_counter()
+        spans = found(docs, with_hash=True)
+        rows = spans.collect()
+        took = time.perf_counter() - began
+        left = {r.doc_id: r.text for r in remove_passages(docs, spans).collect()}
+        return took, rows, texts, left
+
+    run(50)
+    small, _, _, _ = run(500)
+    large, rows, texts, left = run(4000)
+    assert {r.doc_id for r in rows} == {2} and len(rows) == 4000 and large < 8 * small + 10
+    cut, at = [], 0
+    for r in sorted(rows, key=lambda r: r.first_char):
+        cut.append(texts[1][at : r.first_char])
+        at = r.end_char
+    assert left == {1: texts[0], 2: "".join(cut) + texts[1][at:], 3: None} and "number" not in left[2]
