@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from lodestep.operators import metrics as M
 from lodestep.operators import moments as G
+from lodestep.sources.shared import written
 
 
 class Model(NamedTuple):
@@ -280,7 +281,7 @@ def score_panel(steps: DataFrame, records: DataFrame, label: str, fold: str, hel
     whose gate is 0.55 or less. Models are few: one fit each.
     """
     chains = steps.groupBy("model", "id").agg((1 - F.min("score")).alias("_min"), (1 - F.avg("score")).alias("_mean"))
-    joined = chains.join(records, "id").where(F.col(label).isin(0, 1))
+    joined = written(chains.join(records, "id").where(F.col(label).isin(0, 1)))  # read by every fit
     gates = {r["model"]: r["auc"] for r in M.auc(steps.withColumn("_low", -F.col("score")).withColumn("_bad", F.col("label") == 1), "_low", "_bad", ["model"]).collect()}
     counts = {r["model"]: r["n"] for r in joined.groupBy("model").agg(F.count("*").alias("n")).collect()}
     out = []

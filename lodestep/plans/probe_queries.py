@@ -14,6 +14,7 @@ from lodestep.operators import probes as P
 from lodestep.plans.metric_queries import SCORED, scored
 from lodestep.plans.registry import QUERIES, query
 from lodestep.plans.text_queries import ANSWER_SQL, THINK_SQL, q, words_sql
+from lodestep.sources.shared import written
 from lodestep.sources.tables import table
 
 _DOCS_ANSWER = ANSWER_SQL.replace(THINK_SQL, "select doc_id k, text response from documents")
@@ -30,7 +31,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         base.alias("base"), (h(66, F.col("doc_id")) % 5).cast("int").alias("fold"),
     )
     vectors = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("vec_id").alias("doc_id"), V.doubles(F.col("embedding")).alias("v"), (F.col("label") < 5).cast("int").alias("y"))
-    return docs.join(vectors, "doc_id")
+    return written(docs.join(vectors, "doc_id"))  # the probes read it again and again, the texts once
 
 
 def _controlled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
