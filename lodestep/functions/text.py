@@ -1,9 +1,11 @@
-"""Column builders for the text of solutions: no UDFs, so they stay inside Catalyst."""
+"""Column builders for the text of solutions: inside Catalyst but for the n-grams, which are counted in Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space at both ends, of any kind."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def text_or_empty(x: Column) -> Column:
@@ -36,6 +38,11 @@ def n_words(x: Column) -> Column:
     return F.size(words(x)).cast("long")
 
 
+def fewer_words(x: Column, n: int) -> Column:
+    """Whether there are fewer than ``n`` words; no more are cut off than that takes."""
+    return F.size(F.filter(F.split(text_or_empty(x), r"\s+", n + 2), lambda w: w != "")) < n
+
+
 def count_of(x: Column, piece: str) -> Column:
     return ((F.length(x) - F.length(F.replace(x, F.lit(piece), F.lit("")))) / len(piece)).cast("long")
 
@@ -264,44 +271,57 @@ def approaches_match(a: Column, b: Column) -> Column:
     return F.when(known(a) & known(b), a == b)
 
 
+def _sorted_ngrams(text: str | None, n: int) -> np.ndarray:
+    """Sorted 64-bit hashes of every ``n`` words in a row, put together from hashes of half as many: the work does not grow with ``n``. Few words give none."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()  # at ASCII white space, as the pattern in ``words``
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    one = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+    def of(n: int) -> np.ndarray:
+        if n == 1:
+            return one
+        a = of(n // 2)
+        g = a[: len(a) - n // 2] * np.uint64(0x9E3779B97F4A7C15) + a[n // 2 :]
+        g ^= g >> np.uint64(29)
+        return g if n % 2 == 0 else g[:-1] * np.uint64(0xBF58476D1CE4E5B9) + one[n - 1 :]
+
+    return np.sort(of(n))
+
+
 def has_repeated_ngram(x: Column, n: int = 20, most: int = 3) -> Column:
     """Whether some n words in a row occur more than ``most`` times; texts of fewer than 2n words do not.
 
-    n-grams are sorted, so that repeats lie side by side; no rows are multiplied.
+    n-grams are sorted, so that repeats lie side by side; no rows are multiplied. In Arrow batches: over arrays of words Catalyst works element by element, and a slice
+    for each run of words copies all of them.
     """
-    def loops(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))
-        return F.when(F.size(w) < 2 * n, False).otherwise(let(F.array_sort(grams), repeats))
-
-    def repeats(g: Column) -> Column:
-        pairs = F.zip_with(g, F.slice(g, F.lit(most + 1), F.size(g)), lambda a, b: F.coalesce(a == b, F.lit(False)))
-        return F.array_contains(pairs, True)
+    def repeats(texts: pa.Array) -> pa.Array:
+        grams = (_sorted_ngrams(t.as_py(), n) for t in texts)
+        return pa.array([len(g) > n and bool((g[most:] == g[:-most]).any()) for g in grams], pa.bool_())
 
-    return let(words(x), loops)
+    return F.arrow_udf(repeats, "boolean")(x)
 
 
-def ngram_counts(w: Column, n: int) -> Column:
-    """Struct (most, distinct): how often the most frequent ``n`` words in a row occur among the words ``w``, and how many different ones there are.
+def ngram_counts(x: Column, n: int) -> Column:
+    """Struct (most, distinct): how often the most frequent ``n`` words in a row of a text occur, and how many different ones there are.
 
     Counted in the row, over sorted 64-bit hashes: nothing is shuffled and no row is multiplied. 0 where there are fewer words.
     """
-    def counted(g: Column) -> Column:
-        start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("distinct"))
-
-        def step(a: Column, x: Column) -> Column:
-            run = F.when(a["last"] == x, a["run"] + 1).otherwise(F.lit(1).cast("long"))
-            return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"), (a["distinct"] + F.when(a["last"] == x, 0).otherwise(1)).alias("distinct"))
+    def counted(g: np.ndarray) -> tuple[int, int]:
+        ends = np.flatnonzero(np.append(g[1:] != g[:-1], True)) if len(g) else np.zeros(0, int)
+        return int(np.diff(ends, prepend=-1).max(initial=0)), len(ends)
 
-        return F.aggregate(g, start, step, lambda a: F.struct(a["most"].alias("most"), a["distinct"].alias("distinct")))
+    def counts(texts: pa.Array) -> pa.Array:
+        found = np.array([counted(_sorted_ngrams(t.as_py(), n)) for t in texts], np.int64).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["most", "distinct"])
 
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))
-    return let(F.array_sort(F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<long>"))), counted)
+    return F.arrow_udf(counts, "most long, distinct long")(x)
 
 
 def is_incomplete(x: Column) -> Column:
-    t = strip(text_or_empty(x))
-    last = strip(F.element_at(F.split(t, r"\r\n?|\n"), -1))
-    return F.when(t == "", True).when(t.contains("\\boxed{"), False).otherwise(~last.rlike(r"[.!?}$]$") | (n_words(last) < 4))
+    cut = lambda last: ~last.rlike(r"[.!?}$]$") | (n_words(last) < 4)
+    of = lambda t: F.when(t == "", True).when(t.contains("\\boxed{"), False).otherwise(let(strip(F.element_at(F.split(t, r"\r\n?|\n"), -1)), cut))
+    return let(strip(text_or_empty(x)), of)
 
 
 def has_han(x: Column) -> Column:

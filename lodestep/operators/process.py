@@ -17,7 +17,7 @@ def thinking_source(given: Column, thinking: Column, tagged: Column, extended: C
 def quality_flags(response: Column, thinking: Column, num_steps: Column, answer: Column, approach: Column, blackhole: Column | None = None) -> Column:
     """The names of a candidate's quality problems, in a fixed order."""
     return F.array_compact(F.array(
-        F.when(T.n_words(response) < 80, "very_short"), F.when(num_steps == 0, "no_steps_found"), F.when(answer.isNull(), "answer_not_extracted"),
+        F.when(T.fewer_words(response, 80), "very_short"), F.when(num_steps == 0, "no_steps_found"), F.when(answer.isNull(), "answer_not_extracted"),
         F.when(approach == "unknown", "approach_unknown"), F.when(T.has_repeated_ngram(response), "repeated_content"),
         F.when(T.is_incomplete(response), "incomplete_response"), F.when(T.has_han(thinking), "language_mixing"),
         F.when(F.lit(False) if blackhole is None else blackhole, "reasoning_blackhole"),

@@ -191,7 +191,7 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Very short, looping, cut-off and language-mixed texts."""
     x = F.col("text")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", (T.n_words(x) < 80).alias("very_short"), T.has_repeated_ngram(x).alias("repeated_content"), T.is_incomplete(x).alias("incomplete"), T.has_han(x).alias("language_mixing")
+        "doc_id", T.fewer_words(x, 80).alias("very_short"), T.has_repeated_ngram(x).alias("repeated_content"), T.is_incomplete(x).alias("incomplete"), T.has_han(x).alias("language_mixing")
     )
 
 
@@ -199,8 +199,8 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
  select doc_id, cast(max(n) as bigint) most, cast(count(*) as bigint) n_distinct from g group by 1""")
 def ngram_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a document's most frequent five words in a row occur."""
-    w = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w")).where("size(w) >= 10")
-    return w.select("doc_id", T.ngram_counts(F.col("w"), 5).alias("c")).select("doc_id", F.col("c")["most"].alias("most"), F.col("c")["distinct"].alias("n_distinct"))
+    long = table(spark, sf_dir, "documents").where(~T.fewer_words(F.col("text"), 10))
+    return long.select("doc_id", T.ngram_counts(F.col("text"), 5).alias("c")).select("doc_id", F.col("c")["most"].alias("most"), F.col("c")["distinct"].alias("n_distinct"))
 
 
 _size = {k: f"len(list_filter({sql_list(v)}, lambda w: contains(lower(text), w)))" for k, v in P.SUBJECT_KEYS.items()}

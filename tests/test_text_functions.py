@@ -82,3 +82,22 @@ def test_labels_and_replies(spark):
     assert value(spark, T.problem_id(F.col("t")), t="p12_c3") == "p12"
     assert value(spark, T.long_steps(F.col("t")), t="a</think>long one\nxx\nlong two") == ["long one", "long two"]
     assert value(spark, T.inflate(F.array(F.lit("has 3 parts"), F.lit("end 4")), 2)) == ["has $3$ parts", *[T.P.INERT_STEPS[i] for i in (0, 1)], "end 4"]
+
+
+def test_ngrams_count_like_plain_python_at_any_size(spark):
+    from collections import Counter
+
+    def plain(t, n):
+        w = (t or "").split()
+        c = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        return max(c.values(), default=0), len(c)
+
+    texts = ["a b c d e f " * 9, "a a a a a a a", "x \t y\n z", "", None, "é ü é ü é ü é ü", " ".join(str(i % 7 + i // 40) for i in range(300))]
+    for n in (1, 2, 3, 5, 20):
+        got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.ngram_counts(F.col("t"), n).alias("c")).collect()
+        assert {r.i: (r.c.most, r.c.distinct) for r in got} == {i: plain(t, n) for i, t in enumerate(texts)}
+
+
+def test_fewer_words_is_the_count(spark):
+    for t in (None, "", " a", "a b ", " a b c", "a b c d\n", "\t a b c d e"):
+        assert value(spark, T.fewer_words(F.col("t"), 3), t=t) is (len((t or "").split()) < 3)
