@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestep.functions import patterns as P
 from lodestep.functions import text as T
-from lodestep.functions.rand import h, u
+from lodestep.functions.rand import h, hashes, u
 
 
 def _dose(n: Column, severity: float) -> Column:
@@ -21,28 +21,27 @@ def _dose(n: Column, severity: float) -> Column:
     return F.least(n, F.greatest(F.lit(1), F.floor(n * severity).cast("int")))
 
 
-def _chosen(n: Column, k: Column, seed: int, key: Column, offset: int = 0) -> Column:
-    """k of the indexes offset .. offset + n - 1: those whose hashes are least."""
-    at = F.transform(F.sequence(F.lit(offset), F.lit(offset - 1) + n), lambda i: F.struct(h(seed, key, i).alias("h"), i.alias("i")))
-    return F.transform(F.slice(F.array_sort(at), F.lit(1), k), lambda s: s["i"])
+def _hit(hashed: Column, k: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a flag for each hash: whether it is among the k least, equal ones by their order. No index is looked up in a list of those hit."""
+    flags = lambda at: T.let(F.get(F.sort_array(at), k - 1), lambda last: fn(F.transform(at, lambda p: p <= last)))
+    return T.let(F.transform(hashed, lambda x, i: F.shiftleft(x, 31) + i), flags)
 
 
 def diffuse_mask(response: Column, key: Column, severity: float, seed: int = 1) -> Column:
     """A share of the words replaced by a mask."""
-    def masked(w: Column) -> Column:
-        """One pass: the masked indexes are sorted and looked up as a map."""
-        hit = F.map_from_entries(F.transform(_chosen(F.size(w), _dose(F.size(w), severity), seed, key), lambda i: F.struct(i, F.lit("[MASK]"))))
-        return T.let(hit, lambda m: F.array_join(F.transform(w, lambda x, i: F.coalesce(F.try_element_at(m, i), x)), " "))
+    def masked(w: Column, hashed: Column) -> Column:
+        put = lambda hit: F.array_join(F.zip_with(w, hit, lambda x, is_hit: F.when(is_hit, "[MASK]").otherwise(x)), " ")
+        return F.when(F.size(w) > 0, _hit(hashed, _dose(F.size(w), severity), put)).otherwise(response)
 
-    return T.let(T.words(response), lambda w: F.when(F.size(w) > 0, masked(w)).otherwise(response))
+    w = T.words(response)
+    return T.let(F.struct(w.alias("w"), hashes(F.size(w), seed, key).alias("hashed")), lambda a: T.let(a["w"], lambda w: masked(w, a["hashed"])))
 
 
 def step_delete(steps: Column, key: Column, severity: float, seed: int = 2) -> Column:
     """A share of the interior steps dropped; fewer than three steps stay as they are."""
     inner = F.size(steps) - 2
-    gone = _chosen(inner, _dose(inner, severity), seed, key, 1)
-    left = T.let(gone, lambda g: F.filter(steps, lambda s, i: ~F.array_contains(g, i)))
-    return F.when(F.size(steps) >= 3, left).otherwise(steps)
+    stay = lambda hit: F.filter(steps, lambda s, i: ~F.coalesce(F.get(hit, i - 1), F.lit(False)))
+    return F.when(F.size(steps) >= 3, _hit(hashes(inner, seed, key, 1), _dose(inner, severity), stay)).otherwise(steps)
 
 
 def region_excise(steps: Column, key: Column, severity: float, seed: int = 3) -> Column:
@@ -81,10 +80,11 @@ def excess_inject(steps: Column, key: Column, severity: float, seed: int = 5) ->
 
 def connective_dose(response: Column, key: Column, severity: float, seed: int = 6) -> Column:
     """Each connective removed with a chance of ``severity``, drawn by its place among the text's connectives."""
-    found, parts = F.regexp_extract_all(response, F.lit(P.CONNECTIVES), F.lit(0)), F.split(F.regexp_replace(response, P.CONNECTIVES, "\u0001"), "\u0001", -1)
-    put = lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.when(u(seed, key, i - 1) < severity, F.lit("")).otherwise(F.get(found, i - 1)), part))
+    parts = F.split(F.regexp_replace(response, P.CONNECTIVES, "\u0001"), "\u0001", -1)
+    put = lambda found, part, i: F.when(i == 0, part).otherwise(F.concat(F.when(u(seed, key, i - 1) < severity, F.lit("")).otherwise(F.get(found, i - 1)), part))
+    drawn = T.let(F.regexp_extract_all(response, F.lit(P.CONNECTIVES), F.lit(0)), lambda found: F.array_join(F.transform(parts, lambda part, i: put(found, part, i)), ""))
     # A text that holds the mark itself would be cut there, too: it keeps its connectives' count, so such texts stay as they are.
-    return F.when(F.contains(response, F.lit("\u0001")), response).otherwise(F.array_join(F.transform(parts, put), ""))
+    return F.when(F.contains(response, F.lit("\u0001")), response).otherwise(drawn)
 
 
 def _lines(steps: Column) -> Column:

@@ -98,6 +98,29 @@ def test_ngrams_count_like_plain_python_at_any_size(spark):
         assert {r.i: (r.c.most, r.c.distinct) for r in got} == {i: plain(t, n) for i, t in enumerate(texts)}
 
 
+def test_a_long_text_takes_time_in_proportion(spark):
+    """Slices of the words for each n-gram, or a lookup of each word in a list of those hit, took minutes."""
+    import time
+
+    from lodestep.operators import corrupt as X
+
+    t = " ".join(map(str, range(120_000)))
+    began = time.perf_counter()
+    assert value(spark, T.has_repeated_ngram(F.col("t")), t=t) is False
+    assert value(spark, F.size(F.split(X.diffuse_mask(F.col("t"), F.lit(1), 0.5), r"\[MASK\]")), t=t) == 60_001
+    assert time.perf_counter() - began < 40
+
+
 def test_fewer_words_is_the_count(spark):
     for t in (None, "", " a", "a b ", " a b c", "a b c d\n", "\t a b c d e"):
         assert value(spark, T.fewer_words(F.col("t"), 3), t=t) is (len((t or "").split()) < 3)
+
+
+def test_hashes_are_those_of_single_indexes(spark):
+    from lodestep.functions.rand import h, hashes
+
+    for key in ("5", "k" * 60, ""):
+        both = F.struct(hashes(F.lit(1203), 3, F.col("t"), 1).alias("a"), F.transform(F.sequence(F.lit(1), F.lit(1203)), lambda i: h(3, F.col("t"), i)).alias("b"))
+        got = value(spark, both, t=key)
+        assert got.a == got.b and len(got.a) == 1203
+    assert value(spark, hashes(F.lit(-1), 3, F.col("t")), t="5") == []
