@@ -196,9 +196,12 @@ def conclusion_corruption(response: Column, gold: Column, key: Column, seed: int
 
 def corrupt_words(x: Column, key: Column, share: float = 0.25, seed: int = 9) -> Column:
     """Each word dropped with a chance of ``share``; fewer than four words stay, and one word is always kept."""
+    least = math.ceil(share * 2**32)
+    kept = lambda w, hashed: F.filter(w, lambda s, i: F.get(hashed, i) >= least)
+    joined = lambda w, left: F.when(F.size(left) == 0, F.get(w, F.lit(0))).otherwise(F.array_join(left, " "))
+    of = lambda w, hashed: F.when(F.size(w) < 4, x).otherwise(T.let(kept(w, hashed), lambda left: joined(w, left)))
     w = T.words(x)
-    left = F.filter(w, lambda s, i: u(seed, key, i) >= share)
-    return F.when(F.size(w) < 4, x).when(F.size(left) == 0, F.get(w, F.lit(0))).otherwise(F.array_join(left, " "))
+    return T.let(F.struct(w.alias("w"), hashes(F.size(w), seed, key).alias("hashed")), lambda a: T.let(a["w"], lambda w: of(w, a["hashed"])))
 
 
 def _damage(kind: str, operation: str, steps: Column, at: Column, detail: Column) -> Column:
