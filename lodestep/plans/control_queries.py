@@ -178,6 +178,8 @@ def dose_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each graded corruption and dose: the share of documents that it changes and the mean share of characters that are left, more than one where it adds."""
     steps, text, key = F.col("steps"), F.array_join("steps", "\n"), F.col("doc_id")
     grid = [(name, d) for name in X.DOSE_OPERATORS for d in ((1.0,) if name == "connective_strip" else (0.1, 0.3, 0.5))]
-    cell = lambda name, d, out: F.struct(F.lit(name).alias("operator"), F.lit(d).alias("dose"), (out != text).cast("double").alias("changed"), F.try_divide(F.length(out), F.length(text)).alias("left"))
-    long = documents(spark, sf_dir).select(F.inline(F.array(*[cell(name, d, X.DOSE_OPERATORS[name](steps, text, key, d)) for name, d in grid])))
+    cell = lambda i, name, d, text: F.struct(F.lit(name).alias("operator"), F.lit(d).alias("dose"), (F.col(f"out{i}") != text).cast("double").alias("changed"), F.try_divide(F.length(f"out{i}"), F.length(text)).alias("left"))
+    rows = documents(spark, sf_dir).select("doc_id", "steps", text.alias("text"))
+    made = rows.select("text", *[X.DOSE_OPERATORS[name](steps, F.col("text"), key, d).alias(f"out{i}") for i, (name, d) in enumerate(grid)])  # each text once
+    long = made.select(F.inline(F.array(*[cell(i, name, d, F.col("text")) for i, (name, d) in enumerate(grid)])))
     return long.groupBy("operator", "dose").agg(F.count("*").alias("n"), F.round(F.avg("changed"), 6).alias("changed"), F.round(F.avg("left"), 6).alias("left"))
