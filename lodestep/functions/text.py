@@ -182,19 +182,17 @@ def _pieces(parts: Column) -> Column:
 
 def segment_steps(x: Column) -> Column:
     """Numbered steps, else paragraphs, else lines, else sentences: the first cut that gives two or more."""
-    t = strip(text_or_empty(x))
     mark = "\u0001"
-    numbered = _pieces(F.split(F.regexp_replace(t, f"({P.NUMBERED})", f"{mark}$1"), mark))
-    paragraphs = _pieces(F.split(t, r"\n\s*\n"))
-    lines = _pieces(F.split(t, r"\n"))
-    sentences = _pieces(F.split(t, r"(?<=[.!?])\s+(?=[A-Z\\])"))
-    return (
-        F.when(t == "", F.array().cast("array<string>"))
-        .when((F.regexp_count(t, F.lit(P.NUMBERED)) >= 2) & (F.size(numbered) >= 2), numbered)
-        .when(F.size(paragraphs) >= 2, paragraphs)
-        .when(F.size(lines) >= 2, lines)
-        .otherwise(sentences)
-    )
+    several = lambda cut: let(_pieces(cut), lambda parts: F.when(F.size(parts) >= 2, parts))
+
+    def of(t: Column) -> Column:
+        """Each cut is worked out where those before it give fewer than two."""
+        numbered = F.when(F.regexp_count(t, F.lit(P.NUMBERED)) >= 2, several(F.split(F.regexp_replace(t, f"({P.NUMBERED})", f"{mark}$1"), mark)))
+        sentences = _pieces(F.split(t, r"(?<=[.!?])\s+(?=[A-Z\\])"))
+        cuts = F.coalesce(numbered, several(F.split(t, r"\n\s*\n")), several(F.split(t, r"\n")), sentences)
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(cuts)
+
+    return let(strip(text_or_empty(x)), of)
 
 
 def step_type(step: Column, index: Column, n: Column) -> Column:

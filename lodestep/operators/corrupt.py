@@ -234,7 +234,7 @@ def _sites(steps: Column, patterns: list[str]) -> Column:
         return F.transform(steps, lambda s, i: F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), lambda m: F.struct(i.alias("i"), m.alias("m"))))
 
     each = [of(p) for p in patterns]
-    return F.array_sort(F.flatten(F.concat(*each)))
+    return F.sort_array(F.flatten(F.concat(*each)))
 
 
 def _pick(sites: Column, key: Column, seed: int) -> Column:
@@ -252,7 +252,15 @@ def _replace_in(steps: Column, i: Column, old: Column, new: Column) -> Column:
 
 def break_reference(steps: Column, key: Column, seed: int = 23) -> Column:
     """A reference to another step pointed elsewhere or taken out."""
-    return T.let(_pick(_sites(steps, P.REFERENCES), key, seed), lambda site: _broken(steps, site, key, seed))
+    return T.let(references(steps), lambda sites: _break_one(steps, key, seed, sites))
+
+
+def references(steps: Column) -> Column:
+    return _sites(steps, P.REFERENCES)
+
+
+def _break_one(steps: Column, key: Column, seed: int, sites: Column) -> Column:
+    return T.let(_pick(sites, key, seed), lambda site: _broken(steps, site, key, seed))
 
 
 def _broken(steps: Column, site: Column, key: Column, seed: int) -> Column:
@@ -267,20 +275,36 @@ def _broken(steps: Column, site: Column, key: Column, seed: int) -> Column:
 
 def remove_constraint(steps: Column, key: Column, seed: int = 26) -> Column:
     """A condition taken out of a step; not where fewer than two words would be left."""
-    return T.let(_pick(_sites(steps, P.CONSTRAINTS), key, seed), lambda site: _unconstrained(steps, site))
+    return T.let(constraints(steps), lambda sites: _remove_one(steps, key, seed, sites))
+
+
+def constraints(steps: Column) -> Column:
+    return _sites(steps, P.CONSTRAINTS)
+
+
+def _remove_one(steps: Column, key: Column, seed: int, sites: Column) -> Column:
+    return T.let(_pick(sites, key, seed), lambda site: _unconstrained(steps, site))
 
 
 def _unconstrained(steps: Column, site: Column) -> Column:
     out = F.transform(_replace_in(steps, site["i"], site["m"], F.lit("")), lambda s: F.btrim(F.regexp_replace(s, r"\s{2,}", " "), F.lit(" ,;")))
-    enough = T.n_words(F.get(out, site["i"])) >= 2
-    return F.when(site.isNotNull() & enough, _damage("constraint", "remove_condition", out, F.array(site["i"]), F.left(site["m"], F.lit(70))))
+    made = lambda o: F.when(T.n_words(F.get(o, site["i"])) >= 2, _damage("constraint", "remove_condition", o, F.array(site["i"]), F.left(site["m"], F.lit(70))))
+    return F.when(site.isNotNull(), T.let(out, made))
 
 
 def notation_drift(steps: Column, key: Column, seed: int = 27) -> Column:
     """A single-letter variable of two or more steps renamed in one of them, to an unused letter."""
+    return T.let(variables(steps), lambda found: _drift_one(steps, key, seed, found))
+
+
+def variables(steps: Column) -> Column:
+    """(v, i) of every single letter that stands alone, once for each step."""
     letter = r"(?<![A-Za-z\\])([a-zA-Z])(?![A-Za-z])"
-    found = F.flatten(F.transform(steps, lambda s, i: F.transform(F.array_distinct(F.regexp_extract_all(s, F.lit(letter), F.lit(1))), lambda v: F.struct(v.alias("v"), i.alias("i")))))
-    return T.let(found, lambda f: T.let(F.array_sort(F.array_distinct(F.transform(f, lambda x: x["v"]))), lambda names: _drifted(steps, f, names, key, seed)))
+    return F.flatten(F.transform(steps, lambda s, i: F.transform(F.array_distinct(F.regexp_extract_all(s, F.lit(letter), F.lit(1))), lambda v: F.struct(v.alias("v"), i.alias("i")))))
+
+
+def _drift_one(steps: Column, key: Column, seed: int, found: Column) -> Column:
+    return T.let(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["v"]))), lambda names: _drifted(steps, found, names, key, seed))
 
 
 def _drifted(steps: Column, found: Column, names: Column, key: Column, seed: int) -> Column:
@@ -300,8 +324,15 @@ def _drifted(steps: Column, found: Column, names: Column, key: Column, seed: int
 
 def numeric_perturb(steps: Column, key: Column, seed: int = 29) -> Column:
     """One whole number changed by one or two, up only where it is at most two."""
-    number = r"(?<![\w.])[0-9]+(?![\w.])"
-    return T.let(_pick(_sites(steps, [number]), key, seed), lambda site: _perturbed(steps, site, key, seed))
+    return T.let(numbers(steps), lambda sites: _perturb_one(steps, key, seed, sites))
+
+
+def numbers(steps: Column) -> Column:
+    return _sites(steps, [r"(?<![\w.])[0-9]+(?![\w.])"])
+
+
+def _perturb_one(steps: Column, key: Column, seed: int, sites: Column) -> Column:
+    return T.let(_pick(sites, key, seed), lambda site: _perturbed(steps, site, key, seed))
 
 
 def _perturbed(steps: Column, site: Column, key: Column, seed: int) -> Column:
@@ -325,6 +356,12 @@ DAMAGES: dict[str, list[Callable[[Column, Column], Column]]] = {
 }
 
 
+#: What a damage looks for in the steps, and the damage at one of the places found: every try of a row picks from the same places.
+SEARCHES: dict[Callable, tuple[Callable[[Column], Column], Callable[[Column, Column, int, Column], Column]]] = {
+    break_reference: (references, _break_one), remove_constraint: (constraints, _remove_one), notation_drift: (variables, _drift_one), numeric_perturb: (numbers, _perturb_one),
+}
+
+
 #: The first seed of each damage; every further try adds a thousand to it.
 SEEDS = {op: 20 + i * 3 for i, op in enumerate(op for ops in DAMAGES.values() for op in ops)}
 
@@ -338,10 +375,21 @@ def apply_damage(steps: Column, kind: str, key: Column, tries: int = 6) -> Colum
         raise NotImplementedError(f"{kind} needs a language model")
     ops = DAMAGES[kind]
 
-    def draw(t: int) -> Column:
-        turn, out = h(40 + t, key) % len(ops), F.lit(None)
-        for i, op in enumerate(ops):  # only the operation that is drawn is worked out
-            out = F.when(turn == i, op(steps, key, SEEDS[op] + 1000 * t)).otherwise(out)
-        return out
+    def draws(places: dict[Callable, Column]) -> Column:
+        def one(op: Callable, t: int) -> Column:
+            seed = SEEDS[op] + 1000 * t
+            return F.when(F.size(places[op]) > 0, SEARCHES[op][1](steps, key, seed, places[op])) if op in places else op(steps, key, seed)
+
+        def draw(t: int) -> Column:
+            turn, out = h(40 + t, key) % len(ops), F.lit(None)
+            for i, op in enumerate(ops):  # only the operation that is drawn is worked out
+                out = F.when(turn == i, one(op, t)).otherwise(out) if len(ops) > 1 else one(op, t)
+            return out
+
+        return F.coalesce(*[draw(t) for t in range(tries)])
+
+    def searched(left: list[Callable], places: dict[Callable, Column]) -> Column:
+        """The steps are searched once for each damage, not at every try."""
+        return T.let(SEARCHES[left[0]][0](steps), lambda found: searched(left[1:], places | {left[0]: found})) if left else draws(places)
 
-    return F.coalesce(*[draw(t) for t in range(tries)])
+    return searched([op for op in ops if op in SEARCHES], {})

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestep.functions import patterns as P
 from lodestep.operators import confound, corpus, corrupt, metrics, sampling
 from lodestep.operators.process import process_candidates
 from lodestep.sources import records
@@ -117,3 +118,9 @@ def test_windows_batch_and_upsert(spark):
     assert sorted(r.n for r in incremental.windowed_counts(events, "ts", "k").collect()) == [1, 2]
     log = spark.createDataFrame([("x", 1, "old"), ("x", 2, "new"), ("y", 1, "one")], "k string, v int, t string")
     assert sorted(r.t for r in corpus.latest(log, ["k"], ["v"]).collect()) == ["new", "one"]
+
+
+def test_every_try_of_a_damage_picks_from_one_search(spark):
+    """Each pattern was searched for again at each of six tries."""
+    plan = spark.range(1).select(corrupt.apply_damage(F.array(F.lit("see step 2")), "dependency", F.col("id")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == len(P.REFERENCES)
