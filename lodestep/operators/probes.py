@@ -142,11 +142,15 @@ def held_out_scores(df: DataFrame, vector: str, size: int, label: str, fold: str
 
 def held_out_metrics(scores: DataFrame, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
     """(``by``, n, accuracy, f1, auc) of held-out scores; a score above 0 is a 1."""
+    return held_out_hits(scores, by).join(M.auc(scores, "score", "pos", by), by)
+
+
+def held_out_hits(scores: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, n, accuracy, f1): what a count of the scores above 0 tells, without an order of all scores."""
     up, pos = F.col("score") > 0, F.col("pos")
     hit = lambda c: F.count_if(c).cast("double")
     f1 = M.f1(hit(pos & up), hit(~pos & up), hit(pos & ~up))
-    counts = scores.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg((pos == up).cast("double")), 6).alias("accuracy"), F.round(f1, 6).alias("f1"))
-    return counts.join(M.auc(scores, "score", "pos", by), by)
+    return scores.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg((pos == up).cast("double")), 6).alias("accuracy"), F.round(f1, 6).alias("f1"))
 
 
 def with_confounds(df: DataFrame, vector: str, numbers: list[Column], categories: list[Column], name: str = "features") -> tuple[DataFrame, int, int]:
@@ -298,7 +302,7 @@ def score_panel(steps: DataFrame, records: DataFrame, label: str, fold: str, hel
         arms += [("controlled", arm, Model(f"controlled {arm}", held, matrix=residual[:, [i]])) for i, arm in enumerate(("min", "mean"))]
         models = [m for _, _, m in arms]
         fitted = fit_logistic(rows, "_x", size + k, label, fold, models)
-        f1 = {r["model"]: r["f1"] for r in held_out_metrics(held_out_scores(rows, "_x", size + k, label, fold, models, fitted)).collect()}
+        f1 = {r["model"]: r["f1"] for r in held_out_hits(held_out_scores(rows, "_x", size + k, label, fold, models, fitted), ["model"]).collect()}
         itself = held_out_scores(rows, "_x", size + k, label, fold, models, [np.array([0.0, 1.0])] * 4)
         auc = {r["model"]: r["auc"] for r in M.auc(itself, "score", "pos", ["model"]).collect()}
         rows.unpersist()

@@ -136,8 +136,9 @@ def _scores(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """Score blobs of three scorers over orders' items, a thousand orders a blob; one scorer scored almost nothing, one gives scores that do not align."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") >= 0.08).cast("int").alias("bad"), "l_tax", "l_quantity")
     score = {"tax": 1 - F.col("l_tax") * 10, "blend": F.round(1 - F.col("l_quantity") / 100 - 0.4 * F.col("bad"), 6), "few": 1 - F.col("l_tax")}
-    long = items.select("l_orderkey", "l_linenumber", "bad", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), s.cast("double").alias("s")) for m, s in score.items()]))).where("model <> 'few' or l_orderkey <= 10")
-    steps = long.groupBy("model", "l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "s", "bad"))).alias("p"))
+    orders = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "bad", *[s.cast("double").alias(m) for m, s in score.items()]))).alias("o"))  # items move once for all scorers
+    scored = lambda m: F.struct(F.lit(m).alias("model"), F.transform("o", lambda x: F.struct(x["l_linenumber"].alias("l_linenumber"), x[m].alias("s"), x["bad"].alias("bad"))).alias("p"))
+    steps = orders.select("l_orderkey", F.inline(F.array(*map(scored, score)))).where("model <> 'few' or l_orderkey <= 10")
     row = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.transform("p", lambda x: x["s"]).alias("step_scores"), F.when(F.col("l_orderkey") % 97 == 0, F.array(F.lit(0))).otherwise(F.transform("p", lambda x: x["bad"])).alias("step_labels"))
     blobs = steps.withColumn("_blob", F.floor(F.col("l_orderkey") / 1000)).groupBy("model", "_blob").agg(F.collect_list(row).alias("rows"))  # a thousand orders at most
     blobs.withColumn("skipped", (F.col("_blob") % 2).cast("int")).drop("_blob").write.json(folder)

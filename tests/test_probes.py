@@ -185,3 +185,11 @@ def test_no_window_runs_over_all_rows(spark):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         windows = [x for x in plan.splitlines() if "Window [" in x]
         assert windows and all("_range" in x.split("]", 1)[1] for x in windows)
+
+
+def test_hits_are_the_metrics_without_an_order_of_scores(spark):
+    rows = [("a", i % 3 == 0, (i * 7 % 11 - 5) / 3) for i in range(60)]
+    scores = spark.createDataFrame(rows, "model string, pos boolean, score double")
+    whole, hits = P.held_out_metrics(scores).first(), P.held_out_hits(scores, ["model"])
+    assert hits.first().asDict() == {k: v for k, v in whole.asDict().items() if k != "auc"}
+    assert "Window" not in hits._jdf.queryExecution().analyzed().toString()
