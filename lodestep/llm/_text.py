@@ -125,3 +125,14 @@ def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         use = length > k
         out = out * _STEP + np.where(use, h[np.minimum(first + k, max(len(h) - 1, 0))] if len(h) else U(0), U(0))
     return mix(out), at
+
+
+def distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run's hashes sorted and without repeats, and the offsets of the runs."""
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    out = hashes.copy()
+    for i in range(len(offsets) - 1):
+        out[offsets[i] : offsets[i + 1]].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = (out[1:] != out[:-1]) | (rows[1:] != rows[:-1])
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestep.llm import _text
 from lodestep.llm._shared import Scratch, fresh
-from lodestep.llm.graph import Links
+from lodestep.llm.graph import SKETCH, SKETCH_SCHEMA, Links, odd_sketches
 
 U = np.uint64
 ROWS = 3
@@ -149,21 +149,37 @@ def line_texts(docs: DataFrame, at: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("items").alias("items"))
 
 
-def _sets(column: pa.Array, shingle: int, most_chars: int = 1 << 18) -> Iterator[np.ndarray]:
-    """The distinct shingles of each line, sorted."""
-    plain, at = column.to_pylist(), 0
+def _set_runs(plain: list[str], shingle: int, most_chars: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, hashes, offsets): the distinct shingles of each line, sorted, for some lines at a time."""
+    at = 0
     while at < len(plain):
         end, size = at, 0
         while end < len(plain) and (end == at or size + len(plain[end]) <= most_chars):
             size += len(plain[end])
             end += 1
-        h, offsets = _shingles(plain[at:end], shingle)
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            s = np.sort(h[a:b])
-            yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+        yield at, end, *_text.distinct(*_shingles(plain[at:end], shingle))
         at = end
 
 
+def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each line, sorted."""
+    for _, _, h, offsets in _set_runs(column.to_pylist(), shingle):
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            yield h[a:b]
+
+
+def sketched(found: DataFrame, shingle: int) -> DataFrame:
+    """(node, items, n, sketch) of (node, items): the size and the odd sketch of each line's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches, 1024):
+            for first, last, h, offsets in _set_runs(batch.column(1).to_pylist(), shingle):
+                some = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.diff(offsets), pa.int32()), *odd_sketches(h, offsets)], names=["node", "items", "n", *SKETCH])
+
+    return found.mapInArrow(run, f"node long, items string, n int, {SKETCH_SCHEMA}")
+
+
 def line_links(shingle: int, percent: int):
     """Of pairs (a, b, x, y) of lines, those whose whole shingle sets are similar enough."""
 
@@ -180,28 +196,29 @@ def line_links(shingle: int, percent: int):
 
 
 def line_items(shingle: int):
-    """Each shingle of (node, component, items), with the set's size and a name for it."""
+    """``graph.array_items`` for lines: each shingle of ``items`` that ``centre`` does not have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            sets = list(_sets(batch.column(2), shingle))
-            n = np.array([len(s) for s in sets])
-            ends = np.cumsum(n)
-            first = 0
-            while first < len(sets):
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] - n[first] + (1 << 17), "right")))
-                rows = pa.array(np.repeat(np.arange(first, last), n[first:last]))
-                node = batch.column(0).take(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        node, batch.column(1).take(rows), pa.array(np.repeat(n[first:last], n[first:last]), pa.int32()), node,
-                        pa.array(np.concatenate(sets[first:last]).view(np.int64)),
-                    ],
-                    names=["node", "component", "n", "own", "item"],
-                )
-                first = last
-
-    return lambda sets: sets.mapInArrow(run, "node long, component long, n int, own long, item long")
+            centres, of = batch.column(6).to_pylist(), {None: None}
+            texts = [x for x in dict.fromkeys(centres) if x is not None]
+            of |= dict(zip(texts, _sets(pa.array(texts, pa.string()), shingle), strict=True))
+            out, rows, size = [], [], 0
+            for i, own in enumerate(_sets(batch.column(5), shingle)):
+                if (without := of[centres[i]]) is not None:
+                    at = np.minimum(np.searchsorted(without, own), len(without) - 1)
+                    own = own[without[at] != own]
+                out.append(own), rows.append(np.full(len(own), i))
+                size += len(own)
+                if size >= 1 << 17 or i == batch.num_rows - 1:
+                    at = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.take(at) for c in batch.columns[:5]), pa.array(np.concatenate(out).view(np.int64))],
+                        names=["node", "component", "own", "n", "alone", "item"],
+                    )
+                    out, rows, size = [], [], 0
+
+    return lambda sets: sets.mapInArrow(run, "node long, component long, own long, n int, alone long, item long")
 
 
 def _distinct_lines(found: DataFrame) -> DataFrame:
@@ -225,7 +242,7 @@ def _labels(docs: DataFrame, found: DataFrame, shingle: int, percent: int, scrat
     def texts(nodes: DataFrame) -> DataFrame:
         near = scratch.write(places.join(nodes.hint("shuffle_hash"), "node", "left_semi"))
         one = near.groupBy("node").agg(F.min(F.struct("doc_id", "line", "text_hash", "first_char", "end_char")).alias("at"))
-        return line_texts(docs, one.select("node", "at.*"))
+        return sketched(line_texts(docs, one.select("node", "at.*")), shingle)
 
     search = Links(texts, percent, F.lit(True), scratch, verify=line_links(shingle, percent), items_of=line_items(shingle))
     return search.components(found.select(F.explode("keys").alias("key"), "node"))

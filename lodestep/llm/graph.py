@@ -6,8 +6,10 @@ links found, and only members whose components still differ are compared further
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,50 @@ from lodestep.llm._shared import Scratch, forget_shuffles
 
 #: A key of so many members can have all its pairs met: 496 at most.
 SMALL = 32
+#: Columns of a set's odd sketch: 512 bits, each the parity of the set's items that fall on it.
+SKETCH = [f"s{i}" for i in range(8)]
+SKETCH_SCHEMA = ", ".join(f"{s} long" for s in SKETCH)
+
+
+def odd_sketches(hashes: np.ndarray, offsets: np.ndarray, rows: int = 1024) -> list[pa.Array]:
+    """The columns of ``SKETCH`` for each run of distinct ``hashes``: two sets differ in at least as many items as their sketches in bits."""
+    bits = len(SKETCH) * 64
+    out = np.zeros((len(offsets) - 1, len(SKETCH)), np.int64)
+    for first in range(0, len(out), rows):
+        last = min(first + rows, len(out))
+        row = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
+        at = (hashes[offsets[first] : offsets[last]] & np.uint64(bits - 1)).astype(np.int64)
+        odd = np.bincount(row * bits + at, minlength=(last - first) * bits).astype(np.uint8) & 1
+        out[first:last] = np.packbits(odd.reshape(last - first, bits), axis=1).view(np.int64)
+    return [pa.array(np.ascontiguousarray(x)) for x in out.T]
+
+
+def shared_keys(bands: DataFrame) -> DataFrame:
+    """The distinct rows (key, node, size) whose key another row has too, by one shuffle: keys are sorted and rows compared with their neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_shared = np.zeros((3, 0), np.int64), False  # the row before, held back until the next one is known
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            rows = rows[:, new]
+            if not rows.shape[1]:
+                continue
+            same = rows[0, 1:] == rows[0, :-1]
+            shared = np.zeros(rows.shape[1], bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            shared[0] |= last_shared
+            last, last_shared = rows[:, -1:], bool(shared[-1])
+            out = rows[:, :-1][:, shared[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in out], names=["key", "node", "size"])
+        if last_shared:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in last], names=["key", "node", "size"])
+
+    size = F.col("size").cast("long") if "size" in bands.columns else F.lit(0).cast("long")
+    rows = bands.select("key", "node", size.alias("size")).repartition("key").sortWithinPartitions("key", "node", "size")
+    return rows.mapInArrow(run, "key long, node long, size long")
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
@@ -75,17 +121,17 @@ def array_links(percent: int) -> Callable[[DataFrame], DataFrame]:
 
 
 def array_items(sets: DataFrame) -> DataFrame:
-    """(node, component, n, own, item) of (node, component, items): the set's size, a name for it, and each item."""
-    sized = sets.select("node", "component", F.size("items").alias("n"), F.xxhash64("items").alias("own"), "items")
-    return sized.select("node", "component", "n", "own", F.explode("items").alias("item"))
+    """Each item of (node, component, own, n, alone, items, centre) that ``centre``, where there is one, does not hold, with the other columns."""
+    left = F.when(F.col("centre").isNull(), F.col("items")).otherwise(F.array_except("items", "centre"))
+    return sets.select("node", "component", "own", "n", "alone", F.explode(left).alias("item"))
 
 
 class Links:
     """Finds the components of the graph whose links are the similar pairs of nodes, from candidates that share a key.
 
     Two nodes are linked when the Jaccard similarity of their whole sets is at least ``percent`` / 100. ``sets_of``
-    takes nodes (node) and returns (node, items), one row or more each; ``verify`` keeps the linked ones of pairs (a, b, x, y) with
-    the items of both; ``items_of`` takes (node, component, items) apart as ``array_items`` does. ``fits`` is a cheap
+    takes nodes (node) and returns (node, items, n, the columns of ``SKETCH``), one row or more each; ``verify`` keeps the linked ones of
+    pairs (a, b, x, y) with the items of both; ``items_of`` takes sets apart as ``array_items`` does. ``fits`` is a cheap
     necessary condition on the columns ``size`` and ``hub_size`` of the bands.
     """
 
@@ -113,13 +159,7 @@ class Links:
         their pairs of different components met; the members of the larger ones meet by an exact prefix filter (see
         ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
-        ends = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        shared = self.scratch.write(ends.where("lo != hi").select("key"))
-        forget_shuffles(bands.sparkSession)
-        members = bands.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct()  # no sort of every key row
-        if "size" not in members.columns:
-            members = members.withColumn("size", F.lit(0))
-        members = self.scratch.write(members.select("key", "node", "size"))
+        members = self.scratch.write(shared_keys(bands))
         forget_shuffles(bands.sparkSession)
         self.sets = self.scratch.write(self.sets_of(members.select("node").distinct()))
         forget_shuffles(bands.sparkSession)
@@ -142,7 +182,7 @@ class Links:
                 pairs = _hub_pairs(live, bool(turn), self.scratch)
                 if not turn:
                     pairs = pairs.union(held.where("held = 2").select("a", "b", "size", "hub_size"))
-                pairs = pairs.where(self.fits).select("a", "b")
+                pairs = pairs.where(self.fits & (F.col("a") != F.col("b"))).select("a", "b")
             else:
                 pairs = self._small_keys(live).union(self._rest(live))
             found = self.scratch.write(self._verified(pairs))
@@ -159,19 +199,32 @@ class Links:
         weight = F.expr("65536 * all_held + pmod(xxhash64(node), 65536)").alias("weight")
         return some.join(weights, "node").select("key", "node", "size", F.col("node").alias("component"), weight)
 
+    def _sketches(self, name: str) -> DataFrame:
+        """``name`` for the node, with the size and the sketch of its sets under names that begin with it."""
+        return self.sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *SKETCH)])
+
+    def _possible(self, x: str, y: str) -> Column:
+        """Whether sizes and sketches leave it open that two sets are similar: they differ in as many items as their sketches in bits, or more."""
+        n, m = F.col(f"{x}_n").cast("long"), F.col(f"{y}_n").cast("long")
+        apart = sum((F.bit_count(F.col(f"{x}_{s}").bitwiseXOR(F.col(f"{y}_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{x}_{SKETCH[0]}").bitwiseXOR(F.col(f"{y}_{SKETCH[0]}"))))
+        fits = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+        return fits & ((100 + self.percent) * apart.cast("long") <= (100 - self.percent) * (n + m))
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        pairs = self.scratch.write(pairs.distinct())
+        near = pairs.distinct().join(self._sketches("a"), "a").join(self._sketches("b"), "b").where(self._possible("a", "b"))
+        pairs = self.scratch.write(near.select("a", "b").distinct())
         left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         return self.verify(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"))
 
     def _small_keys(self, live: DataFrame) -> DataFrame:
-        """Pairs of different components within keys of at most ``SMALL`` members."""
+        """Pairs of different components within keys of at most ``SMALL`` members, as far as sketches leave them open."""
         few = self.scratch.write(live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).select("key"))
-        left = self.scratch.write(live.join(few, "key", "left_semi").select("key", "node", "component"))
-        right = left.select("key", F.col("node").alias("other"), F.col("component").alias("other_component"))
-        meet = left.join(right, "key").where("component != other_component and node < other")
-        return meet.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+        some = live.join(few, "key", "left_semi").select("key", F.col("node").alias("a"), "component")
+        left = self.scratch.write(some.join(self._sketches("a"), "a"))
+        right = left.select("key", F.col("component").alias("other_component"), *[F.col(f"a{c}").alias(f"b{c}") for c in ("", "_n", *(f"_{s}" for s in SKETCH))])
+        meet = left.join(right, "key").where((F.col("component") != F.col("other_component")) & (F.col("a") < F.col("b")) & self._possible("a", "b"))
+        return meet.select("a", "b").distinct()
 
     def _rest(self, live: DataFrame) -> DataFrame:
         """Of the members of keys of more than ``SMALL``: pairs of different components that may be similar, none left out, by the prefix filter.
@@ -179,36 +232,54 @@ class Links:
         Items are ordered from the rarest. Two sets that are similar enough share an item among the first
         n - ceil(n * percent / 100) + 1 of each, and at their first shared item enough items follow in both to reach the
         overlap they need. Copies that were edited more than the threshold allows begin with too many items of
-        their own for that, so they are left out before the join that orders items. Members of the largest component meet only the others.
+        their own for that. To find these, sets are held as what they have beyond the heaviest hub of their keys, and the hubs whole,
+        each hub's items counted for all the sets held against it: an item that counts once is one set's alone. Only
+        the sets that are left are taken apart and ordered. Members of the largest component meet only the others.
         """
-        many = self.scratch.write(live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key"))
-        nodes = self.scratch.write(live.join(many, "key", "left_semi").select("node", "component").distinct())
+        many = live.groupBy("key").agg(F.count("*").alias("n"), F.max_by("node", "weight").alias("hub"), F.max("weight").alias("hub_weight"))
+        many = self.scratch.write(many.where(F.col("n") > SMALL).drop("n"))
+        nodes = live.join(many, "key").groupBy("node").agg(F.min("component").alias("component"), F.max_by("hub", "hub_weight").alias("hub"))
+        nodes = self.scratch.write(nodes)
         if nodes.isEmpty():
             return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        items = self.scratch.write(self.items_of(nodes.join(self.sets, "node").select("node", "component", "items")))
-        counts = self.scratch.write(items.groupBy("item").agg(
-            F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("mixed"),
-            F.min("node").alias("node"), F.min("own").alias("own"), F.min("n").alias("n"),
-        ))
+        held = nodes.groupBy("hub").agg(F.greatest(F.count("*"), F.lit(2)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        sets = self.sets.select("node", "items", "n", F.xxhash64("items").alias("own"), F.lit(0).cast("long").alias("alone"))
+        hubs = sets.join(held.withColumnRenamed("hub", "node"), "node").groupBy("node", "df", "lo", "hi").agg(F.min("items").alias("items"))
+        hubs = self.scratch.write(hubs)
+        units = nodes.join(sets, "node")
+        beyond = units.join(hubs.select(F.col("node").alias("hub"), F.col("items").alias("centre")), "hub")
+        columns = ["node", "component", "own", "n", "alone", "items", "centre"]
+        beyond = self.items_of(beyond.select(*columns)).select("item", F.lit(1).cast("long").alias("df"), F.col("component").alias("lo"), F.col("component").alias("hi"), "node", "own", "n")
+        whole = self.items_of(hubs.select(
+            "node", F.col("lo").alias("component"), F.lit(0).cast("long").alias("own"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("alone"), "items",
+            F.lit(None).cast(hubs.schema["items"].dataType).alias("centre"),
+        ))
+        whole = whole.select("item", "node", "own", "n").join(hubs.drop("items"), "node").select(*beyond.columns)
+        counts = self.scratch.write(beyond.union(whole).groupBy("item").agg(
+            F.sum("df").alias("df"), (F.min("lo") != F.max("hi")).alias("mixed"), F.min("node").alias("node"), F.min("own").alias("own"), F.min("n").alias("n"),
+        ))
         prefix = F.expr(f"n - cast(ceil(n * {self.percent} / 100) as int) + 1")
         # Items of one set alone come first in the order and meet nobody: they only count, and may fill the prefix.
         alone = self.scratch.write(counts.where("df = 1").groupBy("node", "own", "n").agg(F.count("*").alias("alone")))
-        full = alone.where(F.col("alone") >= prefix).select("node", "own")
-        open_sets = items.join(full, ["node", "own"], "left_anti").join(alone.drop("n"), ["node", "own"], "left")
+        left = units.drop("alone").join(alone.drop("n"), ["node", "own"], "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
+        left = self.scratch.write(left.where(F.col("alone") < prefix).withColumn("centre", F.lit(None).cast(hubs.schema["items"].dataType)).select(*columns))
         order = Window.partitionBy("node", "own").orderBy("df", "item")
-        heads = open_sets.join(counts.where("df > 1").select("item", "df", "mixed"), "item").withColumn(
-            "place", F.coalesce("alone", F.lit(0)) + F.row_number().over(order)
-        ).where(F.col("place") <= prefix)
-        heads = self.scratch.write(heads.where("mixed").select("item", "node", "component", "n", "place"))
+        heads = self.items_of(left).join(counts.where("df > 1").select("item", "df", "mixed"), "item").withColumn(
+            "place", F.col("alone") + F.row_number().over(order)
+        ).where((F.col("place") <= prefix) & F.col("mixed"))
+        sketches = self.sets.select("node", F.xxhash64("items").alias("own"), *SKETCH)
+        heads = heads.select("item", "node", "own", "component", "n", "place").join(sketches, ["node", "own"])
+        heads = self.scratch.write(heads.select("item", "component", "place", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", *SKETCH)]))
         main = nodes.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", "component")).alias("main"))
         main = main.first().main
         others = heads.where(F.col("component") != main).select(
-            "item", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("m"), F.col("place").alias("other_place")
+            "item", F.col("component").alias("other_component"), F.col("place").alias("other_place"), *[F.col(f"a{c}").alias(f"b{c}") for c in ("", "_n", *(f"_{s}" for s in SKETCH))]
         )
-        needed = F.expr(f"({self.percent} * (n + m) + {99 + self.percent}) div {100 + self.percent}")
+        needed = F.expr(f"({self.percent} * (a_n + b_n) + {99 + self.percent}) div {100 + self.percent}")
         meet = heads.join(others, "item").where(
             F.expr("component != other_component")
-            & ((F.col("component") == main) | (F.col("node") < F.col("other")))
-            & (F.least(F.expr("n - place"), F.expr("m - other_place")) + 1 >= needed)
+            & ((F.col("component") == main) | (F.col("a") < F.col("b")))
+            & (F.least(F.expr("a_n - place"), F.expr("b_n - other_place")) + 1 >= needed)
+            & self._possible("a", "b")
         )
-        return meet.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

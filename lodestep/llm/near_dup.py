@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestep.llm import _text
 from lodestep.llm._shared import Scratch
-from lodestep.llm.graph import Links
+from lodestep.llm.graph import SKETCH, SKETCH_SCHEMA, Links, odd_sketches
 
 U = np.uint64
 CHUNK = 4
@@ -51,20 +51,9 @@ def _sub_keys(symbols: np.ndarray, chunks: int) -> np.ndarray:
     return keys.reshape(len(symbols), chunks * CHUNK).astype(np.int64)
 
 
-def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each run's hashes sorted and without repeats, and the offsets of the runs."""
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    out = hashes.copy()
-    for i in range(len(offsets) - 1):
-        out[offsets[i] : offsets[i + 1]].sort()
-    keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != out[:-1]) | (rows[1:] != rows[:-1])
-    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
-
-
 def _shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for part in _text.slices(column):
-        yield _distinct(*_text.shingles(_text.words(part, _text.NON_SPACE), size))
+        yield _text.distinct(*_text.shingles(_text.words(part, _text.NON_SPACE), size))
 
 
 def signatures(docs: DataFrame, size: int, chunks: int) -> DataFrame:
@@ -104,7 +93,7 @@ def signatures(docs: DataFrame, size: int, chunks: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, items): the full set of each document that has words."""
+    """(node, items, n, sketch): the full set of each document that has words, its size and odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,12 +104,13 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                     [
                         batch.column(0).cast(pa.int64()).slice(first, rows),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sets.view(np.int64))),
+                        pa.array(np.diff(offsets), pa.int32()), *odd_sketches(sets, offsets),
                     ],
-                    names=["node", "items"],
+                    names=["node", "items", "n", *SKETCH],
                 )
                 first += rows
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, items array<long>").where("size(items) > 0")
+    return docs.select("doc_id", "text").mapInArrow(run, f"node long, items array<long>, n int, {SKETCH_SCHEMA}").where("n > 0")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, chunks: int = 10) -> DataFrame:
