@@ -196,18 +196,17 @@ def line_links(shingle: int, percent: int):
 
 
 def line_items(shingle: int):
-    """``graph.array_items`` for lines: each shingle of ``items`` that ``centre`` does not have."""
+    """``graph.array_items`` for lines: each shingle of ``items`` outside ``centre``, and the first ``take`` of ``centre`` that are shingles of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            centres, of = batch.column(6).to_pylist(), {None: None}
-            texts = [x for x in dict.fromkeys(centres) if x is not None]
-            of |= dict(zip(texts, _sets(pa.array(texts, pa.string()), shingle), strict=True))
+            centres, ends = batch.column(6).flatten().to_numpy().view(U), np.cumsum([0, *batch.column(6).value_lengths().to_pylist()])
             out, rows, size = [], [], 0
-            for i, own in enumerate(_sets(batch.column(5), shingle)):
-                if (without := of[centres[i]]) is not None:
-                    at = np.minimum(np.searchsorted(without, own), len(without) - 1)
-                    own = own[without[at] != own]
+            for i, (own, take) in enumerate(zip(_sets(batch.column(5), shingle), batch.column(7).to_pylist(), strict=True)):
+                centre = centres[ends[i] : ends[i + 1]]
+                if len(centre):
+                    core = centre[own[np.minimum(np.searchsorted(own, centre), len(own) - 1)] == centre]
+                    own = np.concatenate([np.setdiff1d(own, core, assume_unique=True), core[:take]])
                 out.append(own), rows.append(np.full(len(own), i))
                 size += len(own)
                 if size >= 1 << 17 or i == batch.num_rows - 1:

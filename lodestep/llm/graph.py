@@ -121,9 +121,9 @@ def array_links(percent: int) -> Callable[[DataFrame], DataFrame]:
 
 
 def array_items(sets: DataFrame) -> DataFrame:
-    """Each item of (node, component, own, n, alone, items, centre) that ``centre``, where there is one, does not hold, with the other columns."""
-    left = F.when(F.col("centre").isNull(), F.col("items")).otherwise(F.array_except("items", "centre"))
-    return sets.select("node", "component", "own", "n", "alone", F.explode(left).alias("item"))
+    """Of (node, component, own, n, alone, items, centre, take): each item outside ``centre``, and the first ``take`` of ``centre`` that are items, with the other columns."""
+    found = F.concat(F.array_except("items", "centre"), F.slice(F.array_intersect("centre", "items"), F.lit(1), F.col("take")))
+    return sets.select("node", "component", "own", "n", "alone", F.explode(found).alias("item"))
 
 
 class Links:
@@ -229,12 +229,12 @@ class Links:
     def _rest(self, live: DataFrame) -> DataFrame:
         """Of the members of keys of more than ``SMALL``: pairs of different components that may be similar, none left out, by the prefix filter.
 
-        Items are ordered from the rarest. Two sets that are similar enough share an item among the first
-        n - ceil(n * percent / 100) + 1 of each, and at their first shared item enough items follow in both to reach the
-        overlap they need. Copies that were edited more than the threshold allows begin with too many items of
-        their own for that. To find these, sets are held as what they have beyond the heaviest hub of their keys, and the hubs whole,
-        each hub's items counted for all the sets held against it: an item that counts once is one set's alone. Only
-        the sets that are left are taken apart and ordered. Members of the largest component meet only the others.
+        Items are ordered: first those that no hub holds, then those of hubs, each from the rarest. Two sets that are similar enough share
+        an item among the first n - ceil(n * percent / 100) + 1 of each, and at their first shared item enough items follow in both to
+        reach the overlap they need. Sets are held as what they have beyond the heaviest hub of their keys, and the hubs whole, each hub's
+        items counted for all the sets held against it: an item that counts once is one set's alone. A set with too many of those is out;
+        of the others only what lies beyond the hub is taken apart, and as much of the hub as the first items can hold.
+        Members of the largest component meet only the others.
         """
         many = live.groupBy("key").agg(F.count("*").alias("n"), F.max_by("node", "weight").alias("hub"), F.max("weight").alias("hub_weight"))
         many = self.scratch.write(many.where(F.col("n") > SMALL).drop("n"))
@@ -246,25 +246,27 @@ class Links:
         sets = self.sets.select("node", "items", "n", F.xxhash64("items").alias("own"), F.lit(0).cast("long").alias("alone"))
         hubs = sets.join(held.withColumnRenamed("hub", "node"), "node").groupBy("node", "df", "lo", "hi").agg(F.min("items").alias("items"))
         hubs = self.scratch.write(hubs)
+        columns = ["node", "component", "own", "n", "alone", "items", "centre", "take"]
+        no, none = F.lit(0).cast("long"), F.array().cast("array<long>").alias("centre")
+        whole = self.items_of(hubs.select("node", F.col("lo").alias("component"), no.alias("own"), F.lit(0).alias("n"), no.alias("alone"), "items", none, F.lit(0).alias("take")))
+        whole = self.scratch.write(whole.select("item", "node", "own", "n").join(hubs.drop("items"), "node"))
+        centres = whole.groupBy(F.col("node").alias("hub")).agg(F.collect_list("item").alias("centre"))  # of one set
         units = nodes.join(sets, "node")
-        beyond = units.join(hubs.select(F.col("node").alias("hub"), F.col("items").alias("centre")), "hub")
-        columns = ["node", "component", "own", "n", "alone", "items", "centre"]
-        beyond = self.items_of(beyond.select(*columns)).select("item", F.lit(1).cast("long").alias("df"), F.col("component").alias("lo"), F.col("component").alias("hi"), "node", "own", "n")
-        whole = self.items_of(hubs.select(
-            "node", F.col("lo").alias("component"), F.lit(0).cast("long").alias("own"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("alone"), "items",
-            F.lit(None).cast(hubs.schema["items"].dataType).alias("centre"),
-        ))
-        whole = whole.select("item", "node", "own", "n").join(hubs.drop("items"), "node").select(*beyond.columns)
-        counts = self.scratch.write(beyond.union(whole).groupBy("item").agg(
-            F.sum("df").alias("df"), (F.min("lo") != F.max("hi")).alias("mixed"), F.min("node").alias("node"), F.min("own").alias("own"), F.min("n").alias("n"),
+        beyond = self.items_of(units.join(self.scratch.write(centres), "hub").withColumn("take", F.lit(0)).select(*columns))
+        beyond = beyond.select("item", "node", "own", "n", F.lit(1).cast("long").alias("df"), F.col("component").alias("lo"), F.col("component").alias("hi"), F.lit(0).alias("central"))
+        counts = self.scratch.write(beyond.union(whole.withColumn("central", F.lit(1)).select(*beyond.columns)).groupBy("item").agg(
+            F.sum("df").alias("df"), (F.min("lo") != F.max("hi")).alias("mixed"), F.max("central").alias("central"),
+            F.min("node").alias("node"), F.min("own").alias("own"), F.min("n").alias("n"),
         ))
         prefix = F.expr(f"n - cast(ceil(n * {self.percent} / 100) as int) + 1")
         # Items of one set alone come first in the order and meet nobody: they only count, and may fill the prefix.
         alone = self.scratch.write(counts.where("df = 1").groupBy("node", "own", "n").agg(F.count("*").alias("alone")))
-        left = units.drop("alone").join(alone.drop("n"), ["node", "own"], "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
-        left = self.scratch.write(left.where(F.col("alone") < prefix).withColumn("centre", F.lit(None).cast(hubs.schema["items"].dataType)).select(*columns))
-        order = Window.partitionBy("node", "own").orderBy("df", "item")
-        heads = self.items_of(left).join(counts.where("df > 1").select("item", "df", "mixed"), "item").withColumn(
+        ranked = whole.select("item", F.col("node").alias("hub")).join(counts.select("item", "df"), "item").groupBy("hub")
+        ranked = self.scratch.write(ranked.agg(F.sort_array(F.collect_list(F.struct("df", "item")))["item"].alias("centre")))
+        left = units.drop("alone").join(alone.drop("n"), ["node", "own"], "left").withColumn("alone", F.coalesce("alone", no)).where(F.col("alone") < prefix)
+        left = left.join(ranked, "hub").withColumn("take", (prefix - F.col("alone")).cast("int")).select(*columns)
+        order = Window.partitionBy("node", "own").orderBy("central", "df", "item")
+        heads = self.items_of(left).join(counts.where("df > 1").select("item", "df", "mixed", "central"), "item").withColumn(
             "place", F.col("alone") + F.row_number().over(order)
         ).where((F.col("place") <= prefix) & F.col("mixed"))
         sketches = self.sets.select("node", F.xxhash64("items").alias("own"), *SKETCH)
