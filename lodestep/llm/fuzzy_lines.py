@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestep.llm import _text
 from lodestep.llm._shared import Scratch, fresh
-from lodestep.llm.graph import SKETCH, SKETCH_SCHEMA, Links, odd_sketches
+from lodestep.llm.graph import SKETCH, SKETCH_SCHEMA, Links, differences, odd_sketches
 
 U = np.uint64
 ROWS = 3
@@ -195,31 +195,6 @@ def line_links(shingle: int, percent: int):
     return lambda pairs: pairs.mapInArrow(run, "a long, b long")
 
 
-def line_items(shingle: int):
-    """``graph.array_items`` for lines: each shingle of ``items`` outside ``centre``, and the first ``take`` of ``centre`` that are shingles of it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            centres, ends = batch.column(6).flatten().to_numpy().view(U), np.cumsum([0, *batch.column(6).value_lengths().to_pylist()])
-            out, rows, size = [], [], 0
-            for i, (own, take) in enumerate(zip(_sets(batch.column(5), shingle), batch.column(7).to_pylist(), strict=True)):
-                centre = centres[ends[i] : ends[i + 1]]
-                if len(centre):
-                    core = centre[own[np.minimum(np.searchsorted(own, centre), len(own) - 1)] == centre]
-                    own = np.concatenate([np.setdiff1d(own, core, assume_unique=True), core[:take]])
-                out.append(own), rows.append(np.full(len(own), i))
-                size += len(own)
-                if size >= 1 << 17 or i == batch.num_rows - 1:
-                    at = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(c.take(at) for c in batch.columns[:5]), pa.array(np.concatenate(out).view(np.int64))],
-                        names=["node", "component", "own", "n", "alone", "item"],
-                    )
-                    out, rows, size = [], [], 0
-
-    return lambda sets: sets.mapInArrow(run, "node long, component long, own long, n int, alone long, item long")
-
-
 def _distinct_lines(found: DataFrame) -> DataFrame:
     """(node, clash, several, first_doc): whether unlike digests share the node, whether it occurs more than once, and its least doc_id."""
     return found.withColumn("place", F.xxhash64("doc_id", "text_hash", "line")).groupBy("node").agg(
@@ -239,11 +214,11 @@ def _labels(docs: DataFrame, found: DataFrame, shingle: int, percent: int, scrat
     places = found.drop("keys", "d2")
 
     def texts(nodes: DataFrame) -> DataFrame:
-        near = scratch.write(places.join(nodes.hint("shuffle_hash"), "node", "left_semi"))
+        near = places.join(nodes.hint("shuffle_hash"), "node", "left_semi")
         one = near.groupBy("node").agg(F.min(F.struct("doc_id", "line", "text_hash", "first_char", "end_char")).alias("at"))
         return sketched(line_texts(docs, one.select("node", "at.*")), shingle)
 
-    search = Links(texts, percent, F.lit(True), scratch, verify=line_links(shingle, percent), items_of=line_items(shingle))
+    search = Links(texts, percent, F.lit(True), scratch, verify=line_links(shingle, percent), items_of=differences(lambda column: _sets(column, shingle)))
     return search.components(found.select(F.explode("keys").alias("key"), "node"))
 
 
@@ -273,7 +248,7 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
         marked = scratch.write(marked.select("node", "component", "first_doc"))
         groups = marked.groupBy("component").agg(F.min("first_doc").alias("first_doc"))
         owners = scratch.write(marked.select("node", "component").join(groups, "component"))
-        grouped = scratch.write(found.drop("keys", "d2").join(owners, "node").drop("node").distinct())
+        grouped = scratch.write(found.drop("keys", "d2").join(owners, "node").distinct().drop("node"))  # rows that repeat have one node
         first = grouped.where("doc_id = first_doc").groupBy("component").agg(F.min(F.struct("line", "text_hash")).alias("first"))
         result = grouped.join(first, "component").withColumn(
             "kept", F.expr("doc_id = first_doc and line = first.line and text_hash = first.text_hash")

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from lodestep.llm._shared import Scratch, forget_shuffles
 
 
-#: A key of so many members can have all its pairs met: 496 at most.
-SMALL = 32
+#: The sketches of a key of so many members can all be compared: 256 for each member at most. What is larger is met by an exact prefix filter.
+SMALL = 512
+#: So many sets at most, about, are compared with their hub by one copy of the hub's set.
+BESIDE_HUB = 256
 #: Columns of a set's odd sketch: 512 bits, each the parity of the set's items that fall on it.
 SKETCH = [f"s{i}" for i in range(8)]
 SKETCH_SCHEMA = ", ".join(f"{s} long" for s in SKETCH)
@@ -37,10 +39,11 @@ def odd_sketches(hashes: np.ndarray, offsets: np.ndarray, rows: int = 1024) -> l
 
 
 def shared_keys(bands: DataFrame) -> DataFrame:
-    """The distinct rows (key, node, size) whose key another row has too, by one shuffle: keys are sorted and rows compared with their neighbours."""
+    """The distinct rows (key, node, size) whose key another row has too, by one shuffle: keys are sorted and rows compared with their neighbours. Without a size it is 0."""
+    names = ["key", "node", "size"] if "size" in bands.columns else ["key", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_shared = np.zeros((3, 0), np.int64), False  # the row before, held back until the next one is known
+        last, last_shared = np.zeros((len(names), 0), np.int64), False  # the row before, held back until the next one is known
         for batch in batches:
             rows = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
             new = np.ones(rows.shape[1], bool)
@@ -55,13 +58,13 @@ def shared_keys(bands: DataFrame) -> DataFrame:
             shared[0] |= last_shared
             last, last_shared = rows[:, -1:], bool(shared[-1])
             out = rows[:, :-1][:, shared[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in out], names=["key", "node", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in out], names=names)
         if last_shared:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in last], names=["key", "node", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in last], names=names)
 
-    size = F.col("size").cast("long") if "size" in bands.columns else F.lit(0).cast("long")
-    rows = bands.select("key", "node", size.alias("size")).repartition("key").sortWithinPartitions("key", "node", "size")
-    return rows.mapInArrow(run, "key long, node long, size long")
+    rows = bands.select(*[F.col(c).cast("long").alias(c) for c in names]).repartition("key").sortWithinPartitions(*names)
+    found = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return found if "size" in names else found.withColumn("size", F.lit(0).cast("long"))
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
@@ -94,6 +97,18 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     )
 
 
+def grown(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (node, component), as ``components`` gives them, after the links ``edges`` (a, b) as well: only components that these touch are worked on."""
+    named = edges
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+        named = named.join(own, end, "left").withColumn(f"{end}_component", F.coalesce(f"{end}_component", end))
+    moved = scratch.write(components(named.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")), scratch))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    old = labels.join(to, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return scratch.write(old.union(moved.join(labels, "node", "left_anti")))
+
+
 def _hub_pairs(members: DataFrame, away: bool, scratch: Scratch) -> DataFrame:
     """Each member of a key with the key's hub; pairs known to share a component are left out.
 
@@ -120,10 +135,49 @@ def array_links(percent: int) -> Callable[[DataFrame], DataFrame]:
     return verify
 
 
-def array_items(sets: DataFrame) -> DataFrame:
-    """Of (node, component, own, n, alone, items, centre, take): each item outside ``centre``, and the first ``take`` of ``centre`` that are items, with the other columns."""
-    found = F.concat(F.array_except("items", "centre"), F.slice(F.array_intersect("centre", "items"), F.lit(1), F.col("take")))
-    return sets.select("node", "component", "own", "n", "alone", F.explode(found).alias("item"))
+def differences(sets: Callable[[pa.Array], Iterator[np.ndarray]]) -> Callable[[DataFrame], DataFrame]:
+    """Of rows of sets beside their hub's, the items in which each differs from the hub's set, with the number of these (``apart``) and the size of that set (``hub_n``).
+
+    Rows are (hub, part, place, node, own, component, hub_component, n, items). In each (hub, part) the row of ``place`` 0 holds the
+    hub's set, the others the sets to compare with it. ``sets`` makes sets of hashes without repeats of a column of ``items``. A set that equals the hub's gives no row.
+    """
+    kept = ["hub", "node", "own", "component", "hub_component", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 128):
+                some = batch.slice(first, 128)
+                out, beside, size = [], [], 0
+                for i, (own, place) in enumerate(zip(sets(some.column("items")), some.column("place").to_pylist(), strict=True)):
+                    if place:
+                        out.append(np.setxor1d(own.view(np.int64), centre, assume_unique=True))
+                        beside.append((i, len(centre)))
+                        size += len(out[-1])
+                    else:
+                        centre = own.view(np.int64)
+                    if out and (size >= 1 << 17 or i == some.num_rows - 1):
+                        row, hub_n = np.array(beside).T
+                        apart = np.array([len(x) for x in out])
+                        at = pa.array(np.repeat(row, apart))
+                        yield pa.RecordBatch.from_arrays(
+                            [*(some.column(c).take(at) for c in kept), *(pa.array(np.repeat(x, apart), pa.int64()) for x in (apart, hub_n)), pa.array(np.concatenate(out))],
+                            names=[*kept, "apart", "hub_n", "item"],
+                        )
+                        out, beside, size = [], [], 0
+
+    schema = ", ".join(f"{c} long" for c in [*kept, "apart", "hub_n", "item"])
+    return lambda rows: rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "place").mapInArrow(run, schema)
+
+
+def _array_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    values, ends = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield values[a:b]
+
+
+#: ``differences`` of sets that are arrays of long.
+array_items = differences(_array_sets)
 
 
 class Links:
@@ -131,7 +185,7 @@ class Links:
 
     Two nodes are linked when the Jaccard similarity of their whole sets is at least ``percent`` / 100. ``sets_of``
     takes nodes (node) and returns (node, items, n, the columns of ``SKETCH``), one row or more each; ``verify`` keeps the linked ones of
-    pairs (a, b, x, y) with the items of both; ``items_of`` takes sets apart as ``array_items`` does. ``fits`` is a cheap
+    pairs (a, b, x, y) with the items of both; ``items_of`` takes sets apart as ``differences`` says. ``fits`` is a cheap
     necessary condition on the columns ``size`` and ``hub_size`` of the bands.
     """
 
@@ -168,7 +222,7 @@ class Links:
             F.min_by("size", "node").alias("size"), F.max_by("size", "node").alias("hub_size"),
         ))
         live = self.scratch.write(self._weighed(members, held.where("held > 2").select("key", "held")))
-        links, labels = None, None
+        labels = None
         for turn in range(3):
             if labels is not None:
                 live = live.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -185,11 +239,10 @@ class Links:
                 pairs = pairs.where(self.fits & (F.col("a") != F.col("b"))).select("a", "b")
             else:
                 pairs = self._small_keys(live).union(self._rest(live))
-            found = self.scratch.write(self._verified(pairs))
-            if found.isEmpty():
-                continue
-            links = found if links is None else links.union(found)
-            labels = components(links, self.scratch)
+            found = self.scratch.write(self._verified(pairs, sketched=turn == 2))
+            if not found.isEmpty():
+                labels = components(found, self.scratch) if labels is None else grown(labels, found, self.scratch)
+            forget_shuffles(bands.sparkSession)
         return labels
 
     def _weighed(self, members: DataFrame, held: DataFrame) -> DataFrame:
@@ -210,9 +263,13 @@ class Links:
         fits = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
         return fits & ((100 + self.percent) * apart.cast("long") <= (100 - self.percent) * (n + m))
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        near = pairs.distinct().join(self._sketches("a"), "a").join(self._sketches("b"), "b").where(self._possible("a", "b"))
-        pairs = self.scratch.write(near.select("a", "b").distinct())
+    def _verified(self, pairs: DataFrame, sketched: bool) -> DataFrame:
+        """The linked ones of ``pairs`` (a, b); ``sketched``: their sketches have been compared."""
+        pairs = pairs.distinct()
+        if not sketched:
+            near = pairs.join(self._sketches("a"), "a").join(self._sketches("b"), "b").where(self._possible("a", "b"))
+            pairs = near.select("a", "b").distinct()
+        pairs = self.scratch.write(pairs)
         left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         return self.verify(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"))
@@ -227,61 +284,53 @@ class Links:
         return meet.select("a", "b").distinct()
 
     def _rest(self, live: DataFrame) -> DataFrame:
-        """Of the members of keys of more than ``SMALL``: pairs of different components that may be similar, none left out, by the prefix filter.
-
-        Items are ordered: first those that no hub holds, then those of hubs, each from the rarest. Two sets that are similar enough share
-        an item among the first n - ceil(n * percent / 100) + 1 of each, and at their first shared item enough items follow in both to
-        reach the overlap they need. Sets are held as what they have beyond the heaviest hub of their keys, and the hubs whole, each hub's
-        items counted for all the sets held against it: an item that counts once is one set's alone. A set with too many of those is out;
-        of the others only what lies beyond the hub is taken apart, and as much of the hub as the first items can hold.
-        Members of the largest component meet only the others.
+        """Of the members of keys of more than ``SMALL``: pairs of different components that may be similar, none left out, by a prefix filter on differences.
+
+        All members of a key are held against its hub h as d = set xor h's set, which is short for edited copies however long they are. Two
+        sets x and y have |x xor y| = |dx| + |dy| - 2 |dx and dy|, and are similar when that is at most q (|x| + |y|), q = (100 - percent) / (100 + percent).
+        A set is near when it is similar to h's, else far. Two near ones are linked through h. If x is far, |dx| > q (|x| + |h|), and as |y| <= |h| + |dy|,
+        similar y must share a difference with it: 2 |dx and dy| > |dy| + q (|h| - |y|). So, in any order of differences that holds for all of a hub's sets, a similar pair meets in
+        the first |dy| - floor((|dy| + q (|h| - |y|)) / 2) of y (``short``), about half of it. For a far x with a near y, |dx and dy| <= |dy| gives
+        |dx and dy| >= |dx| - |x| (100 - percent) / percent, and the prefix of x that follows (``long``), which also holds for any other pair. Differences
+        that could meet nobody come first in the order, then those with the fewest pairs to weigh; at the first one that a pair shares enough must follow in both.
         """
-        many = live.groupBy("key").agg(F.count("*").alias("n"), F.max_by("node", "weight").alias("hub"), F.max("weight").alias("hub_weight"))
+        p, no = self.percent, F.lit(0).cast("long")
+        many = live.groupBy("key").agg(F.count("*").alias("n"), F.max_by("node", "weight").alias("hub"), F.max_by("component", "weight").alias("hub_component"))
         many = self.scratch.write(many.where(F.col("n") > SMALL).drop("n"))
-        nodes = live.join(many, "key").groupBy("node").agg(F.min("component").alias("component"), F.max_by("hub", "hub_weight").alias("hub"))
-        nodes = self.scratch.write(nodes)
-        if nodes.isEmpty():
-            return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        held = nodes.groupBy("hub").agg(F.greatest(F.count("*"), F.lit(2)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        sets = self.sets.select("node", "items", "n", F.xxhash64("items").alias("own"), F.lit(0).cast("long").alias("alone"))
-        hubs = sets.join(held.withColumnRenamed("hub", "node"), "node").groupBy("node", "df", "lo", "hi").agg(F.min("items").alias("items"))
-        hubs = self.scratch.write(hubs)
-        columns = ["node", "component", "own", "n", "alone", "items", "centre", "take"]
-        no, none = F.lit(0).cast("long"), F.array().cast("array<long>").alias("centre")
-        whole = self.items_of(hubs.select("node", F.col("lo").alias("component"), no.alias("own"), F.lit(0).alias("n"), no.alias("alone"), "items", none, F.lit(0).alias("take")))
-        whole = self.scratch.write(whole.select("item", "node", "own", "n").join(hubs.drop("items"), "node"))
-        centres = whole.groupBy(F.col("node").alias("hub")).agg(F.collect_list("item").alias("centre"))  # of one set
-        units = nodes.join(sets, "node")
-        beyond = self.items_of(units.join(self.scratch.write(centres), "hub").withColumn("take", F.lit(0)).select(*columns))
-        beyond = beyond.select("item", "node", "own", "n", F.lit(1).cast("long").alias("df"), F.col("component").alias("lo"), F.col("component").alias("hi"), F.lit(0).alias("central"))
-        counts = self.scratch.write(beyond.union(whole.withColumn("central", F.lit(1)).select(*beyond.columns)).groupBy("item").agg(
-            F.sum("df").alias("df"), (F.min("lo") != F.max("hi")).alias("mixed"), F.max("central").alias("central"),
-            F.min("node").alias("node"), F.min("own").alias("own"), F.min("n").alias("n"),
-        ))
-        prefix = F.expr(f"n - cast(ceil(n * {self.percent} / 100) as int) + 1")
-        # Items of one set alone come first in the order and meet nobody: they only count, and may fill the prefix.
-        alone = self.scratch.write(counts.where("df = 1").groupBy("node", "own", "n").agg(F.count("*").alias("alone")))
-        ranked = whole.select("item", F.col("node").alias("hub")).join(counts.select("item", "df"), "item").groupBy("hub")
-        ranked = self.scratch.write(ranked.agg(F.sort_array(F.collect_list(F.struct("df", "item")))["item"].alias("centre")))
-        left = units.drop("alone").join(alone.drop("n"), ["node", "own"], "left").withColumn("alone", F.coalesce("alone", no)).where(F.col("alone") < prefix)
-        left = left.join(ranked, "hub").withColumn("take", (prefix - F.col("alone")).cast("int")).select(*columns)
-        order = Window.partitionBy("node", "own").orderBy("central", "df", "item")
-        heads = self.items_of(left).join(counts.where("df > 1").select("item", "df", "mixed", "central"), "item").withColumn(
-            "place", F.col("alone") + F.row_number().over(order)
-        ).where((F.col("place") <= prefix) & F.col("mixed"))
-        sketches = self.sets.select("node", F.xxhash64("items").alias("own"), *SKETCH)
-        heads = heads.select("item", "node", "own", "component", "n", "place").join(sketches, ["node", "own"])
-        heads = self.scratch.write(heads.select("item", "component", "place", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", *SKETCH)]))
-        main = nodes.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        main = main.first().main
-        others = heads.where(F.col("component") != main).select(
-            "item", F.col("component").alias("other_component"), F.col("place").alias("other_place"), *[F.col(f"a{c}").alias(f"b{c}") for c in ("", "_n", *(f"_{s}" for s in SKETCH))]
+        if many.isEmpty():
+            return many.select(F.col("hub").alias("a"), F.col("hub").alias("b"))
+        units = live.join(many, "key").where("node != hub").groupBy("hub", "node").agg(F.min("component").alias("component"), F.min("hub_component").alias("hub_component"))
+        units = self.scratch.write(units)
+        parts = units.groupBy("hub").agg((F.count("*") / BESIDE_HUB + 1).cast("long").alias("parts"))
+        sets = self.sets.select("node", F.xxhash64("items").alias("own"), F.col("n").cast("long").alias("n"), "items")
+        columns = ["hub", "part", "place", "node", "own", "component", "hub_component", "n", "items"]
+        beside = units.join(parts, "hub").withColumn("part", F.expr("pmod(xxhash64(node), parts)")).join(sets, "node").withColumn("place", F.lit(1))
+        hubs = parts.join(sets.withColumnRenamed("node", "hub").groupBy("hub").agg(F.min("items").alias("items")), "hub")  # one set of it
+        hubs = hubs.withColumn("part", F.explode(F.sequence(no, F.col("parts") - 1))).withColumn("place", F.lit(0))
+        hubs = hubs.withColumns({c: no for c in columns if c not in hubs.columns})
+        diffs = self.items_of(hubs.select(*columns).union(beside.select(*columns)))
+        diffs = self.scratch.write(diffs.withColumn("far", F.expr(f"{100 + p} * apart > {100 - p} * (n + hub_n)")))
+        counts = diffs.groupBy("hub", "item").agg(
+            (F.count_if("far") * (F.count("*") - 1)).alias("meetings"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        ).where("meetings > 0 and lo != hi").select("hub", "item", "meetings")
+        one = Window.partitionBy("hub", "node", "own")
+        heads = diffs.join(counts, ["hub", "item"]).withColumn(
+            "place", F.col("apart") - F.count("*").over(one) + F.row_number().over(one.orderBy("meetings", "item"))
+        ).withColumn("long", F.expr(f"least(apart, {100 - p} * n div {p} + 1)")).withColumn(
+            "short", F.expr(f"place <= apart - ({100 + p} * apart + {100 - p} * (hub_n - n)) div {2 * (100 + p)}")
+        ).where("place <= long and (far or short)")
+        sketches = self.sets.select("node", F.xxhash64("items").alias("own"), *[F.col(s).alias(f"a_{s}") for s in SKETCH])
+        heads = heads.join(sketches, ["node", "own"]).withColumnsRenamed({"node": "a", "n": "a_n"})
+        heads = self.scratch.write(heads.select("hub", "item", "component", "far", "short", "place", "apart", "a", "a_n", *[f"a_{s}" for s in SKETCH]))
+        others = heads.where("far").select(
+            "hub", "item", *[F.col(c).alias(f"other_{c}") for c in ("component", "short", "place", "apart")], *[F.col(f"a{c}").alias(f"b{c}") for c in ("", "_n", *(f"_{s}" for s in SKETCH))]
         )
-        needed = F.expr(f"({self.percent} * (a_n + b_n) + {99 + self.percent}) div {100 + self.percent}")
-        meet = heads.join(others, "item").where(
-            F.expr("component != other_component")
-            & ((F.col("component") == main) | (F.col("a") < F.col("b")))
-            & (F.least(F.expr("a_n - place"), F.expr("b_n - other_place")) + 1 >= needed)
+        needed = F.expr(f"(apart + other_apart - {100 - p} * (a_n + b_n) div {100 + p} + 1) div 2")
+        meet = heads.join(others, ["hub", "item"]).where(
+            F.expr("component != other_component and (not far or a < b and short and other_short)")
+            & (F.least(F.expr("apart - place"), F.expr("other_apart - other_place")) + 1 >= needed)
             & self._possible("a", "b")
         )
-        return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        # A node of several sets may have met its hub with another one of them.
+        through = diffs.where("not far and component != hub_component").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        return meet.select("a", "b").union(through).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

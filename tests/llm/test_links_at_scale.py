@@ -58,3 +58,81 @@ def test_a_group_of_edited_copies_gives_few_candidates(spark, monkeypatch):
         found = links.components(spark.createDataFrame([(1, i) for i in range(400)], "key long, node long"))
         assert sorted(map(tuple, found.where("node != component").collect())) == sorted((b, a) for a, b in alike)
     assert sum(pairs) < 200 and sum(items_made) < 300 * 400 * 2 // 3
+
+
+def _table(spark, sets):
+    """(node, items, n, sketch) of sets by node; a node may have several."""
+    offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in sets])])
+    columns = graph.odd_sketches(np.concatenate([np.array(sorted(s), np.uint64) for _, s in sets]), offsets)
+    sketches = np.stack([c.to_numpy() for c in columns], axis=1)
+    rows = [(i, sorted(s), len(s), *map(int, k)) for (i, s), k in zip(sets, sketches, strict=True)]
+    return spark.createDataFrame(rows, f"node long, items array<long>, n int, {graph.SKETCH_SCHEMA}")
+
+
+def test_differences_to_hubs_lose_no_link(spark, monkeypatch):
+    """Two groups of copies with edits of their own, half of them beyond the threshold, in keys of one and of both, against brute force."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(62) for _ in range(120)]
+    sets = []
+    for i in range(240):
+        k = rng.choice((2, 6, 12, 14, 16, 20, 40))
+        shared = base if i < 160 else [*base[:90], *range(1000, 1030)]
+        sets.append((i, set(rng.sample(shared, len(shared) - k)) | {rng.getrandbits(62) for _ in range(k)}))
+    for a, b in ((3, 90), (7, 91), (170, 230)):  # alike beyond the hub
+        sets[b] = (b, set(sorted(sets[a][1])[4:]) | {rng.getrandbits(62) for _ in range(4)})
+    sets.append((5, set(base[:60])))  # a second set of one node
+    monkeypatch.setattr(graph, "SMALL", 2)
+    monkeypatch.setattr(graph, "BESIDE_HUB", 16)
+    keys = [(k, i) for i, _ in sets for k in ((1,) if i < 160 else (1, 2))]
+    with Scratch(spark) as scratch:
+        table = _table(spark, sets)
+        links = graph.Links(lambda nodes: table.join(nodes, "node", "left_semi"), 80, F.lit(True), scratch)
+        got = {r.node: r.component for r in links.components(spark.createDataFrame(keys, "key long, node long")).collect()}
+    root = {i: i for i, _ in sets}
+    for i, x in sets:
+        for j, y in sets:
+            if i < j and 5 * len(x & y) >= 4 * len(x | y) and root[i] != root[j]:
+                least, most = sorted((root[i], root[j]))
+                root = {n: least if r == most else r for n, r in root.items()}
+    assert {i: got.get(i, i) for i in root} == root
+
+
+def test_near_copies_give_few_first_items(spark, monkeypatch):
+    """300 copies with few edits and 20 with many in one key: before, each gave up to a fifth of its items to be met, now half of what it differs in."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(62) for _ in range(150)]
+    sets = []
+    for i in range(320):
+        k = rng.randrange(3, 12) if i < 300 else rng.randrange(30, 40)
+        sets.append((i, set(rng.sample(base, 150 - k)) | {rng.getrandbits(62) for _ in range(k)}))
+    monkeypatch.setattr(graph, "SMALL", 2)
+    heads, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df: (made := write(self, df), heads.append(made.count() if {"item", "place"} <= set(df.columns) else 0))[0])
+    with Scratch(spark) as scratch:
+        table = _table(spark, sets)
+        links = graph.Links(lambda nodes: table.join(nodes, "node", "left_semi"), 80, F.lit(True), scratch)
+        links.components(spark.createDataFrame([(1, i) for i, _ in sets], "key long, node long"))
+    assert 0 < sum(heads) < 3600
+
+
+def test_links_that_no_hub_shows_are_found_by_their_differences(spark, monkeypatch):
+    """Chains far from every hub, in one key, found by the filter alone, whatever the threshold."""
+    monkeypatch.setattr(graph, "SMALL", 2)
+    rng = random.Random(6)
+    for percent in (50, 80):
+        sets = [(0, set(range(200)))]
+        for i in range(1, 60):
+            if i % 6 == 1:
+                now = set(rng.sample(range(200), 90)) | {rng.getrandbits(60) for _ in range(rng.randrange(5, 60))}
+            else:
+                gone = rng.sample(sorted(now), len(now) * (100 - percent) // (rng.choice((150, 210, 260))))
+                now = (now - set(gone)) | {rng.getrandbits(60) for _ in range(len(gone) // 2)}
+            sets.append((i, now))
+        with Scratch(spark) as scratch:
+            table = _table(spark, sets)
+            links = graph.Links(lambda nodes: table.join(nodes, "node", "left_semi"), percent, F.lit(True), scratch)
+            live = spark.createDataFrame([(9, i, 0, i, 1000 - i) for i, _ in sets], "key long, node long, size long, component long, weight long")
+            links.sets = scratch.write(table)
+            got = {tuple(r) for r in links._rest(live).collect()}
+        alike = {(i, j) for i, x in sets for j, y in sets if 0 < i < j and 100 * len(x & y) >= percent * len(x | y)}
+        assert len(alike) > 20 and not alike - got
