@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,12 +40,15 @@ class Scratch:
     """Tables written to the shared folder, removed when the block ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path, self.made = spark, f"{shared_dir(spark)}/lodestep-{uuid.uuid4().hex}", 0
+        self.name = f"lodestep_{uuid.uuid4().hex}"
+        self.spark, self.path, self.made, self.named = spark, f"{shared_dir(spark)}/{self.name}", 0, []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        for name in self.named:
+            self.spark.sql(f"drop table if exists {name}")
         remove(self.spark, self.path)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -54,9 +58,22 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """Writes ``df`` in buckets by ``key``: joins and groups by it move no row of this table. Its rows should lie by ``key`` already, else each task writes to every bucket."""
+        self.made += 1
+        self.named.append(name := f"{self.name}_{self.made}")
+        df.write.format("parquet").option("compression", "zstd").option("parquet.enable.dictionary", "false").option("path", f"{self.path}/{self.made}").bucketBy(partitions(self.spark), key).saveAsTable(name)
+        return self.spark.table(name)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Of a shuffle, before Spark joins small ones."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are done with: it does when the driver's collector drops them."""
+    """Lets Spark delete the shuffle files of plans that are done with: it does when Python's and the driver's collectors drop them."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestep.llm import _text
-from lodestep.llm._shared import Scratch, fresh
-from lodestep.llm.graph import SKETCH, SKETCH_SCHEMA, Links, differences, odd_sketches
+from lodestep.llm._shared import Scratch, forget_shuffles, fresh, partitions
+from lodestep.llm.graph import SKETCH, SKETCH_SCHEMA, Keys, Links, differences, odd_sketches
 
 U = np.uint64
 ROWS = 3
-#: So many digests a task remembers, to work a line's keys out once where its copies lie close.
+#: So many lines a task remembers, to give a line's text out, and work its keys out, once where its copies lie close.
 REMEMBERED = 1 << 18
 
 
@@ -53,13 +53,14 @@ def _band_keys(hashes: np.ndarray, offsets: np.ndarray, bands: int) -> np.ndarra
     a = rng.integers(0, 2**31, bands * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     b = rng.integers(0, 2**32, bands * ROWS, dtype=np.uint32)
     x = (hashes >> U(32)).astype(np.uint32)
-    work, keys = np.empty_like(x), np.zeros((bands, len(offsets) - 1), U)
+    work, least = np.empty_like(x), np.empty((bands * ROWS, len(offsets) - 1), np.uint32)
     for i in range(bands * ROWS):
         np.multiply(x, a[i], out=work)
         np.add(work, b[i], out=work)
-        least = np.minimum.reduceat(work, offsets[:-1]).astype(U)
-        band = i // ROWS
-        keys[band] = _text.mix(keys[band] * U(0x9E3779B97F4A7C15) + least + U(i + 1))
+        np.minimum.reduceat(work, offsets[:-1], out=least[i])
+    keys = np.zeros((bands, len(offsets) - 1), U)
+    for i in range(ROWS):
+        keys = _text.mix(keys * U(0x9E3779B97F4A7C15) + least[i::ROWS].astype(U) + np.arange(i + 1, bands * ROWS + 1, ROWS, dtype=U)[:, None])
     return keys.T.view(np.int64)
 
 
@@ -96,10 +97,10 @@ def _digests(lines: tuple[str, ...]) -> tuple[list[bytes], np.ndarray]:
     return raw, np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
 
 
-def lines(docs: DataFrame, shingle: int, bands: int, least_chars: int) -> DataFrame:
-    """(doc_id, text_hash, line, first_char, end_char, node, d2, keys) of every line long enough to judge.
+def lines(docs: DataFrame, least_chars: int) -> DataFrame:
+    """(doc_id, text_hash, line, first_char, end_char, node, d2, plain) of every line long enough to judge.
 
-    ``node`` and ``d2`` are the digest's halves. ``keys`` is empty where a task has given a line's keys before.
+    ``node`` and ``d2`` are the digest's halves. ``plain``, the normalised line, is null where a task has given it before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,59 +109,71 @@ def lines(docs: DataFrame, shingle: int, bands: int, least_chars: int) -> DataFr
             for some in _runs(batch.column(2).to_pylist(), least_chars):
                 row, number, start, end, plain = zip(*some, strict=True)
                 raw, digest = _digests(plain)
-                new = []
-                for i, d in enumerate(raw):
-                    if d not in seen:
-                        seen.add(d)
-                        new.append(i)
-                counts = np.zeros(len(some) + 1, np.int32)
-                counts[np.array(new, int) + 1] = bands
-                keys = _band_keys(*_shingles([plain[i] for i in new], shingle), bands) if new else np.zeros((0, bands), np.int64)
+                given = []
+                for text, d in zip(plain, raw, strict=True):
+                    given.append(None if d in seen else text)
+                    seen.add(d)
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int64()), pa.array(start, pa.int64()),
-                        pa.array(end, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.ascontiguousarray(keys).ravel())),
+                        pa.array(end, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(given, pa.string()),
                     ],
-                    names=["doc_id", "text_hash", "line", "first_char", "end_char", "node", "d2", "keys"],
+                    names=["doc_id", "text_hash", "line", "first_char", "end_char", "node", "d2", "plain"],
                 )
 
-    schema = "doc_id long, text_hash long, line long, first_char long, end_char long, node long, d2 long, keys array<long>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id long, text_hash long, line long, first_char long, end_char long, node long, d2 long, plain string")
 
 
-def line_texts(docs: DataFrame, at: DataFrame) -> DataFrame:
-    """(node, items): the normalised text of the line at each (node, doc_id, text_hash, first_char, end_char); shingles are worked out where they are used."""
+def line_keys(shingle: int, bands: int) -> Keys:
+    """Of batches (node, plain): (node, size, keys), once for each node where its rows lie close; the size is not used."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            nodes, plain = [], []
-            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for p in places:
-                    nodes.append(p["node"])
-                    plain.append(normalise(text[p["first_char"] : p["end_char"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(plain, pa.string())], names=["node", "items"])
-
-    places = at.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("node", "first_char", "end_char")).alias("places"))  # of one text's lines
-    found = docs.join(places.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("text", "places").mapInArrow(cut, "node long, items string")
-    return found.groupBy("node").agg(F.first("items").alias("items"))
-
-
-def _set_runs(plain: list[str], shingle: int, most_chars: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, hashes, offsets): the distinct shingles of each line, sorted, for some lines at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in _pieces(batches, 1024):
+            fresh_rows = _unseen(batch, seen)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            plain = fresh_rows.column(1).to_pylist()
+            for first, last in _by_chars(plain, 1 << 17):
+                keys = _band_keys(*_shingles(plain[first:last], shingle), bands)
+                ends = pa.array(np.arange(0, keys.size + 1, bands), pa.int32())
+                keys = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(keys).ravel()))
+                yield pa.RecordBatch.from_arrays([fresh_rows.column(0).slice(first, last - first), pa.array(np.zeros(last - first, np.int64)), keys], names=["node", "size", "keys"])
+
+    return run
+
+
+def _unseen(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
+    """The rows of ``batch`` whose first column is not in ``seen``, one for each, which then are in it."""
+    keep = []
+    for i, node in enumerate(batch.column(0).to_pylist()):
+        if node not in seen:
+            seen.add(node)
+            keep.append(i)
+    return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+
+def _by_chars(plain: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of lines of ``most`` characters together at most; a longer line is a run of its own."""
     at = 0
     while at < len(plain):
         end, size = at, 0
-        while end < len(plain) and (end == at or size + len(plain[end]) <= most_chars):
+        while end < len(plain) and (end == at or size + len(plain[end]) <= most):
             size += len(plain[end])
             end += 1
-        yield at, end, *_text.distinct(*_shingles(plain[at:end], shingle))
+        yield at, end
         at = end
 
 
+def _set_runs(plain: list[str], shingle: int, most_chars: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, hashes, offsets): the distinct shingles of each line, sorted, for some lines at a time."""
+    for at, end in _by_chars(plain, most_chars):
+        yield at, end, *_text.distinct(*_shingles(plain[at:end], shingle))
+
+
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
     """The distinct shingles of each line, sorted."""
     for _, _, h, offsets in _set_runs(column.to_pylist(), shingle):
@@ -169,10 +182,12 @@ def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
 
 
 def sketched(found: DataFrame, shingle: int) -> DataFrame:
-    """(node, items, n, sketch) of (node, items): the size and the odd sketch of each line's shingle set."""
+    """(node, items, n, sketch) of (node, items): the size and the odd sketch of each line's shingle set. All rows of a node lie in one partition; one of them counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in _pieces(batches, 1024):
+            batch = _unseen(batch, seen)
             for first, last, h, offsets in _set_runs(batch.column(1).to_pylist(), shingle):
                 some = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.diff(offsets), pa.int32()), *odd_sketches(h, offsets)], names=["node", "items", "n", *SKETCH])
@@ -202,6 +217,13 @@ def _distinct_lines(found: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``found``, written in buckets by node: all that follows reads lines by their node."""
+    out = scratch.dealt(found.repartition(partitions(found.sparkSession), "node"), "node")
+    forget_shuffles(found.sparkSession)
+    return out
+
+
 def _told_apart(found: DataFrame) -> DataFrame:
     """``found`` with a node of its own for every digest that shares its first half with another one."""
     shared = found.groupBy("node").agg(F.min("d2").alias("first_d2"), F.max("d2").alias("last_d2")).where("first_d2 != last_d2").drop("last_d2")
@@ -209,17 +231,16 @@ def _told_apart(found: DataFrame) -> DataFrame:
     return found.join(shared, "node", "left").withColumn("node", own).select(*found.columns)
 
 
-def _labels(docs: DataFrame, found: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame | None:
+def _labels(found: DataFrame, shingle: int, percent: int, bands: int, scratch: Scratch) -> DataFrame | None:
     """(node, component) of the lines that have links to unlike lines; None without any."""
-    places = found.drop("keys", "d2")
+    texts = found.where("plain is not null").select("node", "plain")
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        near = places.join(nodes.hint("shuffle_hash"), "node", "left_semi")
-        one = near.groupBy("node").agg(F.min(F.struct("doc_id", "line", "text_hash", "first_char", "end_char")).alias("at"))
-        return sketched(line_texts(docs, one.select("node", "at.*")), shingle)
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        near = texts.join(nodes.hint("shuffle_hash"), "node", "left_semi").withColumnRenamed("plain", "items")
+        return scratch.dealt(sketched(near, shingle), "node")
 
-    search = Links(texts, percent, F.lit(True), scratch, verify=line_links(shingle, percent), items_of=differences(lambda column: _sets(column, shingle)))
-    return search.components(found.select(F.explode("keys").alias("key"), "node"))
+    search = Links(sets_of, percent, F.lit(True), scratch, verify=line_links(shingle, percent), items_of=differences(lambda column: _sets(column, shingle)))
+    return search.components(texts, line_keys(shingle, bands))
 
 
 def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int = 12, least_chars: int = 1) -> DataFrame:
@@ -233,13 +254,12 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
     """
     with Scratch(docs.sparkSession) as scratch:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null")
-        found = scratch.write(lines(docs, shingle, bands, least_chars))
-        labels = _labels(docs, found, shingle, percent, scratch)
+        found = _dealt(lines(docs, least_chars), scratch)
         distinct = scratch.write(_distinct_lines(found))
         if not distinct.where("clash").isEmpty():  # two texts were one node: begin again with a node for each
-            found = scratch.write(_told_apart(found))
-            labels = _labels(docs, found, shingle, percent, scratch)
+            found = _dealt(_told_apart(found), scratch)
             distinct = scratch.write(_distinct_lines(found))
+        labels = _labels(found, shingle, percent, bands, scratch)
         if labels is None:
             marked = distinct.where("several").withColumn("component", F.col("node"))
         else:
@@ -248,7 +268,7 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
         marked = scratch.write(marked.select("node", "component", "first_doc"))
         groups = marked.groupBy("component").agg(F.min("first_doc").alias("first_doc"))
         owners = scratch.write(marked.select("node", "component").join(groups, "component"))
-        grouped = scratch.write(found.drop("keys", "d2").join(owners, "node").distinct().drop("node"))  # rows that repeat have one node
+        grouped = scratch.write(found.drop("plain", "d2").join(owners, "node").distinct().drop("node"))  # rows that repeat have one node
         first = grouped.where("doc_id = first_doc").groupBy("component").agg(F.min(F.struct("line", "text_hash")).alias("first"))
         result = grouped.join(first, "component").withColumn(
             "kept", F.expr("doc_id = first_doc and line = first.line and text_hash = first.text_hash")

@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestep.llm._shared import Scratch, forget_shuffles
+from lodestep.llm import _text
+from lodestep.llm._shared import Scratch, forget_shuffles, partitions
 
 
 #: The sketches of a key of so many members can all be compared: 256 for each member at most. What is larger is met by an exact prefix filter.
 SMALL = 512
 #: So many sets at most, about, are compared with their hub by one copy of the hub's set.
 BESIDE_HUB = 256
+#: So many keys a task packs at a time, and so many edges at most, about, it makes stars of.
+PACKED, CONTRACTED = 1 << 19, 1 << 19
 #: Columns of a set's odd sketch: 512 bits, each the parity of the set's items that fall on it.
 SKETCH = [f"s{i}" for i in range(8)]
 SKETCH_SCHEMA = ", ".join(f"{s} long" for s in SKETCH)
@@ -38,58 +41,129 @@ def odd_sketches(hashes: np.ndarray, offsets: np.ndarray, rows: int = 1024) -> l
     return [pa.array(np.ascontiguousarray(x)) for x in out.T]
 
 
-def shared_keys(bands: DataFrame) -> DataFrame:
-    """The distinct rows (key, node, size) whose key another row has too, by one shuffle: keys are sorted and rows compared with their neighbours. Without a size it is 0."""
-    names = ["key", "node", "size"] if "size" in bands.columns else ["key", "node"]
+#: Makes batches (node, size, keys), keys an array, of the batches of a table.
+Keys = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def shared_keys(bands: DataFrame, keys_of: Keys | None = None) -> DataFrame:
+    """The distinct rows (key, node, size) whose key another row has too, by one shuffle. Without a size it is 0; ``keys``, an array, may stand for a row for each key.
+
+    With ``keys_of`` the rows are what it makes of ``bands``. They are moved many at a time, as one binary value for each bucket of keys; a task then
+    sorts one bucket after the other, and holds 24 bytes for each row of it.
+    """
+    buckets = partitions(bands.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in keys_of(batches) if keys_of else batches:
+            for first in range(0, batch.num_rows, 8192):
+                some = batch.slice(first, 8192)
+                count = some.column(2).value_lengths().to_numpy()
+                own = [np.repeat(some.column(i).to_numpy(), count) for i in (0, 1)]
+                held.append(np.stack([some.column(2).flatten().to_numpy(), *own], axis=1))
+                n += len(held[-1])
+                if n >= PACKED:
+                    yield _packed(np.concatenate(held), buckets)
+                    held, n = [], 0
+        if n:
+            yield _packed(np.concatenate(held), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_shared = np.zeros((len(names), 0), np.int64), False  # the row before, held back until the next one is known
+        now, held = None, []
         for batch in batches:
-            rows = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-            rows = rows[:, new]
-            if not rows.shape[1]:
-                continue
-            same = rows[0, 1:] == rows[0, :-1]
-            shared = np.zeros(rows.shape[1], bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            shared[0] |= last_shared
-            last, last_shared = rows[:, -1:], bool(shared[-1])
-            out = rows[:, :-1][:, shared[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in out], names=names)
-        if last_shared:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in last], names=names)
-
-    rows = bands.select(*[F.col(c).cast("long").alias(c) for c in names]).repartition("key").sortWithinPartitions(*names)
-    found = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    return found if "size" in names else found.withColumn("size", F.lit(0).cast("long"))
+            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now:
+                    yield from _shared(held)
+                    now, held = bucket, []
+                held.append(np.frombuffer(block, np.int64).reshape(3, -1).T)
+        yield from _shared(held)
+
+    if not keys_of:
+        keys = F.col("keys") if "keys" in bands.columns else F.array(F.col("key").cast("long"))
+        size = F.col("size").cast("long") if "size" in bands.columns else F.lit(0).cast("long")
+        bands = bands.select(F.col("node").cast("long").alias("node"), size.alias("size"), keys.alias("keys"))
+    rows = bands.mapInArrow(pack, "bucket int, block binary")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, node long, size long")
+
+
+def _packed(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, block): the rows (key, node, size) of each bucket of keys."""
+    bucket = _text.mix(rows[:, 0].view(np.uint64)) % np.uint64(4 * buckets)
+    order = np.argsort(bucket.astype(np.uint16 if 4 * buckets <= 1 << 16 else np.uint32), kind="stable")
+    rows, counts = rows[order], np.bincount(bucket.astype(np.int64), minlength=4 * buckets)
+    some = np.flatnonzero(counts)
+    ends = np.cumsum(counts[some])
+    blocks = [rows[a:b].T.tobytes() for a, b in zip(ends - counts[some], ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+
+def _shared(held: list[np.ndarray], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Of one bucket's rows, those whose key another row has, each once."""
+    if not held:
+        return
+    rows = np.concatenate(held)
+    for distinct in (False, True):  # most keys are of one row: only the others are put in order whole
+        rows = rows[np.lexsort(rows.T[::-1]) if distinct else np.argsort(rows[:, 0])]
+        if distinct:
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            rows = rows[new]
+        same = rows[1:, 0] == rows[:-1, 0]
+        shared = np.zeros(len(rows), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        rows = rows[shared]
+    for first in range(0, len(rows), most):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows[first : first + most].T], names=["key", "node", "size"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's edges (u, v) as one star for each component that they make: (u, least node of it)."""
+    ends = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate([np.concatenate(x) for x in zip(*ends, strict=True)]), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:  # roots hang themselves on their least neighbour, then every node on its root
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while ((up := label[label]) != label).any():
+            label = up
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    for first in range(0, len(own), 1 << 16):
+        some = own[first : first + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]])], names=["u", "v"])
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the component is the smallest node reachable.
 
-    Alternates large-star and small-star steps, each a grouped minimum and one join, until the edges no longer
-    change; every step is written to the shared folder. Null ends and self-links are ignored. No edges: no rows.
+    Tasks of ``CONTRACTED`` edges, about, make stars of their own edges. While there is more than one such task, large-star and small-star steps
+    follow, each a grouped minimum and one join, until the edges no longer change; every step is written to the shared folder.
+    Null ends and self-links are ignored. No edges: no rows.
     """
     state = edges.where(F.col("a") != F.col("b")).select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+        F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")
     ).distinct()
     state, before = scratch.write(state), None
-    parts = 1 << 20
     for _ in range(rounds):
+        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before, parts = now, now[0] // CONTRACTED + 1
+        state = scratch.write((state.coalesce(1) if parts == 1 else state.repartition(parts, "u")).mapInArrow(_stars, "u long, v long"))
+        if parts == 1:
+            break
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # A table of its own: then the join has two exchanges and Spark can split a hub's rows over tasks.
-        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts))
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        state = scratch.write(small.union(small_min.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before, parts = now, now[0] // 50_000 + 1  # edges only get fewer
+        state = scratch.write(small.union(small_min.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -184,7 +258,7 @@ class Links:
     """Finds the components of the graph whose links are the similar pairs of nodes, from candidates that share a key.
 
     Two nodes are linked when the Jaccard similarity of their whole sets is at least ``percent`` / 100. ``sets_of``
-    takes nodes (node) and returns (node, items, n, the columns of ``SKETCH``), one row or more each; ``verify`` keeps the linked ones of
+    takes nodes (node) and returns a written table (node, items, n, the columns of ``SKETCH``), one row or more each, which is read many times; ``verify`` keeps the linked ones of
     pairs (a, b, x, y) with the items of both; ``items_of`` takes sets apart as ``differences`` says. ``fits`` is a cheap
     necessary condition on the columns ``size`` and ``hub_size`` of the bands.
     """
@@ -202,8 +276,8 @@ class Links:
         self.verify, self.items_of = verify or array_links(percent), items_of
         self.sets: DataFrame | None = None
 
-    def components(self, bands: DataFrame) -> DataFrame | None:
-        """(node, component) of the nodes that have links, from (key, node) and, for ``fits``, size; None without any.
+    def components(self, bands: DataFrame, keys_of: Keys | None = None) -> DataFrame | None:
+        """(node, component) of the nodes that have links, from (key or keys, node) and, for ``fits``, size, or what ``keys_of`` makes of ``bands``; None without any.
 
         First every key's members meet the key's heaviest node, then the heaviest that is not in its component, and components grow from
         the links. A node weighs what its keys hold: in a group of edited copies the text that they were made from shares keys with most
@@ -213,9 +287,9 @@ class Links:
         their pairs of different components met; the members of the larger ones meet by an exact prefix filter (see
         ``_rest``), so no link that could join two components is lost to the choice of hubs.
         """
-        members = self.scratch.write(shared_keys(bands))
+        members = self.scratch.write(shared_keys(bands, keys_of))
         forget_shuffles(bands.sparkSession)
-        self.sets = self.scratch.write(self.sets_of(members.select("node").distinct()))
+        self.sets = self.sets_of(members.select("node").distinct())
         forget_shuffles(bands.sparkSession)
         held = self.scratch.write(members.groupBy("key").agg(
             F.count("*").alias("held"), F.min("node").alias("a"), F.max("node").alias("b"),

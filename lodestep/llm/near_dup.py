@@ -131,12 +131,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         classes = scratch.write(real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node")))
         bands = (
             real.join(classes.select(F.col("node").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-            .select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), F.col("n").alias("size"))
+            .select("keys", F.col("doc_id").alias("node"), F.col("n").alias("size"))
         )
 
         def sets_of(nodes: DataFrame) -> DataFrame:
             nodes = nodes.select(F.col("node").alias("doc_id")).hint("shuffle_hash")
-            return shingle_sets(docs.join(nodes, "doc_id", "left_semi"), shingle_words)
+            return scratch.write(shingle_sets(docs.join(nodes, "doc_id", "left_semi"), shingle_words))
 
         fits = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
         labels = Links(sets_of, percent, fits, scratch).components(bands)

@@ -136,3 +136,45 @@ def test_links_that_no_hub_shows_are_found_by_their_differences(spark, monkeypat
             got = {tuple(r) for r in links._rest(live).collect()}
         alike = {(i, j) for i, x in sets for j, y in sets if 0 < i < j and 100 * len(x & y) >= percent * len(x | y)}
         assert len(alike) > 20 and not alike - got
+
+
+def test_components_of_few_and_of_many_tasks_are_those_of_union_find(spark, monkeypatch):
+    """Stars made in one task end the search; in many, rounds follow. Before, every size took all rounds."""
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 90)] + [(rng.randrange(200, 500), rng.randrange(200, 500)) for _ in range(160)] + [(7, 7), (None, 3), (-5, 600)]
+    least = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            for x in (a, b):
+                least.setdefault(x, x)
+    while True:
+        before = dict(least)
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    written, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df: written.append(1) or write(self, df))
+    for size in (1 << 19, 40):
+        monkeypatch.setattr(graph, "CONTRACTED", size)
+        with Scratch(spark) as scratch:
+            got = [tuple(r) for r in graph.components(df, scratch).collect()]
+        assert sorted(got) == sorted(least.items())
+        if size > 40:
+            assert len(written) == 2
+        else:
+            assert len(written) > 4
+
+
+def test_keys_are_moved_many_to_a_row(spark):
+    """A task's 40,000 keys are as many rows as there are buckets; before, each key was one. Arrays of keys give what rows of keys give."""
+    rng = np.random.default_rng(2)
+    rows = np.stack([rng.integers(-(2**63), 2**63, 40_000), np.arange(40_000) % 2000, np.full(40_000, 3)], axis=1)
+    packed = graph._packed(rows, 4)
+    assert packed.num_rows <= 16
+    back = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1).T for x in packed.column(1).to_pylist()])
+    assert sorted(map(tuple, back.tolist())) == sorted(map(tuple, rows.tolist()))
+    keyed = spark.createDataFrame([(1, [5, 6, 7], 3), (2, [5, 8], 3), (3, [], 1), (4, [9, 9], 2), (5, [7], 4)], "node long, keys array<long>, size long").repartition(3)
+    assert sorted(map(tuple, graph.shared_keys(keyed).collect())) == [(5, 1, 3), (5, 2, 3), (7, 1, 3), (7, 5, 4)]
